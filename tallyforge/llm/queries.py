@@ -1,11 +1,17 @@
 """The registered queries of this package and their SQL."""
 
-from . import decontaminate, langid, licenses
+from . import decontaminate, jaccard, langid, licenses, substrings
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_language_id": langid.op8_language_id,
+    "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
 }
 
-ORACLE_SQL = {"op3_benchmark_decontamination": decontaminate.OP3_SQL}
+ORACLE_SQL = {
+    "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+    "op7_substring_dedup": substrings.OP7_SQL,
+    "op9_ngram_jaccard_join": jaccard.OP9_SQL,
+}
