@@ -1,9 +1,12 @@
 """The registered queries of this package and their SQL."""
 
-from . import decontaminate, jaccard, langid, licenses, substrings
+from . import chat, decontaminate, jaccard, langid, licenses, mixing, substrings, warc
 
 QUERIES = {
+    "op1_source_mixing": mixing.op1_source_mixing,
+    "op2_chat_format": chat.op2_chat_format,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_warc_bundles": warc.op4_warc_bundles,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_language_id": langid.op8_language_id,
@@ -11,7 +14,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_chat_format": chat.OP2_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+    "op4_warc_bundles": warc.OP4_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
     "op9_ngram_jaccard_join": jaccard.OP9_SQL,
 }
