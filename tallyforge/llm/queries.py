@@ -1,16 +1,18 @@
 """The registered queries of this package and their SQL."""
 
-from . import chat, decontaminate, jaccard, langid, licenses, mixing, substrings, warc
+from . import chat, decontaminate, fingerprints, jaccard, langid, licenses, mixing, substrings, urlfilter, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_chat_format": chat.op2_chat_format,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_warc_bundles": warc.op4_warc_bundles,
+    "op5_url_filter": urlfilter.op5_url_filter,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op8_language_id": langid.op8_language_id,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+    "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
 
 ORACLE_SQL = {
