@@ -170,7 +170,8 @@ def _by_automata(shards: DataFrame, window: int) -> DataFrame:
         anchor, automaton, waiting, owner = None, SuffixAutomaton(), [], None
         for batch in batches:
             ids, ats, ns = [], [], []
-            for id_, a, at, words in zip(*(batch.column(c).to_pylist() for c in ("id", "anchor", "at", "words")), strict=True):
+            for id_, a, at, row in zip(*(batch.column(c).to_pylist() for c in ("id", "anchor", "at")), batch.column("words"), strict=True):
+                words = row.values.to_numpy().tolist()
                 if a != anchor:
                     anchor, automaton, waiting, owner = a, SuffixAutomaton(), [], id_
                 if id_ != owner:  # a document's own fragments don't cover each other
@@ -190,11 +191,15 @@ def _by_windows(shards: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, at, words in zip(*(batch.column(c) for c in ("id", "at", "words")), strict=True):
-                h = words.values.to_numpy().view(np.uint64)
-                begin = np.arange(h.size - window + 1)
-                hashes = W.Spans(h)(begin, begin + window)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(begin.size, id_.as_py())), pa.array((begin + at.as_py()).astype(np.int32)), pa.array(W.signed(hashes))], names=["id", "at", "window"])
+            lists = batch.column("words")
+            h, edges = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+            edges -= edges[0]
+            n = np.diff(edges) - window + 1  # windows of each fragment
+            row = np.repeat(np.arange(n.size), n)
+            inside = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+            begin = edges[row] + inside
+            at = batch.column("at").to_numpy()[row] + inside
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(W.signed(W.Spans(h)(begin, begin + window)))], names=["id", "at", "window"])
 
     windows = shards.select("id", "at", "words").mapInArrow(run, "id long, at int, window long")
     least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")

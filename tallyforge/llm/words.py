@@ -140,7 +140,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Batches of about ``most`` bytes of text, so that memory doesn't follow the number of rows; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
