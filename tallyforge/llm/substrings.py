@@ -96,6 +96,21 @@ def covered(statistics: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
+def cut_fragments(h: np.ndarray, edges: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """The fragments of word sequences h[edges[i]:edges[i+1]]: sequence, anchor, hash, first word (in h) and words of each."""
+    empty = np.zeros(0, dtype=np.int64)
+    if h.size < window:
+        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+    least = W.sliding_min(W.grams(h, k), window - k + 1)
+    sequence = np.repeat(np.arange(edges.size - 1), np.diff(edges))[: least.size]
+    valid = edges[1:][sequence] >= np.arange(least.size) + window
+    new, ends = valid.copy(), valid.copy()
+    new[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (sequence[1:] != sequence[:-1])
+    ends[:-1] &= ~valid[1:] | (least[1:] != least[:-1]) | (sequence[1:] != sequence[:-1])
+    first, last = np.flatnonzero(new), np.flatnonzero(ends)
+    return sequence[first], least[first], W.Spans(h)(first, last + window), first, last + window - first
+
+
 def _fragments(docs: DataFrame, window: int) -> DataFrame:
     """(id, anchor, fragment, at, n): the fragments of each text, as hashes, with their first word and their words."""
     k = min(ANCHOR, window)
@@ -103,21 +118,10 @@ def _fragments(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             cut = W.cut(batch.column(1), RULE)
-            n = cut.hash.size
-            if n < window:
-                continue
-            least = W.sliding_min(W.grams(cut.hash, k), window - k + 1)
-            text = np.repeat(np.arange(batch.num_rows), np.diff(cut.first))
-            valid = cut.first[1:][text[: least.size]] >= np.arange(least.size) + window
-            new, ends = valid.copy(), valid.copy()
-            new[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-            ends[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
-            first, last = np.flatnonzero(new), np.flatnonzero(ends)
+            text, anchor, whole, first, n = cut_fragments(cut.hash, cut.first, window, k)
             if first.size:
-                ids = batch.column(0).take(pa.array(text[first]))
-                whole = W.Spans(cut.hash)(first, last + window)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(W.signed(least[first])), pa.array(W.signed(whole)), pa.array((first - cut.first[text[first]]).astype(np.int32)), pa.array((last + window - first).astype(np.int32))],
+                    [batch.column(0).take(pa.array(text)), pa.array(W.signed(anchor)), pa.array(W.signed(whole)), pa.array((first - cut.first[text]).astype(np.int32)), pa.array(n.astype(np.int32))],
                     names=["id", "anchor", "fragment", "at", "n"],
                 )
 
@@ -187,23 +191,45 @@ def _by_automata(shards: DataFrame, window: int) -> DataFrame:
 
 
 def _by_windows(shards: DataFrame, window: int) -> DataFrame:
-    """The same by the least document of each window, for shards of any size."""
+    """The same for shards of any size: fragments are cut again by longer anchors, equal parts are covered whole as before, and of the
+    least holder of each part every window looks up its least document by hash.  Partial sums keep both free of hot groups."""
+    k = (window + 1) // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            h, edges = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+            row, anchor, part, first, n = cut_fragments(h, edges - edges[0], window, k)
+            if first.size:
+                begin = edges[row] - edges[0]
+                at = batch.column("at").to_numpy()[row] + first - begin
+                reach = np.append(0, np.cumsum(n))
+                inside = np.arange(reach[-1]) - np.repeat(reach[:-1], n) + np.repeat(first, n)
+                words = pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(W.signed(h[inside])))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(W.signed(anchor)), pa.array(W.signed(part)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), words], names=["id", "anchor", "part", "at", "n", "words"])
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("words")
             h, edges = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
             edges -= edges[0]
-            n = np.diff(edges) - window + 1  # windows of each fragment
+            n = np.diff(edges) - window + 1  # windows of each part
             row = np.repeat(np.arange(n.size), n)
             inside = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
             begin = edges[row] + inside
             at = batch.column("at").to_numpy()[row] + inside
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(W.signed(W.Spans(h)(begin, begin + window)))], names=["id", "at", "window"])
 
-    windows = shards.select("id", "at", "words").mapInArrow(run, "id long, at int, window long")
-    least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    return windows.join(least, "window").where("id > least").select("id", "at", F.lit(window).alias("n"))
+    parts = stored(shards.select("id", "at", "words").mapInArrow(parts_of, "id long, anchor long, part long, at int, n int, words array<long>"), "parts")
+    least = parts.groupBy("anchor", "part").agg(F.min(F.struct("id", "at")).alias("least"), F.max("id").alias("most"))
+    shared = least.where("least.id < most").select("anchor", "part", F.col("least.id").alias("least"))
+    whole = parts.select("id", "anchor", "part", "at", "n").join(shared, ["anchor", "part"]).where("id > least").select("id", "at", "n")
+    several = least.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    holders = least.join(several, "anchor").select("anchor", "part", F.col("least.id").alias("id"), F.col("least.at").alias("at"))
+    own = parts.join(holders, ["anchor", "part", "id", "at"], "left_semi").dropDuplicates(["anchor", "part", "id", "at"])
+    windows = own.select("id", "at", "words").mapInArrow(windows_of, "id long, at int, window long")
+    first = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    return whole.unionAll(windows.join(first, "window").where("id > least").select("id", "at", F.lit(window).alias("n")))
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, shard_fragments: int = 64) -> DataFrame:
