@@ -48,6 +48,12 @@ def stream_stale_jobs(spark, d):
     return _local(_run(spark, S.stale_jobs(_steps(spark, d)), "append"), "active_from", "stale_at")
 
 
+def stream_dedupe(spark, d):
+    """Events as uploads of their properties: each content once a day."""
+    uploads = _steps(spark, d).selectExpr("created_at AS ts", "concat_ws(':', stage, cast(value AS int)) AS content")
+    return _local(_run(spark, S.dedupe_uploads(uploads), "append"), "ts")
+
+
 def stream_latest_status(spark, d):
     path = _folder(spark)
 
@@ -62,6 +68,8 @@ def stream_latest_status(spark, d):
     return spark.read.parquet(f"{path}/table/v{last}").select("job_id", "step_id", "stage")
 
 
+#: Which of two uploads within a day comes first in a batch isn't fixed, so there is no SQL.
+Q["stream_dedupe"] = (stream_dedupe, None)
 Q["stream_latest_status"] = (stream_latest_status, "SELECT user_id AS job_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS step_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS stage FROM events GROUP BY 1")
 #: Windows still open at the end of the input aren't written in append mode: those that end after the last event less the delay.
 Q["stream_stage_counts"] = (stream_stage_counts, "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS stage, count(*) AS n FROM events GROUP BY 1, 2) SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, stage, n FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")

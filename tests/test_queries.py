@@ -17,3 +17,9 @@ def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_stream_dedupe_keeps_a_content_once_a_day(spark):
+    got = QUERIES["stream_dedupe"](spark, "/root/testdata/sf0.001").toPandas()
+    assert len(got) and got["content_hash"].nunique() == got["content"].nunique()
+    assert (got.groupby("content").size() <= 31).all()
