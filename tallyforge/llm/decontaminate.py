@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import long_rows
 
 RULE = "letters_lower"
 
@@ -129,7 +130,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     n_blocks = max(1, -(-n_bytes // block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     fields = "item_id:string,item_word:long,word:long,n_words:long"
-    out = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<struct<{fields}>>)").alias("matches"))
+    out = long_rows(docs).select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<struct<{fields}>>)").alias("matches"))
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toPandas()
         sent = docs.sparkSession.sparkContext.broadcast(suffixes_of(block, window))

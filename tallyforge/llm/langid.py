@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import long_rows
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: A lazy parse with short matches: languages differ in syllables, which the faster strategies don't see.
 PARAMETERS = {"compression_level": 1, "strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "hash_log": 17, "chain_log": 17, "search_log": 3, "window_log": 18}
@@ -51,7 +53,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     one dictionary the score is 1.  Ties go to the first name.  Columns of the new names in ``docs`` are replaced; all others,
     and repeated rows, stay as they are.
     """
-    docs = docs.drop("lang_pred", "lang_score", "lang_kept")
+    docs = long_rows(docs).drop("lang_pred", "lang_score", "lang_kept")
     names = sorted(dictionaries)
     raw = [dictionaries[n] for n in names]
     schema = T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("lang_score", "double").add("lang_kept", "boolean")

@@ -31,6 +31,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def long_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, whose rows hold whole texts: batches for Python get ``rows`` rows at most, where the session allows more, so that
+    their buffers stay small on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def bit_of(col: str, log2_bits: int) -> Column:
     """Position of a 64-bit value in a bitmap of 2**log2_bits bits."""
     return F.shiftrightunsigned(F.xxhash64(F.col(col)), 64 - log2_bits)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import bit_of, bitmap, has_bit, stored
+from .shared import bit_of, bitmap, has_bit, long_rows, stored
 
 RULE, ANCHOR, LOG2_NEEDED = "spaced", 8, 23
 
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     give ''.  Documents under ``window`` words lose nothing.  Rows without id lose nothing; rows with one id are one document: they
     don't cover each other, and all lose the same words, the spans found in any of them.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = long_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     spans = stored(repeated_spans(rows, window, shard_fragments), "spans")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(spans, bit_of("id", LOG2_NEEDED), LOG2_NEEDED))
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, stored
+from .shared import fresh_path, long_rows, stored
 
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -97,7 +97,7 @@ def write_bundles(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes
     Each attempt of a task writes bundles under a name of its own and the index holds only those of the attempts that counted, so lost
     executors and repeated tasks leave at most unreferenced files.
     """
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = long_rows(pages).where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     seen = revisits(rows, least_bytes).select(F.col("page_id").alias("p"), "refers_to")
     rows = rows.join(seen, F.col("page_id") == F.col("p"), "left").drop("p")
 
