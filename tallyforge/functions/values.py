@@ -244,6 +244,12 @@ def format_value_uom(clean: Column) -> Column:
     return let(clean, text)
 
 
+def is_placeholder(x: Column) -> Column:
+    """Whether a name stands for none; null does."""
+    key = F.lower(F.trim(x))
+    return x.isNull() | key.isin(L.PLACEHOLDERS) | key.rlike(L.PLACEHOLDER_FORM)
+
+
 def invoice_description(x: Column) -> Column:
     return F.trim(F.substring(F.trim(F.upper(x)), 1, 40))
 

@@ -86,7 +86,7 @@ def match_manufacturers(rows: DataFrame, raw: str) -> DataFrame:
         scored.append(F.struct(score.alias("score"), F.lit(-pos).alias("pos"), F.lit(name).alias("name"), F.lit(brand).alias("brand"), F.lit(code).alias("code")))
     best = F.array_max(F.array(*scored))
     names = names.withColumn("best", best)
-    none = F.col("_raw").isNull() | F.lower(F.trim("_raw")).isin(L.PLACEHOLDERS)
+    none = V.is_placeholder(F.col("_raw"))
     hit = F.col("best.score") >= 0.3
     pick = lambda missing, found, raw_: F.when(none, missing).when(hit, found).otherwise(raw_)
     names = names.select(

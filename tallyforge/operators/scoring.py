@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lookups as L
 from ..functions import values as V
 
 
@@ -73,8 +72,7 @@ def display_value(normalized: Column, raw: Column, unit: Column) -> Column:
 
 def brand_or(found: Column, own: Column, maker: Column) -> Column:
     """The brand found, else the record's unless it is a placeholder, else the manufacturer."""
-    none = own.isNull() | F.lower(F.trim(own)).isin(L.PLACEHOLDERS)
-    return F.when(found != "Unbranded", found).when(~none, own).otherwise(maker)
+    return F.when(found != "Unbranded", found).when(~V.is_placeholder(own), own).otherwise(maker)
 
 
 def merge_claims(sure: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 
-PART_LIST = ["Mfg_Part_Num", "Part_Desc", "E1_Brand", "Unilog_Brand", "DIB_Brand", "Part_Manuf"]
-
-
-def read_part_list(spark: SparkSession, path: str) -> DataFrame:
-    """A supplier's CSV with header; rows without a part number are left out, nulls become ''."""
+def read_part_list(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The ``columns`` of a supplier's CSV with header; the first is the part number, and rows without one are left out.  Nulls become ''."""
     rows = spark.read.option("header", True).csv(path)
-    picked = rows.select(*[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in PART_LIST])
-    return picked.where(F.col(PART_LIST[0]) != "")
+    picked = rows.select(*[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in columns])
+    return picked.where(F.col(columns[0]) != "")
 
 
 def write_snapshot(table: DataFrame, path: str, *partitions: str) -> None:
