@@ -1,10 +1,13 @@
-"""Queries of the streaming jobs: each runs its stream over the events to the end and returns what it wrote."""
+"""Queries that write and read back: streams over the events, run to their end, and files."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark.sql import functions as F
+
+from ..sources import ingest as I
 from ..streaming import streams as S
 from . import catalog as C
 
@@ -17,6 +20,23 @@ def _folder(spark) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def scan_part_list_csv(spark, d):
+    """The part table as a supplier's CSV, read again."""
+    path = f"{_folder(spark)}/parts.csv"
+    number = "if(p_partkey % 9 = 0, ' ', concat('P', p_partkey))"
+    C.table(spark, d, "part").selectExpr(f"{number} AS num", "concat(' ', p_name) AS name", "if(p_partkey % 4 = 0, null, p_brand) AS brand").write.option("header", True).csv(path)
+    return I.read_part_list(spark, path, ["num", "name", "brand"])
+
+
+def snapshot_write(spark, d):
+    """Products by status; then the drafts alone are written again, and the other partitions stay."""
+    path = f"{_folder(spark)}/products"
+    p = C.products(spark, d).select("product_id", "quality_score", "status")
+    I.write_snapshot(p, path, "status")
+    I.write_snapshot(p.where("status = 'draft' and product_id % 2 = 0"), path, "status")
+    return spark.read.parquet(path).select("product_id", "quality_score", F.col("status").cast("string").alias("status"))
+
+
 def _is_folder(spark, d) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
@@ -76,3 +96,5 @@ Q["stream_stage_counts"] = (stream_stage_counts, "WITH w AS (SELECT time_bucket(
 Q["stream_stale_jobs"] = (stream_stale_jobs, """WITH e AS (SELECT user_id AS job_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts) AS k FROM e)
 SELECT job_id, min(ts) AS active_from, max(ts) + INTERVAL 2 MINUTE AS stale_at, count(*) AS steps FROM s GROUP BY job_id, k HAVING max(ts) + INTERVAL 2 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+Q["scan_part_list_csv"] = (scan_part_list_csv, "SELECT 'P' || p_partkey AS num, trim(p_name) AS name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS brand FROM part WHERE p_partkey % 9 <> 0")
+Q["snapshot_write"] = (snapshot_write, C.with_views("products", "SELECT product_id, quality_score, status FROM products WHERE status <> 'draft' OR product_id % 2 = 0"))
