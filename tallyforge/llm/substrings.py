@@ -227,7 +227,8 @@ def _by_windows(shards: DataFrame, window: int) -> DataFrame:
     several = least.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     holders = least.join(several, "anchor").select("anchor", "part", F.col("least.id").alias("id"), F.col("least.at").alias("at"))
     own = parts.join(holders, ["anchor", "part", "id", "at"], "left_semi").dropDuplicates(["anchor", "part", "id", "at"])
-    windows = own.select("id", "at", "words").mapInArrow(windows_of, "id long, at int, window long")
+    # one anchor may hold most of the parts: they are dealt anew, evenly
+    windows = own.select("id", "at", "words").repartition("id", "at").mapInArrow(windows_of, "id long, at int, window long")
     first = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     return whole.unionAll(windows.join(first, "window").where("id > least").select("id", "at", F.lit(window).alias("n")))
 
