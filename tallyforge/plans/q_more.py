@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
-from ..functions import values as V
 from ..operators import maintain as M
 from ..operators import match as K
 from ..operators import parts as PT
