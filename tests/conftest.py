@@ -39,9 +39,7 @@ def rows_of(df):
     def one(v):
         if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) in ("NaT", "<NA>", "nan"):
             return ""
-        if isinstance(v, bool) or type(v).__name__ == "bool_":
-            return str(bool(v))
-        if isinstance(v, (int, float)) or type(v).__module__ == "numpy" or type(v).__name__ == "Decimal":
+        if isinstance(v, (bool, int, float)) or type(v).__module__ == "numpy" or type(v).__name__ == "Decimal":
             return f"{float(v):.6g}"
         return str(v).removesuffix(" 00:00:00")
 
