@@ -15,7 +15,6 @@ Shards reach the tasks by a shuffle on the anchor and not by broadcast: for a co
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
