@@ -16,6 +16,8 @@ from .shared import long_rows
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: A lazy parse with short matches: languages differ in syllables, which the faster strategies don't see.
 PARAMETERS = {"compression_level": 1, "strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "hash_log": 17, "chain_log": 17, "search_log": 3, "window_log": 18}
+#: Bytes that are compressed from the dictionary alone.  Later in a text a compressor finds what it needs in the text itself.
+PIECE_BYTES = 16 << 10
 
 
 def letters_only(text: str) -> str:
@@ -23,6 +25,13 @@ def letters_only(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower())
 
 
+def pieces(b: bytes) -> list[bytes]:
+    """``b`` in as few parts of at most PIECE_BYTES as there can be, of equal size to a byte."""
+    n = -(-len(b) // PIECE_BYTES)
+    edges = [i * len(b) // n for i in range(n + 1)] if n else [0]
+    return [b[i:j] for i, j in zip(edges, edges[1:])]
+
+
 def train_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 64, dict_bytes: int = 128 << 10) -> dict[str, bytes]:
     """A raw-content dictionary for each label, from a bounded sample of the labelled rows.
 
@@ -45,8 +54,8 @@ def train_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lan
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = 0.001, min_bytes: int = 200) -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` (0 to 1) and ``lang_kept``.
 
-    The letters of the whole text are compressed with each dictionary, and the smallest wins.  The score is the margin: by what
-    share the smallest is under the second smallest.  ``lang_kept`` is false where that is under ``min_margin`` in a text of at
+    The letters of the whole text are compressed with each dictionary, in pieces that each start from the dictionary anew, so that
+    every part of a long text counts alike, and the smallest sum wins.  The score is the margin: by what share the smallest sum is under the second smallest.  ``lang_kept`` is false where that is under ``min_margin`` in a text of at
     least ``min_bytes`` of letters; shorter ones have too little evidence to be rejected on.
 
     Null and empty texts, texts without a letter, and every text if there is no dictionary are 'und', score 0 and not kept.  With
@@ -74,7 +83,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                     pred.append("und"), score.append(0.0), kept.append(False)
                     continue
                 b = letters_only(t).encode()
-                sizes = sorted((len(c.compress(b)), n) for c, n in zip(made, names, strict=True))
+                parts = pieces(b)
+                sizes = sorted((sum(len(c.compress(x)) for x in parts), n) for c, n in zip(made, names, strict=True))
                 margin = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
                 pred.append(sizes[0][1]), score.append(margin), kept.append(len(b) < min_bytes or margin >= min_margin)
             added = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(kept, pa.bool_())]

@@ -175,6 +175,18 @@ def test_language_edges(spark, odd):
     assert langid.train_dictionaries(odd.where("false")) == {}
 
 
+def test_language_of_a_long_text_is_that_of_most_of_it(spark):
+    rng = random.Random(4)
+    vocabulary = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(3000)] for k, letters in (("aa", "abcdefghijk"), ("bb", "ghijklmnopq"))}
+    some = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    model = langid.train_dictionaries(spark.createDataFrame([(k, some(k, 600)) for k in ("aa", "bb") for _ in range(40)], "lang string, text string"))
+    texts = {"short": some("bb", 2000), "long": some("bb", 200_000), "hidden": some("aa", 15_000) + " " + some("bb", 200_000)}
+    got = {r["doc_id"]: r for r in langid.classify(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), model).collect()}
+    assert {k: (r["lang_pred"], r["lang_kept"]) for k, r in got.items()} == {k: ("bb", True) for k in texts}
+    assert got["long"]["lang_score"] == pytest.approx(got["short"]["lang_score"], rel=0.2)  # the margin doesn't shrink with the length
+    assert b"".join(langid.pieces(b"x" * 40_000)) == b"x" * 40_000 and max(map(len, langid.pieces(b"x" * 40_000))) <= langid.PIECE_BYTES and langid.pieces(b"") == []
+
+
 def test_chat_folds_edits_and_regenerations(spark):
     rows = [
         (1, 1, "m1", "start", "user", None), (1, 2, "m1", "delta", None, "hi "), (1, 3, "m1", "delta", None, "there"),
