@@ -14,26 +14,42 @@ from tallyforge.llm.shared import stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is clear; learns from their labels, from the two thirds that are not held out."""
+    """Keeps rows whose language is clear, each by its own text, whatever its doc_id; learns from their labels, from the two thirds that are not held out."""
     model = langid.train_dictionaries(docs.where(~langid.is_held_out(F.col("doc_id"))).select("text", "lang"))
     return langid.classify(docs, model).where("lang_kept").drop("lang_pred", "lang_score", "lang_kept")
 
 
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a number that no two rows share, in the order of doc_id; null for rows without doc_id.
+
+    It is the doc_id where none is repeated.  Otherwise rows are numbered in the order of doc_id, text and the other columns (the texts by hash).
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id"), F.xxhash64("text"), F.xxhash64(*docs.columns)]
+    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents keeps the one with the least doc_id; rows without doc_id stay."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    gone = groups.where("component_id < id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of linked rows keeps one, of the least doc_id.  Rows that share a doc_id are compared like others, so of exact
+    copies with one id a single row stays; rows without doc_id all stay."""
+    rows = _with_keys(docs)
+    groups = jaccard.jaccard_components(rows.select("__row", "text"), id_col="__row")
+    gone = groups.where("component_id < id").select(F.col("id").alias("__gone"))
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words or more that an earlier document has too out of the texts.
 
     A document that loses nothing keeps its text as it is; of others, what is left is joined by single spaces, and n_chars is counted
-    anew.  Documents of which nothing is left go.
+    anew.  Documents of which nothing is left go.  Each row is a document of its own, in the order of doc_id; rows that share one
+    each lose what an earlier one of them has, and keep their own texts otherwise.  Rows without doc_id lose nothing.
     """
-    kept = substrings.remove_repeats(docs.select("doc_id", "text")).where("n_removed > 0").select(F.col("id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"])
-    out = docs.join(kept, F.col("doc_id") == F.col("__id"), "left").where("__text is null or __text <> ''")
+    rows = _with_keys(docs)
+    kept = substrings.remove_repeats(rows.select("__row", "text"), id_col="__row").where("n_removed > 0").select(F.col("id").alias("__id"), F.col("text").alias("__text"))
+    out = rows.join(kept, F.col("__row") == F.col("__id"), "left").where("__text is null or __text <> ''")
     text = F.coalesce("__text", "text")
     changed = F.col("__text").isNotNull()
     new = {"text": text, "n_chars": F.when(changed, F.length("__text")).otherwise(F.col("n_chars")).cast("long")}
@@ -41,14 +57,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate.find_contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("n_hit > 0").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Drops the rows whose own text holds a window of a benchmark item, whatever their doc_id: null, or that of other rows too."""
+    others = [c for c in docs.columns if c != "text"]
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=others)
+    return found.where("n_hit = 0").select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents by source; a row for each time one is drawn, with its place in the stream."""
+    """Draws documents by source; a row for each time one is drawn, with its place in the stream.  Rows that share a doc_id, or have
+    none, share a place in their source and are drawn together."""
     return mixing.mix_sources(docs, mixing.count_words(F.col("text")))
 
 

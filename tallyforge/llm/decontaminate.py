@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .shared import long_rows
@@ -114,13 +115,14 @@ def longest(place: np.ndarray, which: np.ndarray, test: Suffixes) -> np.ndarray:
 _MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, id_col: str = "doc_id") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit (words inside any occurrence of a window of any item) and ``matches``, the longest
     verbatim matches with their places.
 
     A-Z are lowered, words are runs of digits, a-z and anything beyond ASCII, over whole texts.  A window is ``window`` words in
     a row of an item; an item of fewer is one window.  Items without words, or null, match nothing.  Null and empty documents have
-    no words.  Repeated rows give a row each; repeated items count once.
+    no words.  Repeated rows give a row each; repeated items count once.  Each row is judged by its own text, whatever its id.
+    Where ``carry`` names columns of ``docs``, ``text`` and a struct ``row`` of these columns stand in the result too.
 
     The suffixes of the items go to every task in blocks of at most ``block_bytes`` of text (an item longer than that is a block
     of its own); with a larger benchmark the documents pass one block after the other, in the same stage and without a shuffle.
@@ -128,9 +130,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // block_bytes))
-    kind = docs.schema[id_col].dataType.simpleString()
     fields = "item_id:string,item_word:long,word:long,n_words:long"
-    out = long_rows(docs).select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<struct<{fields}>>)").alias("matches"))
+    row = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
+    out = long_rows(docs).select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<struct<{fields}>>)").alias("matches"), *row)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toPandas()
         sent = docs.sparkSession.sparkContext.broadcast(suffixes_of(block, window))
@@ -145,13 +148,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 text = np.searchsorted(cut.first, rows[:, 0], side="right") - 1
                 for t, (word, item, at, n) in zip(text, rows.tolist(), strict=True):
                     found[t].append({"item_id": test.names[item], "item_word": at, "word": word - int(cut.first[t]), "n_words": n})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cut.first)), pa.array(found, _MATCH)], names=["id", "text", "n_words", "matches"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cut.first)), pa.array(found, _MATCH), *batch.columns[4:]], names=schema.names)
 
-        out = out.mapInArrow(search, f"id {kind}, text string, n_words long, matches array<struct<{fields}>>")
+        out = out.mapInArrow(search, schema)
     # words inside any match: the matches in order, each counted from where the ones before it end
     span = "array_sort(transform(matches, m -> struct(m.word as a, m.word + m.n_words as b)))"
     hit = f"aggregate({span}, struct(0L as n, 0L as e), (s, m) -> struct(s.n + greatest(m.b - greatest(m.a, s.e), 0L) as n, greatest(s.e, m.b) as e), s -> s.n)"
-    return out.select("id", "n_words", F.expr(hit).alias("n_hit"), "matches")
+    return out.select("id", "n_words", F.expr(hit).alias("n_hit"), "matches", *(["text", "row"] if carry else []))
 
 
 def op3_benchmark_decontamination(spark, sf_dir):

@@ -311,3 +311,30 @@ def test_broken_bits_of_the_kernels():
     for width in range(1, 6):
         assert W.sliding_min(x, width).tolist() == [min(x[i : i + width]) for i in range(5 - width + 1)]
     assert pd.Series(W.powers(np.uint64(3), 4)).tolist() == [1, 3, 9, 27]
+
+
+def test_pipeline_stages_judge_rows_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    item, passage = words("k", 14), words("p", 60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = lambda f, rows: sorted(((r["doc_id"], r["text"]) for r in f(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS), str(tmp_path)).collect()), key=str)
+
+    # 3: a contaminated row goes though its id is null, a clean one stays though its id is that of a contaminated one
+    rows = [(None, "x " + item), (None, "clean"), (1, item), (1, "also clean"), (2, "fine")]
+    assert stage(P.decontaminate_benchmarks, rows) == sorted([(None, "clean"), (1, "also clean"), (2, "fine")], key=str)
+
+    # 7: rows of one id keep their own texts
+    rows = [(1, passage), (2, "aa " + passage + " bb"), (2, words("q", 70)), (2, "cc dd " + passage), (None, passage), (3, words("r", 5))]
+    assert stage(P.drop_repeated_passages, rows) == sorted([(1, passage), (2, "aa bb"), (2, words("q", 70)), (2, "cc dd"), (None, passage), (3, words("r", 5))], key=str)
+
+    # 9: of exact copies with one id one stays
+    rows = [(5, passage), (5, passage), (5, words("q", 70)), (6, passage), (None, passage), (None, passage)]
+    assert stage(P.drop_near_copies, rows) == sorted([(5, passage), (5, words("q", 70)), (None, passage), (None, passage)], key=str)
+
+    # 8 and 1: every row by its own text; rows of one id are drawn alike
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(1, passage), (1, "123"), (None, passage), (None, ""), (2, words("q", 70))]], DOCS)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in P.identify_language(spark, docs, str(tmp_path)).collect()) == sorted([(1, passage), (0, passage), (2, words("q", 70))])
+    drawn = P.mix(spark, docs, str(tmp_path)).toPandas()
+    assert drawn[drawn["doc_id"] == 1].groupby("text").size().nunique() == 1
