@@ -236,6 +236,21 @@ def test_mixing_draws_budgets(spark):
     assert mixing.mix_sources(docs.limit(0), F.col("n")).count() == 0
 
 
+def test_mixing_permutes_fixed_blocks(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 8 else "b", 1 << 13) for i in range(1600)], "doc_id long, source string, n long")
+    got = mixing.mix_sources(docs, F.col("n"), target_entropy_share=1.0).toPandas().sort_values("mix_order")
+    assert (got.groupby("doc_id")["mix_block"].nunique() == 1).all()  # a document's block is the same in every pass
+    runs = {}
+    for (source, n), part in got.groupby(["source", "mix_pass"]):
+        blocks = part["mix_block"].tolist()
+        runs[source, n] = [x for x, before in zip(blocks, [None, *blocks], strict=False) if x != before]
+        assert len(runs[source, n]) == len(set(blocks))  # the documents of a block follow each other
+    whole = [runs["b", n] for n in range(3)]
+    assert all(sorted(x) == sorted(whole[0]) and x != sorted(x) for x in whole) and whole[0] != whole[1] != whole[2] != whole[0]
+    by = got.groupby("source")["mix_tokens"].sum()
+    assert by.sum() == pytest.approx(1600 << 13, abs=2 << 13) and by["b"] == pytest.approx(4 * 200 << 13, abs=1 << 13)
+
+
 def test_winnowing_takes_the_rightmost_least_of_each_window(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (0, 1, 4, 5, 8, 9, 40, 120)]
