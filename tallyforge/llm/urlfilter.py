@@ -43,7 +43,7 @@ def _generalised(path: str) -> str:
 
 
 def template_tree(urls: DataFrame, min_share: float = 0.02, merge_rounds: int = 2, z: float = 1.96, strength: float = 10.0) -> DataFrame:
-    """``urls`` (id, host, path, label; label 1 to block, 0 to allow, null unknown) with ``template``, ``purity``, ``n_labelled``.
+    """``urls`` (id, host, path, label; label 1 to block, 0 to allow, null unknown) with ``template``, ``purity``, ``n_labelled``, ``n_blocked``.
 
     A segment stays as it is if at least ``min_share`` of the host's urls of that depth have it there, else it is '*'; so a host
     has at most 1 / min_share values a depth.  ``merge_rounds`` times, a template whose block rate is within ``z`` standard errors of that of its
@@ -76,9 +76,9 @@ def template_tree(urls: DataFrame, min_share: float = 0.02, merge_rounds: int =
     prior = leaves.agg(F.coalesce(F.sum("blocked") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("prior"))
     sums = nodes.groupBy("host", "node").agg(F.sum("n").alias("n_labelled"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(prior))
     purity = (F.col("b") + F.lit(strength) * F.col("prior")) / (F.col("n_labelled") + F.lit(strength))
-    judged = nodes.select("host", "template", "node").join(sums.select("host", "node", "n_labelled", purity.alias("purity")), ["host", "node"])
-    judged = judged.select("host", "template", "node", "n_labelled", "purity")
-    return urls.join(judged, ["host", "template"]).select("id", "host", "path", "label", F.col("node").alias("template"), "n_labelled", "purity")
+    judged = nodes.select("host", "template", "node").join(sums.select("host", "node", "n_labelled", F.col("b").alias("n_blocked"), purity.alias("purity")), ["host", "node"])
+    judged = judged.select("host", "template", "node", "n_labelled", "n_blocked", "purity")
+    return urls.join(judged, ["host", "template"]).select("id", "host", "path", "label", F.col("node").alias("template"), "n_labelled", "n_blocked", "purity")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_col: str = "page_id", url: str = "url", max_purity: float = 0.8, **tree) -> DataFrame:
@@ -86,13 +86,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id
 
     Host: after the first '://' up to '/', '?', '#' or the end, A-Z lowered; path: from there to '?', '#' or the end; both empty without
     '://' or for null.  A rule fits its host and subdomains where the path starts with the rule's; the longest decides.  Urls with a rule
-    are the labelled examples for the tree, which decides on the rest: 'block' where ``purity`` is ``max_purity`` or more.
+    are the labelled examples for the tree, which decides on the rest: 'block' where ``purity`` is ``max_purity`` or more, and so is the block rate of the
+    branch's own labels.  The prior alone never blocks: a branch without labels is allowed.
     """
     rules = RULES if rules is None else rules
     seen = pages.select(pages[id_col].alias("id"), url_host(pages[url]).alias("host"), url_path(pages[url]).alias("path"))
     verdict = match_rule(F.col("host"), F.col("path"), rules, 0)
     tree_rows = template_tree(seen.withColumn("label", F.when(verdict == "block", 1).when(verdict == "allow", 0)), **tree)
-    other = F.when(F.col("purity") >= max_purity, "block").otherwise("allow")
+    own = (F.col("n_labelled") > 0) & (F.col("n_blocked") >= max_purity * F.col("n_labelled"))
+    other = F.when(own & (F.col("purity") >= max_purity), "block").otherwise("allow")
     return tree_rows.select("id", "host", "path", match_rule(F.col("host"), F.col("path"), rules, 1).alias("rule"), F.coalesce(verdict, other).alias("verdict"), "template", "purity")
 
 

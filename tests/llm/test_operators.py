@@ -305,6 +305,13 @@ def test_urls_learn_from_rules(spark):
     assert urlfilter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_are_not_blocked_by_the_prior_alone(spark):
+    urls = [(i, f"http://hot.net/x/{i}") for i in range(300)] + [(900, "http://other.example.org/a/b"), (901, "http://other.example.org/a/c"), (902, "http://third.org/fr/a"), (903, "http://third.org/b")]
+    got = {r["id"]: r for r in urlfilter.filter_urls(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert got[0]["verdict"] == "block" and got[900]["purity"] >= 0.8
+    assert [got[i]["verdict"] for i in (900, 901, 903)] == ["allow"] * 3
+
+
 def test_odd_rows_go_through_everything(spark, odd):
     assert jaccard.jaccard_components(odd).count() == odd.count()
     left = substrings.remove_repeats(odd).toPandas()
