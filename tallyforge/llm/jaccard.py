@@ -1,24 +1,27 @@
 """N-gram Jaccard join by vertical partitioning.
 
 All n-grams stand in one global order: those that look frequent in a sample of documents come last, and within either part
-the order is that of a 64-bit hash.  Documents meet in their first n-grams of that order.  For candidate pairs the order is cut into
-fragments, the overlap is counted in each fragment on its own, and the counts are summed per pair, so no whole sets are compared.
-
-Why no link is lost.  Let A and B link: the intersection I is at least 3/4 of the union U.
-* A set of n n-grams shares one of its first n/4 + 1 with B, among B's first ones.  Sets of up to ``CAP_FROM`` n-grams give all of
-  these, so a frequent n-gram is met only by sets with under a quarter of rare ones.
-* Larger sets give their first ``FIRST_RARE_CAPPED`` rare n-grams.  If at least a quarter of the union's rare n-grams are common, they share
-  one but for a chance of 0.75**128 = 1e-16.  Otherwise rare ones are under a third of U and two thirds of either set are frequent,
-  overlapping by 3/4 or more; such sets give 32 frequent n-grams too, and share one but for 0.25**32 = 2**-64.
-Which n-grams count as frequent only moves work; it can't change the result.
-
-Two filters keep pairs that can't link from being counted.  The first common n-gram of the order bounds the overlap by what follows
-it.  And rare n-grams in common must be as many as a linking pair has at least, eight standard deviations below its mean.
+the order is that of a 64-bit hash.  Which n-grams count as frequent only moves work; it can't change the result.  Documents meet
+in their first n-grams of that order.  For candidate pairs the order is cut into fragments, the overlap is counted in each
+fragment on its own, and the counts are summed per pair, so no whole sets are compared.
+
+Only components are asked for, so links are looked for in steps, each linear in the rows of the table of first n-grams:
+
+1. each set is held against one partner, the likeliest of the centres of its n-grams;
+2. rounds, as in Boruvka's algorithm: each set outside its n-gram's largest component proposes its nearest set of another component,
+   until a round adds few links or none;
+3. all pairs that share a first n-gram and are still in different components are refuted by exact bounds, or else counted.
+
+No link is lost in step 3.  If A and B link, their symmetric difference d is at most (|A| + |B|) / 7.  So they share one of their first
+n/4 + 1 n-grams, all of which are given; the first one they share stands so early in both that what follows can hold the overlap;
+they share as many of these first n-grams as what follows leaves open; and their parity sketches (each n-gram flips one of 1024
+bits) differ in at most d bits.  Pairs that fail a bound never leave the task that has their group in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,15 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import bit_of, bitmap, has_bit, long_rows, stored
+from .shared import bit_of, bitmap, bits_for, has_bit, long_rows, stored
 
 RULE, FRAGMENTS, SALTS = "spaced_lower", 8, 16
-FIRST_RARE, FIRST_RARE_CAPPED, FIRST_FREQUENT, CAP_FROM, SHARE_FROM = 64, 128, 32, 700, 511
 #: One document in 16 is looked at for frequent n-grams; in three of those an n-gram is frequent.
-SAMPLE, FREQUENT_IN, LOG2_BITS = 16, 3, 25
-LOG2_NEEDED = 23
+SAMPLE, FREQUENT_IN = 16, 3
+#: 64-bit words of a parity sketch; rows of an n-gram that are compared at once; rows that are sent to all tasks at most.
+SKETCH, BLOCK, SMALL = 16, 4096, 100_000
+#: A round of fewer pairs is the last: the step after it counts what is left.
+FEW = 1000
 
 
 def shingle_sets(cut: W.Words, k: int) -> Iterator[np.ndarray]:
@@ -55,6 +60,12 @@ def _set_id(t: np.ndarray) -> int:
     return int(W.signed(W.mix(np.array([W.mix(t ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(t.size)], dtype=np.uint64)))[0])
 
 
+def parity_sketch(t: np.ndarray) -> np.ndarray:
+    """64 * SKETCH bits, each the parity of the shingles that fall on it: two sketches differ in no more bits than their sets do in shingles."""
+    odd = np.bincount((t & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _sampled_shingles(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
@@ -64,31 +75,26 @@ def _sampled_shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "gram long")
 
 
-def _sketches(docs: DataFrame, k: int, frequent: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)  # 2**25 bits, whatever the input
+def _sketches(docs: DataFrame, k: int, often: DataFrame) -> DataFrame:
+    """(id, set, n, n_rare, sketch, grams): of each row its set, the set's sketch and its first n/4 + 1 shingles in the global order."""
+    log2 = bits_for(often.count())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(often, F.shiftrightunsigned("gram", 64 - log2), log2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in W.slices(batches, "text"):
-            ids, n, rare_n, grams, at = [], [], [], [], [0]
+            ids, n, rare_n, sketches, grams, at = [], [], [], [], [], [0]
             for t in shingle_sets(W.cut(batch.column(1), RULE), k):
-                often = has_bit(bits, t >> np.uint64(64 - LOG2_BITS))
-                n_rare, prefix = t.size - int(often.sum()), t.size // 4 + 1
-                kept = [t[~often][: rare_given(t.size)]]
-                if n_rare < prefix or (t.size > SHARE_FROM and 3 * n_rare <= t.size):
-                    kept.append(t[often][: max(FIRST_FREQUENT, prefix - n_rare if t.size <= CAP_FROM else 0)])
-                ids.append(_set_id(t) if t.size else None), n.append(t.size), rare_n.append(n_rare)
-                grams += kept
-                at.append(at[-1] + sum(x.size for x in kept))
+                frequent = has_bit(bits, t >> np.uint64(64 - log2))
+                n_rare, prefix = t.size - int(frequent.sum()), t.size // 4 + 1
+                ids.append(_set_id(t) if t.size else None), n.append(t.size), rare_n.append(n_rare), sketches.append(parity_sketch(t))
+                grams += [t[~frequent][:prefix], t[frequent][: max(0, prefix - n_rare)]]
+                at.append(at[-1] + sum(x.size for x in grams[-2:]))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(W.signed(np.concatenate(grams))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(rare_n, pa.int64()), lists], names=["id", "set", "n", "n_rare", "grams"])
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(W.signed(np.concatenate(sketches))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(rare_n, pa.int64()), wide, lists], names=["id", "set", "n", "n_rare", "sketch", "grams"])
 
-    return docs.mapInArrow(run, "id long, set long, n long, n_rare long, grams array<long>")
-
-
-def rare_given(n: int) -> int:
-    """Rare n-grams that a set of n gives at most."""
-    return max(FIRST_RARE, n // 4 + 1) if n <= CAP_FROM else FIRST_RARE_CAPPED
+    return docs.mapInArrow(run, "id long, set long, n long, n_rare long, sketch array<long>, grams array<long>")
 
 
 SIDE = ("r", "set", "n", "pos")
@@ -96,7 +102,8 @@ PAIR = [c + x for x in "ab" for c in SIDE]
 
 
 def _meet(firsts: DataFrame) -> DataFrame:
-    """Of each (n-gram, salt), its centre as side a with every other set as side b; of frequent n-grams the centre with itself too.
+    """Of each (n-gram, salt) of two sets or more, its centre as side a with every set as side b, the centre too; of frequent n-grams also
+    where a salt has one set only.
 
     The centre is the set with the fewest rare n-grams: among copies with edits, the one that is closest to what they share.
 
@@ -104,22 +111,26 @@ def _meet(firsts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, alone = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if last is not None:
                 cols = [np.append(x, y) for x, y in zip(last, cols, strict=True)]
-            gram, salt, _, set_ = cols[:4]
+            gram, salt = cols[:2]
             new = np.ones(gram.size, dtype=bool)
             new[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
             begin = np.maximum.accumulate(np.where(new, np.arange(gram.size), 0))
-            out = ~new & (set_ != set_[begin]) | new & (salt >= 0)
-            if last is not None:
-                out[0] = False
-            i, c = np.flatnonzero(out), begin[out]
-            last = [x[begin[-1] : begin[-1] + 1].copy() for x in cols]
+            # a centre of a rare n-gram meets itself once a second set of its group comes
+            again = np.append(~new[1:], False) & new & (salt < 0) | new & (salt >= 0)
+            if last is not None and (salt[0] >= 0 or not alone):
+                again[0] = False
+            i = np.sort(np.concatenate([np.flatnonzero(~new), np.flatnonzero(again)]))
+            c = begin[i]
+            head = begin[-1]
+            alone = bool(new[-1])
+            last = [x[head : head + 1].copy() for x in cols]
             yield pa.RecordBatch.from_arrays([pa.array(gram[i]), pa.array(salt[i] >= 0), *[pa.array(x[c]) for x in cols[2:]], *[pa.array(x[i]) for x in cols[2:]]], names=["gram", "often", *PAIR])
 
     return (
@@ -129,41 +140,140 @@ def _meet(firsts: DataFrame) -> DataFrame:
 
 
 def _may_link() -> Column:
-    """Sizes, and of frequent n-grams the places, that let two sets of one n-gram link (if it is the first that they share)."""
+    """Sizes and places that let two sets of one n-gram link, if it is the first that they share."""
     left = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
-    return (100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")) & (~F.col("often") | (7 * left >= 3 * (F.col("na") + F.col("nb"))))
+    return (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * left >= 3 * (F.col("na") + F.col("nb")))
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) that their sketches don't refute."""
+    side = lambda x: sets.select(F.col("set").alias(x), F.col("sketch").alias("s" + x))
+    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(7 * apart <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
+
+
+class Rows(NamedTuple):
+    """Rows of whole n-gram groups, one after the other."""
+
+    group: np.ndarray
+    set: np.ndarray
+    n: np.ndarray
+    pos: np.ndarray
+    root: np.ndarray
+    part: np.ndarray  # the block that a row is of
+    two: np.ndarray  # whether only rows of different blocks are compared
+    main: np.ndarray  # the largest component of the group
+    sketch: np.ndarray
+
+
+def unrefuted(r: Rows, lags: int = 16, rows: int = 256) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs (i, j) of rows of one group in different components that sizes and sketches don't refute, with whether the places let
+    them link here, and by how far they miss the bound.  Small groups are compared all together, row by row at each distance up to ``lags``."""
+
+    def judged(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        ni, nj = r.n[i], r.n[j]
+        may = (r.root[i] != r.root[j]) & (4 * np.minimum(ni, nj) >= 3 * np.maximum(ni, nj)) & ~(r.two[i] & (r.part[i] == r.part[j]))
+        i, j = i[may], j[may]
+        for at in range(0, i.size, 1 << 16):
+            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            slack = r.n[p] + r.n[q] - 7 * np.bitwise_count(r.sketch[p] ^ r.sketch[q]).sum(axis=1, dtype=np.int64)
+            keep = slack >= 0
+            p, q, slack = p[keep], q[keep], slack[keep]
+            if p.size:
+                yield p, q, 7 * np.minimum(r.n[p] - r.pos[p], r.n[q] - r.pos[q]) >= 3 * (r.n[p] + r.n[q]), slack
+
+    size = np.bincount(r.group)
+    small = size[r.group] <= lags
+    for lag in range(1, min(lags, r.group.size)):
+        i = np.flatnonzero(small[:-lag] & (r.group[lag:] == r.group[:-lag]))
+        if not i.size:
+            break
+        yield from judged(i, i + lag)
+    begin = np.cumsum(size) - size
+    for g in np.flatnonzero(size > lags).tolist():
+        own = np.arange(begin[g], begin[g] + size[g])
+        in_main = r.root[own] == r.main[own[0]]
+        own = np.concatenate([own[~in_main], own[in_main]])  # pairs within the main component don't come up at all
+        outside = own.size - int(in_main.sum())
+        for first in range(0, outside, rows):
+            x, y = own[first : min(outside, first + rows)], own[first + 1 :]
+            i, j = np.nonzero(np.arange(y.size)[None, :] >= np.arange(x.size)[:, None])  # each pair once
+            yield from judged(x[i], y[j])
+
+
+def _apart(shared: DataFrame, sets: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of sets that share an n-gram of ``shared`` (gram, set, n, pos), are in different components, and are not refuted by sketches.
+
+    ``nearest``: (set, na, other, nb, slack), for each n-gram and set outside its main component the nearest one.  Else (a, b, na, nb, fits),
+    a row for each n-gram that a pair shares, and whether it may be the first of a link.
+
+    Groups of more than BLOCK rows are cut into blocks, and each two blocks meet in a task of their own.
+    """
+    now = shared.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    counts = now.groupBy("gram", "root").agg(F.count("*").alias("c"))
+    main = counts.groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("size")).where("roots > 1")
+    now = now.join(main.select("gram", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "gram").join(sets.select("set", "sketch"), "set")
+    now = now.withColumn("part", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    now = now.select("gram", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "set", "n", "pos", "root", "part", "main", "sketch")
 
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+        held: list[np.ndarray] = []
 
-def _enough(rare: Column) -> Column:
-    """Whether two sets have as many rare n-grams in common, of those they give, as sets that link have at least."""
-    given = lambda n, r: F.least(F.col(r), F.when(F.col(n) <= CAP_FROM, F.greatest(F.lit(FIRST_RARE), F.floor(F.col(n) / 4) + 1)).otherwise(FIRST_RARE_CAPPED))
-    k = F.least(given("na", "ra"), given("nb", "rb")).cast("double")
-    share = F.greatest("ra", "rb") * 1.75 / (F.col("na") + F.col("nb"))  # of the union, the rare part at least
-    common = F.when(share > 0.25, 1 - 0.25 / share).otherwise(0.0)  # of the rare part, what is common at least
-    return rare >= F.greatest(F.lit(1.0), F.floor(k * common - 8 * F.sqrt(k * common * (1 - common))))
+        def rows(cols: list[np.ndarray], new: np.ndarray) -> Rows:
+            _, low, high, set_, n, pos, root, part, main_, sketch = cols
+            return Rows(np.cumsum(new) - 1, set_, n.astype(np.int64), pos.astype(np.int64), root, part, low != high, main_, sketch)
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)]
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)] if held else cols
+            new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]))
+            last = int(np.flatnonzero(new)[-1])  # its group may go on
+            if last:
+                yield rows([c[:last] for c in cols], new[:last])
+            held = [c[last:].copy() for c in cols]
+        if held:
+            yield rows(held, np.append(True, np.zeros(held[0].size - 1, dtype=bool)))
 
-def _pairs(met: DataFrame, *keep: str) -> DataFrame:
-    """The pairs of sets worth counting, from their meetings, with how many n-grams they ``shared`` in these."""
-    met = met.where(_may_link()).groupBy("seta", "na", "ra", "setb", "nb", "rb", *keep).agg(F.count_if("often").alias("frequent"), F.count_if(~F.col("often")).alias("rare"))
-    met = met.where((F.col("frequent") > 0) | _enough(F.col("rare")))
-    return met.select(F.col("seta").alias("a"), "na", F.col("setb").alias("b"), "nb", *keep, (F.col("frequent") + F.col("rare")).alias("shared"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in groups(batches):
+            best, whom = np.full(r.n.size, -1, dtype=np.int64), np.zeros(r.n.size, dtype=np.int64)
+            for p, q, fits, slack in unrefuted(r):
+                if nearest:
+                    order = np.argsort(slack, kind="stable")
+                    for x, y in ((p[order], q[order]), (q[order], p[order])):
+                        top, who = np.full(r.n.size, -1, dtype=np.int64), np.zeros(r.n.size, dtype=np.int64)
+                        top[x], who[x] = slack[order], y  # the last counts, which is the nearest
+                        better = top > best
+                        best[better], whom[better] = top[better], who[better]
+                else:
+                    a, b = np.where(r.set[p] < r.set[q], p, q), np.where(r.set[p] < r.set[q], q, p)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r.set[a], r.set[b], r.n[a].astype(np.int32), r.n[b].astype(np.int32), fits)], names=["a", "b", "na", "nb", "fits"])
+            x = np.flatnonzero((best >= 0) & (r.root != r.main))
+            if x.size:
+                y = whom[x]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (r.set[x], r.set[y], r.n[x].astype(np.int32), r.n[y].astype(np.int32), best[x])], names=["set", "other", "na", "nb", "slack"])
+
+    keys = ("gram", "low", "high")
+    schema = "set long, other long, na int, nb int, slack long" if nearest else "a long, b long, na int, nb int, fits boolean"
+    return now.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose overlap, counted by fragment and summed, makes them link."""
     needed = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
-    owners = sets.join(needed, "set", "left_semi").select("rep")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(owners, bit_of("rep", LOG2_NEEDED), LOG2_NEEDED))
+    owners = stored(sets.join(needed, "set", "left_semi").select(F.col("rep").alias("id")), "owners")
+    n_owners = owners.count()
     shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
+    log2 = bits_for(n_owners)
+    sent = None if n_owners <= SMALL else docs.sparkSession.sparkContext.broadcast(bitmap(owners, bit_of("id", log2), log2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
-            mask = has_bit(bits, batch.column(2).to_numpy().astype(np.uint64))
-            if not mask.any():
-                continue
-            for part in W.slices([batch.filter(pa.array(mask))], "text"):
+            if sent is not None:
+                batch = batch.filter(pa.array(has_bit(sent.value, batch.column(2).to_numpy().astype(np.uint64))))
+            for part in W.slices([batch], "text"):
                 set_, fragment, grams, at = [], [], [], [0]
                 for t in shingle_sets(W.cut(part.column(1), RULE), k):
                     if t.size:
@@ -176,7 +286,11 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percen
                     lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(W.signed(np.concatenate(grams))))
                     yield pa.RecordBatch.from_arrays([pa.array(set_, pa.int64()), pa.array(fragment, pa.int32()), lists], names=["set", "fragment", "grams"])
 
-    probe = docs.where("id is not null").withColumn("bit", bit_of("id", LOG2_NEEDED))
+    probe = docs.where("id is not null")
+    if sent is None:  # a few ids go to all tasks; more of them as bits
+        probe = probe.join(F.broadcast(owners), "id", "left_semi")
+    else:
+        probe = probe.withColumn("bit", bit_of("id", log2))
     cut = probe.mapInArrow(run, "set long, fragment int, grams array<long>").join(needed, "set", "left_semi")
     cut = stored(cut.groupBy("set", "fragment").agg(F.first("grams").alias("grams")), "fragments")
     by_fragment = pairs.select("a", "b", "na", "nb", F.explode(F.expr(f"sequence(0, {FRAGMENTS - 1})")).alias("fragment"))
@@ -187,7 +301,13 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percen
     return partial.groupBy("a", "b", "na", "nb").agg(both.alias("overlap")).where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+def _ordered(a: str, b: str) -> list[Column]:
+    """Columns a, b, na, nb of a pair with the lesser set first."""
+    swap = F.col(a) > F.col(b)
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")]
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, max_rounds: int = 8, counts: list[int] | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of each row of ``docs``: the least id of those reachable by links.
 
     A-Z are lowered, words are runs of anything but ASCII white space, of whole texts.  A document's set is its distinct shingles of
@@ -195,62 +315,68 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     ``percent`` of 75 or more.  Null and empty texts, and texts of white space, have an empty set and link with nothing.  Rows with
     equal sets, repeated ones too, are one node.  Rows without id take no part and have no component.  Ids are integers.
 
-    Equal sets become one node before anything is compared.  Each node then meets only the centre of every n-gram group, and after
-    these links are followed only pairs that are still in different components, the likeliest of each set first, so that a group of m near copies costs about m pairs.
+    Equal sets become one node before anything is compared.  Up to ``max_rounds`` rounds look for the nearest set of another component;
+    fewer rounds only leave more pairs to the last step, as does a round of few pairs, which is the last.  ``counts``, if given, receives the number of pairs counted in each step.
     """
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")  # the bounds above are those of 75
     rows = long_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    often = _sampled_shingles(rows, k).groupBy("gram").count().where(F.col("count") >= FREQUENT_IN)
-    frequent = bitmap(often, F.shiftrightunsigned("gram", 64 - LOG2_BITS), LOG2_BITS)
-    sketches = stored(_sketches(rows, k, frequent), "sketches")
-
-    sets = stored(
-        sketches.where("set is not null and id is not null").groupBy("set")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("n_rare").alias("n_rare"), F.first("grams").alias("grams")),
-        "sets",
-    )
-    is_often = F.col("pos") >= F.least("n_rare", F.expr(f"if(n <= {CAP_FROM}, greatest({FIRST_RARE}, floor(n / 4) + 1), {FIRST_RARE_CAPPED})"))
-    firsts = sets.select("set", "n", "n_rare", F.posexplode("grams").alias("pos", "gram")).withColumn("often", is_often)
-    given = F.expr(f"least(n_rare, if(n <= {CAP_FROM}, greatest({FIRST_RARE}, floor(n / 4) + 1), {FIRST_RARE_CAPPED}))")
-    # the place in the order; of capped sets, which may share rare n-grams that they don't give, the place among the frequent ones
-    place = F.when(~F.col("often"), F.col("pos")).otherwise(F.col("pos") - given + F.when(F.col("n") <= CAP_FROM, F.col("n_rare")).otherwise(0))
-    firsts = firsts.select(
-        "gram", F.when(F.col("often"), F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")).otherwise(-1).alias("salt"), "set", F.col("n").cast("int").alias("n"), F.col("n_rare").cast("int").alias("r"), place.cast("int").alias("pos")
-    )
+    often = stored(_sampled_shingles(rows, k).groupBy("gram").count().where(F.col("count") >= FREQUENT_IN).select("gram"), "often")
+    sketches = stored(_sketches(rows, k, often), "sketches")
+
+    first = lambda *cols: [F.first(c).alias(c) for c in cols]
+    sets = stored(sketches.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), *first("n", "n_rare", "sketch", "grams")), "sets")
+    firsts = sets.select("set", "n", "n_rare", F.posexplode("grams").alias("pos", "gram"))
+    salt = F.when(F.col("pos") >= F.col("n_rare"), F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")).otherwise(-1)
+    firsts = firsts.select("gram", salt.alias("salt"), "set", F.col("n").cast("int").alias("n"), F.col("n_rare").cast("int").alias("r"), "pos")
     met = stored(_meet(firsts), "met")
 
-    heads = met.where("seta = setb").select("gram", *[F.col(c + "b").alias(c) for c in SIDE])
-    head = heads.groupBy("gram").agg(F.min(F.struct(*SIDE)).alias("h"))
-    across = heads.join(head, "gram").select("gram", F.lit(True).alias("often"), *[F.col(f"h.{c}").alias(c + "a") for c in SIDE], *[F.col(c).alias(c + "b") for c in SIDE])
-    tried = stored(_pairs(met.unionAll(across).where("seta <> setb")), "pairs")
-    links = stored(_verified(rows, sets, tried.drop("shared"), k, percent).select("a", "b"), "links")
-    roots = components(links)
-
-    # what shares a first n-gram but is in different components so far
-    side = lambda x: met.select("gram", "often", *[F.col(c + x).alias(c) for c in SIDE])
-    members = side("a").unionAll(side("b")).distinct()
-    members = members.join(roots, F.col("set") == F.col("node"), "left").select("gram", "often", *SIDE, F.coalesce("root", "set").alias("root"))
-    counts = members.groupBy("gram", "root").agg(F.count("*").alias("c"))
-    main = counts.groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("gram", "main")
-    split = stored(members.join(main, "gram"), "split")
-    x = split.where("root <> main").select("gram", "often", *[F.col(c).alias(c + "a") for c in SIDE], F.col("root").alias("roota"))
-    y = split.select("gram", *[F.col(c).alias(c + "b") for c in SIDE], F.col("root").alias("rootb"), (F.col("root") == F.col("main")).alias("in_main"))
-    apart = x.join(y, "gram").where("roota <> rootb and (in_main or seta < setb)").where(_may_link())
-    swap = F.col("seta") > F.col("setb")
-    apart = apart.select("gram", "often", *[F.when(swap, F.col(c + q)).otherwise(F.col(c + p)).alias(c + p) for p, q in ("ab", "ba") for c in (*SIDE, "root")])
-    rest = stored(_pairs(apart, "roota", "rootb").join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-
-    # of each set the likeliest partner in each other component, which leaves few components to be held against each other
-    best = lambda x, root: rest.groupBy(x, root).agg(F.max_by(F.struct("a", "na", "b", "nb"), F.struct("shared", "a", "b")).alias("p")).select("p.*")
-    likely = stored(best("a", "rootb").unionAll(best("b", "roota")).distinct(), "pairs")
-    links = stored(links.unionAll(_verified(rows, sets, likely, k, percent).select("a", "b")), "links")
+    # 1: of each set the centre that it meets most often; frequent n-grams have one centre for all salts
+    frequent = met.where("often").select("gram", *[F.col(c + "b") for c in SIDE])
+    head = frequent.groupBy("gram").agg(F.min(F.struct(*[F.col(c + "b").alias(c + "a") for c in SIDE])).alias("h"))
+    near = met.where("not often").select(*PAIR).unionAll(frequent.join(head, "gram").select(*[F.col(f"h.{c}a") for c in SIDE], *[c + "b" for c in SIDE]))
+    near = near.where("seta <> setb").where(_may_link()).groupBy("seta", "na", "setb", "nb").agg(F.count("*").alias("shared"))
+    near = near.groupBy("setb", "nb").agg(F.max_by(F.struct("seta", "na"), F.struct("shared", "seta")).alias("c")).select("setb", "nb", "c.*")
+    tested = stored(_plausible(near.select(*_ordered("seta", "setb")).distinct(), sets), "pairs")
+    links = stored(_verified(rows, sets, tested, k, percent).select("a", "b"), "links")
     roots = components(links)
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(c + "_now"))
-    left = rest.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("a_now", "a") != F.coalesce("b_now", "b"))
-    left = stored(left.select("a", "na", "b", "nb").join(likely.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = _verified(rows, sets, left, k, percent).select("a", "b")
-    roots = components(links.unionAll(more))
+    if counts is not None:
+        counts.append(tested.count())
+
+    # what shares a first n-gram with a set of another component
+    members = met.select("gram", F.col("setb").alias("set"), F.col("nb").alias("n"), F.col("posb").alias("pos")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    several = members.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("gram")
+    shared = stored(members.join(several, "gram").select("gram", "set", "n", "pos"), "shared")
+
+    # 2: rounds of nearest sets
+    for _ in range(max_rounds):
+        nearest = _apart(shared, sets, roots, True)
+        nearest = nearest.groupBy("set", "na").agg(F.max_by(F.struct("other", "nb"), F.struct("slack", "other")).alias("c")).select("set", "na", "c.*")
+        new = stored(nearest.select(*_ordered("set", "other")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        n_new = new.count()
+        if counts is not None:
+            counts.append(n_new)
+        if not n_new:
+            break
+        found = stored(_verified(rows, sets, new, k, percent).select("a", "b"), "links")
+        tested = tested.unionAll(new)
+        if found.isEmpty():
+            break
+        links = links.unionAll(found)
+        roots = components(links)
+        if n_new < FEW:
+            break
+
+    # 3: all that is left in different components
+    rest = _apart(shared, sets, roots, False).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("fits").alias("fits"))
+    after = F.greatest(F.col("na") - F.floor(F.col("na") / 4) - 1, F.col("nb") - F.floor(F.col("nb") / 4) - 1)
+    rest = rest.where(F.col("fits") & (7 * (F.col("common") + after) >= 3 * (F.col("na") + F.col("nb")))).select("a", "b", "na", "nb")
+    rest = stored(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    n_rest = rest.count()
+    if counts is not None:
+        counts.append(n_rest)
+    if n_rest:
+        roots = components(links.unionAll(_verified(rows, sets, rest, k, percent).select("a", "b")))
 
     named = roots.join(sets.select(F.col("set").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))

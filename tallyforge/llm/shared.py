@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach (``spark.checkpoint.dir``); a temp folder only where it is unset, as in tests."""
+    """The folder every executor can reach (``spark.checkpoint.dir``).  Where it is unset, a local session gets a temp folder; on a
+    cluster that is an error, since each executor would write to a disk of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -46,6 +50,14 @@ def bit_of(col: str, log2_bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(col)), 64 - log2_bits)
 
 
+def bits_for(rows: int) -> int:
+    """log2 of the bits of a bitmap for so many values: 32 or more for each, between 1 and 16 MB.
+
+    With more than 2**25 values it fills up and lets more and more pass, which costs work and nothing else: an exact join follows.
+    """
+    return min(27, max(23, rows.bit_length() + 5))
+
+
 def bitmap(df: DataFrame, position: Column, log2_bits: int) -> np.ndarray:
     """The set of ``position`` values as packed bits, merged on the executors.
 
