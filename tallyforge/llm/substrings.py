@@ -7,8 +7,9 @@ can't be copied and go no further.  What is left falls into reference shards by
 * equal fragments: all but those of the least document are covered whole;
 * different fragments of one anchor: a suffix automaton takes them in order of their least document; before a fragment is
   added, its matching statistics against the automaton give the maximal spans to remove;
-* anchors of more than ``shard_fragments`` different fragments (a passage in very many contexts) would make an automaton without
-  bound; there each window looks up its least document by hash, which partial sums keep free of hot groups.
+* anchors of more than ``shard_words`` words in different fragments (a passage in very many contexts) would make an automaton without
+  bound; there each fragment is held against that of the least document, and then against the least one of those that differ from it
+  in the same way, which costs a few rows a fragment.  Partial aggregates keep both free of hot groups.
 
 Shards reach the tasks by a shuffle on the anchor and not by broadcast: for a corpus against itself they grow with the input.
 """
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import bit_of, bitmap, has_bit, long_rows, stored
+from .shared import bit_of, bitmap, bits_for, has_bit, long_rows, stored
 
-RULE, ANCHOR, LOG2_NEEDED = "spaced", 8, 23
+RULE, ANCHOR = "spaced", 8
 
 
 class SuffixAutomaton:
@@ -128,21 +129,22 @@ def _fragments(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an id in ``ids`` (and a few more), by a bitmap of fixed size: a join that follows moves few texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids, bit_of("id", LOG2_NEEDED), LOG2_NEEDED))
+    """The rows of ``docs`` with an id in ``ids`` (and a few more), by a bitmap of bounded size: a join that follows moves few texts."""
+    log2 = bits_for(ids.count())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids, bit_of("id", log2), log2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = has_bit(sent.value, batch.column(2).to_numpy().astype(np.uint64))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask)) for c in batch.columns[:2]], names=["id", "text"])
 
-    return docs.where("id is not null").withColumn("bit", bit_of("id", LOG2_NEEDED)).mapInArrow(run, "id long, text string")
+    return docs.where("id is not null").withColumn("bit", bit_of("id", log2)).mapInArrow(run, "id long, text string")
 
 
 def _shard_words(docs: DataFrame, shards: DataFrame) -> DataFrame:
     """The words (hashes) of each fragment of ``shards`` (id, anchor, fragment, at, n, hot) from its document."""
-    wanted = shards.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "n", "hot")).alias("parts"))
-    rows = _only(docs, shards.select("id").distinct()).join(wanted, "id")
+    wanted = stored(shards.groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "n", "hot")).alias("parts")), "wanted")
+    rows = _only(docs, wanted.select("id")).join(wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
@@ -189,51 +191,133 @@ def _by_automata(shards: DataFrame, window: int) -> DataFrame:
     return shards.repartition("anchor").sortWithinPartitions("anchor", "id", "at").select("id", "anchor", "at", "words").mapInArrow(run, _SPAN)
 
 
-def _by_windows(shards: DataFrame, window: int) -> DataFrame:
-    """The same for shards of any size: fragments are cut again by longer anchors, equal parts are covered whole as before, and of the
-    least holder of each part every window looks up its least document by hash.  Partial sums keep both free of hot groups."""
-    k = (window + 1) // 2
+_ROW = "group long, id long, at int, lo int, hi int, words array<long>"
 
-    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hold(h: np.ndarray, window: int, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a fragment's words, each place of its anchor (the hash of ``k`` words) that is the first in some windows, with the least and
+    the largest number of words that these windows have before it."""
+    place = np.flatnonzero(W.grams(h, k) == np.uint64(anchor))
+    before = np.append(-1, place[:-1])
+    hi = place - np.maximum(before + 1, 0)  # no window of these begins at or before the place before
+    lo = np.maximum(0, place + window - h.size)
+    hi = np.minimum(hi, window - k)
+    good = lo <= hi
+    return place[good], lo[good], hi[good]
+
+
+def against_pivot(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: np.ndarray, edges: np.ndarray, phi: np.ndarray, plo: np.ndarray, pwords: np.ndarray, pedges: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """How many words before and after the anchor each row has in common with its pivot, and the keys of the rows that differ from
+    it in the same next word on the left, and on the right."""
+    need = window - k
+    reach = np.arange(need)
+
+    def side(words, at, n):  # noqa: ANN001
+        inside = reach < n[:, None]
+        return np.where(inside, words[np.clip(at, 0, words.size - 1)], 0), inside
+
+    def common(x, y):  # noqa: ANN001
+        same = (x[0] == y[0]) & x[1] & y[1]
+        return np.where(same.all(axis=1), need, (~same).argmax(axis=1)) if need else np.zeros(len(group), dtype=np.int64)
+
+    mid, pmid = (edges[:-1] + hi)[:, None], (pedges[:-1] + phi)[:, None]
+    left, right = side(words, mid - 1 - reach, hi), side(words, mid + k + reach, need - lo)
+    n_left = common(left, side(pwords, pmid - 1 - reach, phi))
+    n_right = common(right, side(pwords, pmid + k + reach, need - plo))
+    row, last = np.arange(group.size), max(0, need - 1)
+
+    def key(x, n, salt):  # noqa: ANN001
+        return W.mix(W.mix(group.view(np.uint64) + np.uint64(salt)) ^ W.mix(x[0][row, np.minimum(n, last)].view(np.uint64) + n.astype(np.uint64)))
+
+    return n_left, n_right, key(left, n_left, 0x1F83D9AB), key(right, n_right, 0x5BE0CD19)
+
+
+def _by_pivots(shards: DataFrame, window: int, levels: int = 8) -> DataFrame:
+    """The same for shards of any size, without a row for each window.
+
+    A window is its anchor with l words before it and the rest after it.  In each group the row of the least document is the pivot.  A row
+    that has L words before and R after the anchor in common with it is covered where l <= L and window - k - l <= R.  Each other
+    window differs from the pivot on the left (l > L) or else on the right, and so does any copy of it: rows of equal L and equal next
+    word make a group of the next level, and so on the right.  Contexts that no two documents share end there.
+    What is left after ``levels`` levels is cut into windows, which look up their least document by hash.
+    """
+    k = min(ANCHOR, window)
+    need = window - k
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("words")
-            h, edges = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
-            row, anchor, part, first, n = cut_fragments(h, edges - edges[0], window, k)
-            if first.size:
-                begin = edges[row] - edges[0]
-                at = batch.column("at").to_numpy()[row] + first - begin
-                reach = np.append(0, np.cumsum(n))
-                inside = np.arange(reach[-1]) - np.repeat(reach[:-1], n) + np.repeat(first, n)
-                words = pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(W.signed(h[inside])))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(W.signed(anchor)), pa.array(W.signed(part)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), words], names=["id", "anchor", "part", "at", "n", "words"])
+            for id_, anchor, at, row in zip(*(batch.column(c).to_pylist() for c in ("id", "anchor", "at")), batch.column("words"), strict=True):
+                h = row.values.to_numpy().view(np.uint64)
+                place, lo, hi = hold(h, window, k, anchor % (1 << 64))
+                for i in range(0, place.size, 4096):
+                    p, low, high = place[i : i + 4096], lo[i : i + 4096], hi[i : i + 4096]
+                    n = high + window - low
+                    reach = np.append(0, np.cumsum(n))
+                    inside = np.arange(reach[-1]) - np.repeat(reach[:-1], n) + np.repeat(p - high, n)
+                    lists = pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(W.signed(h[inside])))
+                    same = lambda x, t, m=p.size: pa.array(np.full(m, x), t)
+                    yield pa.RecordBatch.from_arrays([same(anchor, pa.int64()), same(id_, pa.int64()), *[pa.array(x.astype(np.int32)) for x in (at + p - high, low, high)], lists], names=["group", "id", "at", "lo", "hi", "words"])
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of n > 0 are spans (id, at, n), the others are rows of the next level."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            lists, plists = batch.column("words"), batch.column("pwords")
+            words, pwords = lists.flatten().to_numpy(), plists.flatten().to_numpy()
+            edges, pedges = (x.offsets.to_numpy().astype(np.int64) - x.offsets[0].as_py() for x in (lists, plists))
+            group, id_, at = get("group"), get("id"), get("at").astype(np.int64)
+            lo, hi, plo, phi = (get(c).astype(np.int64) for c in ("lo", "hi", "plo", "phi"))
+            left, right, left_key, right_key = against_pivot(group, lo, hi, words, edges, phi, plo, pwords, pedges, window, k)
+            low, high = np.maximum(lo, need - right), np.minimum(hi, left)
+            hit = np.flatnonzero(low <= high)
+            out = [(np.zeros(hit.size, dtype=np.int64), id_[hit], (at + hi - high)[hit], lo[hit], hi[hit], (high - low + window)[hit], edges[hit], edges[hit])]
+            for rows, l0, h0, key in (
+                (np.flatnonzero(np.maximum(left + 1, lo) <= hi), np.maximum(left + 1, lo), hi, left_key),
+                (np.flatnonzero(lo <= np.minimum(np.minimum(left, hi), need - right - 1)), lo, np.minimum(np.minimum(left, hi), need - right - 1), right_key),
+            ):
+                start = (edges[:-1] + hi - h0)[rows]
+                out.append((W.signed(key)[rows], id_[rows], (at + hi - h0)[rows], l0[rows], h0[rows], np.zeros(rows.size, dtype=np.int64), start, start + (h0 - l0 + window)[rows]))
+            group, id_, at, lo, hi, n, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+            length = last - first
+            reach = np.append(0, np.cumsum(length))
+            inside = np.arange(reach[-1]) - np.repeat(reach[:-1], length) + np.repeat(first, length)
+            made = pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(words[inside]))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(id_), *[pa.array(x.astype(np.int32)) for x in (at, lo, hi, n)], made], names=["group", "id", "at", "lo", "hi", "n", "words"])
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("words")
             h, edges = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
             edges -= edges[0]
-            n = np.diff(edges) - window + 1  # windows of each part
+            n = np.diff(edges) - window + 1
             row = np.repeat(np.arange(n.size), n)
             inside = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
-            begin = edges[row] + inside
+            start = edges[row] + inside
             at = batch.column("at").to_numpy()[row] + inside
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(W.signed(W.Spans(h)(begin, begin + window)))], names=["id", "at", "window"])
-
-    parts = stored(shards.select("id", "at", "words").mapInArrow(parts_of, "id long, anchor long, part long, at int, n int, words array<long>"), "parts")
-    least = parts.groupBy("anchor", "part").agg(F.min(F.struct("id", "at")).alias("least"), F.max("id").alias("most"))
-    shared = least.where("least.id < most").select("anchor", "part", F.col("least.id").alias("least"))
-    whole = parts.select("id", "anchor", "part", "at", "n").join(shared, ["anchor", "part"]).where("id > least").select("id", "at", "n")
-    several = least.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    holders = least.join(several, "anchor").select("anchor", "part", F.col("least.id").alias("id"), F.col("least.at").alias("at"))
-    own = parts.join(holders, ["anchor", "part", "id", "at"], "left_semi").dropDuplicates(["anchor", "part", "id", "at"])
-    # one anchor may hold most of the parts: they are dealt anew, evenly
-    windows = own.select("id", "at", "words").repartition("id", "at").mapInArrow(windows_of, "id long, at int, window long")
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(W.signed(W.Spans(h)(start, start + window)))], names=["id", "at", "window"])
+
+    rows = stored(shards.select("id", "anchor", "at", "words").mapInArrow(begin, _ROW), "rows")
+    spans = rows.where("false").select("id", "at", F.lit(0).alias("n"))
+    for _ in range(levels):
+        pivots = rows.groupBy("group").agg(F.min(F.struct("id", "at", "lo", "hi", "words")).alias("p"), F.max("id").alias("most")).where("p.id < most")
+        pivots = pivots.select("group", F.col("p.id").alias("pid"), F.col("p.lo").alias("plo"), F.col("p.hi").alias("phi"), F.col("p.words").alias("pwords"))
+        both = rows.join(pivots, "group").where("id > pid").select("group", "id", "at", "lo", "hi", "words", "plo", "phi", "pwords")
+        made = stored(both.mapInArrow(level, "group long, id long, at int, lo int, hi int, n int, words array<long>"), "level")
+        spans = spans.unionAll(made.where("n > 0").select("id", "at", "n"))
+        rows = made.where("n = 0").drop("n")
+        if rows.isEmpty():
+            return spans
+    windows = stored(rows.select("id", "at", "words").repartition("id", "at").mapInArrow(windows_of, "id long, at int, window long"), "windows")
     first = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    return whole.unionAll(windows.join(first, "window").where("id > least").select("id", "at", F.lit(window).alias("n")))
+    return spans.unionAll(windows.join(first, "window").where("id > least").select("id", "at", F.lit(window).alias("n")))
+
 
+def repeated_spans(docs: DataFrame, window: int = 50, shard_words: int = 6000) -> DataFrame:
+    """(id, spans): the spans array<struct<at:int,n:int>> of words of each document (id, text) that a document of smaller id has too.
 
-def repeated_spans(docs: DataFrame, window: int = 50, shard_fragments: int = 64) -> DataFrame:
-    """(id, spans): the spans array<struct<at:int,n:int>> of words of each document (id, text) that a document of smaller id has too."""
+    Shards of up to ``shard_words`` words get an automaton, which has at most twice as many states; those of more go by pivots."""
     found = stored(_fragments(docs.where("id is not null"), window), "fragments")
     shared = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     found = stored(found.join(shared, "anchor"), "shared")
@@ -241,14 +325,14 @@ def repeated_spans(docs: DataFrame, window: int = 50, shard_fragments: int = 64)
     distinct = stored(found.groupBy("anchor", "fragment").agg(F.min(F.struct("id", "at", "n")).alias("least"), F.count("*").alias("copies")), "distinct")
     whole = found.join(distinct.where("copies > 1").select("anchor", "fragment", F.col("least.id").alias("least")), ["anchor", "fragment"]).where("id > least").select("id", "at", "n")
 
-    many = distinct.groupBy("anchor").agg(F.count("*").alias("fragments")).where("fragments > 1")
-    shards = distinct.join(many, "anchor").select("least.id", "anchor", "least.at", "least.n", (F.col("fragments") > shard_fragments).alias("hot"))
+    many = distinct.groupBy("anchor").agg(F.count("*").alias("fragments"), F.sum("least.n").alias("total")).where("fragments > 1")
+    shards = distinct.join(many, "anchor").select("least.id", "anchor", "least.at", "least.n", (F.col("total") > shard_words).alias("hot"))
     words = stored(_shard_words(docs, shards), "shards")
-    spans = whole.unionAll(_by_automata(words.where("not hot"), window)).unionAll(_by_windows(words.where("hot"), window))
+    spans = whole.unionAll(_by_automata(words.where("not hot"), window)).unionAll(_by_pivots(words.where("hot"), window))
     return spans.groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text: str = "text", shard_fragments: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text: str = "text", shard_words: int = 6000) -> DataFrame:
     """(id, n_words, n_removed, text) of each row of ``docs``: what is left of a text, its words joined by one space.
 
     Words are runs of anything but ASCII white space, unchanged, of whole texts.  A word goes if it is in ``window`` consecutive
@@ -257,8 +341,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     don't cover each other, and all lose the same words, the spans found in any of them.
     """
     rows = long_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    spans = stored(repeated_spans(rows, window, shard_fragments), "spans")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(spans, bit_of("id", LOG2_NEEDED), LOG2_NEEDED))
+    spans = stored(repeated_spans(rows, window, shard_words), "spans")
+    log2 = bits_for(spans.count())
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(spans, bit_of("id", log2), log2))
 
     def choose(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +352,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 if (mask == want).any():
                     yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask == want)) for c in batch.columns[:2]], names=["id", "text"])
 
-        return rows.withColumn("bit", F.coalesce(bit_of("id", LOG2_NEEDED), F.lit(0))).mapInArrow(run, "id long, text string")
+        return rows.withColumn("bit", F.coalesce(bit_of("id", log2), F.lit(0))).mapInArrow(run, "id long, text string")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
