@@ -8,13 +8,13 @@ fragment on its own, and the counts are summed per pair, so no whole sets are co
 Only components are asked for, so links are looked for in steps, each linear in the rows of the table of first n-grams:
 
 1. each set is held against one partner, the likeliest of the centres of its n-grams;
-2. rounds, as in Boruvka's algorithm: each set outside its n-gram's largest component proposes its nearest set of another component,
-   until a round adds few links or none;
+2. rounds over n-grams of many sets, as in Boruvka's algorithm: each set outside its n-gram's largest component proposes its nearest
+   set of another component, until a round adds few links or none;
 3. all pairs that share a first n-gram and are still in different components are refuted by exact bounds, or else counted.
 
 No link is lost in step 3.  If A and B link, their symmetric difference d is at most (|A| + |B|) / 7.  So they share one of their first
 n/4 + 1 n-grams, all of which are given; the first one they share stands so early in both that what follows can hold the overlap;
-they share as many of these first n-grams as what follows leaves open; and their parity sketches (each n-gram flips one of 1024
+they share as many of these first n-grams as what follows leaves open; and their parity sketches (each n-gram flips one of 512
 bits) differ in at most d bits.  Pairs that fail a bound never leave the task that has their group in blocks of bounded size.
 """
 
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import bit_of, bitmap, bits_for, has_bit, long_rows, stored
+from .shared import bit_of, bitmap, bits_for, discard, has_bit, long_rows, stored
 
 RULE, FRAGMENTS, SALTS = "spaced_lower", 8, 16
 #: One document in 16 is looked at for frequent n-grams; in three of those an n-gram is frequent.
 SAMPLE, FREQUENT_IN = 16, 3
-#: 64-bit words of a parity sketch; rows of an n-gram that are compared at once; rows that are sent to all tasks at most.
-SKETCH, BLOCK, SMALL = 16, 4096, 100_000
+#: 64-bit words of a parity sketch; rows of an n-gram that are compared at once; rows of one that are compared with the others' at
+#: once; rows that are sent to all tasks at most.
+SKETCH, BLOCK, LAGS, SMALL = 8, 4096, 16, 100_000
 #: A round of fewer pairs is the last: the step after it counts what is left.
 FEW = 1000
 
@@ -166,7 +167,7 @@ class Rows(NamedTuple):
     sketch: np.ndarray
 
 
-def unrefuted(r: Rows, lags: int = 16, rows: int = 256) -> Iterator[tuple[np.ndarray, ...]]:
+def unrefuted(r: Rows, lags: int = LAGS, rows: int = 256) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs (i, j) of rows of one group in different components that sizes and sketches don't refute, with whether the places let
     them link here, and by how far they miss the bound.  Small groups are compared all together, row by row at each distance up to ``lags``."""
 
@@ -202,26 +203,31 @@ def unrefuted(r: Rows, lags: int = 16, rows: int = 256) -> Iterator[tuple[np.nda
 
 
 def _apart(shared: DataFrame, sets: DataFrame, roots: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of sets that share an n-gram of ``shared`` (gram, set, n, pos), are in different components, and are not refuted by sketches.
+    """Pairs of sets that share an n-gram of ``shared`` (gram, set, n, pos, blocks), are in different components, and are not refuted by sketches.
 
     ``nearest``: (set, na, other, nb, slack), for each n-gram and set outside its main component the nearest one.  Else (a, b, na, nb, fits),
     a row for each n-gram that a pair shares, and whether it may be the first of a link.
 
     Groups of more than BLOCK rows are cut into blocks, and each two blocks meet in a task of their own.
     """
-    now = shared.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    counts = now.groupBy("gram", "root").agg(F.count("*").alias("c"))
-    main = counts.groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("size")).where("roots > 1")
-    now = now.join(main.select("gram", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "gram").join(sets.select("set", "sketch"), "set")
-    now = now.withColumn("part", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    now = now.select("gram", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "set", "n", "pos", "root", "part", "main", "sketch")
+    with_root = sets.select("set", "sketch").join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    now = shared.withColumn("part", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).join(with_root, "set").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    now = now.select("gram", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "set", "n", "pos", "root", "part", "sketch")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         held: list[np.ndarray] = []
 
         def rows(cols: list[np.ndarray], new: np.ndarray) -> Rows:
-            _, low, high, set_, n, pos, root, part, main_, sketch = cols
-            return Rows(np.cumsum(new) - 1, set_, n.astype(np.int64), pos.astype(np.int64), root, part, low != high, main_, sketch)
+            _, low, high, set_, n, pos, root, part, sketch = cols
+            group = np.cumsum(new) - 1
+            # the largest component of each group: the longest run of rows in the order of group and component
+            order = np.lexsort((root, group))
+            start = np.flatnonzero(np.append(True, (group[order][1:] != group[order][:-1]) | (root[order][1:] != root[order][:-1])))
+            length, run = np.diff(np.append(start, root.size)), order[start]
+            main = np.zeros(int(group[-1]) + 1, dtype=np.int64)
+            by_length = np.argsort(length, kind="stable")
+            main[group[run[by_length]]] = root[run[by_length]]
+            return Rows(group, set_, n.astype(np.int64), pos.astype(np.int64), root, part, low != high, main[group], sketch)
 
         for batch in batches:
             if not batch.num_rows:
@@ -261,7 +267,7 @@ def _apart(shared: DataFrame, sets: DataFrame, roots: DataFrame, nearest: bool)
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose overlap, counted by fragment and summed, makes them link."""
+    """The pairs (a, b) whose overlap, counted by fragment and summed, makes them link; stored."""
     needed = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
     owners = stored(sets.join(needed, "set", "left_semi").select(F.col("rep").alias("id")), "owners")
     n_owners = owners.count()
@@ -298,7 +304,10 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percen
     right = cut.select(F.col("set").alias("b"), "fragment", F.col("grams").alias("gb"))
     partial = by_fragment.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
     both = F.sum("part")
-    return partial.groupBy("a", "b", "na", "nb").agg(both.alias("overlap")).where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
+    linked = partial.groupBy("a", "b", "na", "nb").agg(both.alias("overlap")).where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
+    links = stored(linked.select("a", "b"), "links")
+    discard(cut, owners)
+    return links
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -323,13 +332,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows = long_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     often = stored(_sampled_shingles(rows, k).groupBy("gram").count().where(F.col("count") >= FREQUENT_IN).select("gram"), "often")
     sketches = stored(_sketches(rows, k, often), "sketches")
+    owned = stored(sketches.select("id", "set", F.col("n").alias("n_shingles")), "owned")
 
     first = lambda *cols: [F.first(c).alias(c) for c in cols]
-    sets = stored(sketches.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), *first("n", "n_rare", "sketch", "grams")), "sets")
-    firsts = sets.select("set", "n", "n_rare", F.posexplode("grams").alias("pos", "gram"))
+    firsts = stored(sketches.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), *first("n", "n_rare", "sketch", "grams")), "firsts")
+    sets = stored(firsts.select("set", "rep", "sketch"), "sets")
+    discard(often, sketches)
+    prefixes, firsts = firsts, firsts.select("set", "n", "n_rare", F.posexplode("grams").alias("pos", "gram"))
     salt = F.when(F.col("pos") >= F.col("n_rare"), F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")).otherwise(-1)
     firsts = firsts.select("gram", salt.alias("salt"), "set", F.col("n").cast("int").alias("n"), F.col("n_rare").cast("int").alias("r"), "pos")
     met = stored(_meet(firsts), "met")
+    discard(prefixes)
 
     # 1: of each set the centre that it meets most often; frequent n-grams have one centre for all salts
     frequent = met.where("often").select("gram", *[F.col(c + "b") for c in SIDE])
@@ -338,19 +351,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     near = near.where("seta <> setb").where(_may_link()).groupBy("seta", "na", "setb", "nb").agg(F.count("*").alias("shared"))
     near = near.groupBy("setb", "nb").agg(F.max_by(F.struct("seta", "na"), F.struct("shared", "seta")).alias("c")).select("setb", "nb", "c.*")
     tested = stored(_plausible(near.select(*_ordered("seta", "setb")).distinct(), sets), "pairs")
-    links = stored(_verified(rows, sets, tested, k, percent).select("a", "b"), "links")
+    links = _verified(rows, sets, tested, k, percent)
     roots = components(links)
     if counts is not None:
         counts.append(tested.count())
 
     # what shares a first n-gram with a set of another component
     members = met.select("gram", F.col("setb").alias("set"), F.col("nb").alias("n"), F.col("posb").alias("pos")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    several = members.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("gram")
-    shared = stored(members.join(several, "gram").select("gram", "set", "n", "pos"), "shared")
+    several = members.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y").select("gram", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    shared = stored(members.join(several, "gram").select("gram", "set", "n", "pos", "size", "blocks"), "shared")
+    discard(met)
 
     # 2: rounds of nearest sets
     for _ in range(max_rounds):
-        nearest = _apart(shared, sets, roots, True)
+        nearest = _apart(shared.where(F.col("size") > LAGS), sets, roots, True)
         nearest = nearest.groupBy("set", "na").agg(F.max_by(F.struct("other", "nb"), F.struct("slack", "other")).alias("c")).select("set", "na", "c.*")
         new = stored(nearest.select(*_ordered("set", "other")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         n_new = new.count()
@@ -358,11 +372,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
             counts.append(n_new)
         if not n_new:
             break
-        found = stored(_verified(rows, sets, new, k, percent).select("a", "b"), "links")
-        tested = tested.unionAll(new)
+        found = _verified(rows, sets, new, k, percent)
+        tested, links = tested.unionAll(new), links.unionAll(found)
         if found.isEmpty():
             break
-        links = links.unionAll(found)
         roots = components(links)
         if n_new < FEW:
             break
@@ -376,12 +389,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     if counts is not None:
         counts.append(n_rest)
     if n_rest:
-        roots = components(links.unionAll(_verified(rows, sets, rest, k, percent).select("a", "b")))
+        roots = components(links.unionAll(_verified(rows, sets, rest, k, percent)))
+    discard(shared)
 
     named = roots.join(sets.select(F.col("set").alias("node"), "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     of_set = sets.select("set", "rep").join(roots.join(least, "root").select(F.col("node").alias("set"), "least"), "set", "left").select("set", F.coalesce("least", "rep").alias("component_id"))
-    out = sketches.select("id", "set", F.col("n").alias("n_shingles")).join(of_set, "set", "left")
+    out = owned.join(of_set, "set", "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
