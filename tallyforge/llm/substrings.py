@@ -191,7 +191,7 @@ def _by_automata(shards: DataFrame, window: int) -> DataFrame:
     return shards.repartition("anchor").sortWithinPartitions("anchor", "id", "at").select("id", "anchor", "at", "words").mapInArrow(run, _SPAN)
 
 
-_ROW = "group long, id long, at int, lo int, hi int, words array<long>"
+_ROW = "group long, id long, at int, lo int, hi int, run int, words array<long>"
 
 
 def hold(h: np.ndarray, window: int, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,14 +232,14 @@ def against_pivot(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: np.n
     return n_left, n_right, key(left, n_left, 0x1F83D9AB), key(right, n_right, 0x5BE0CD19)
 
 
-def _by_pivots(shards: DataFrame, window: int, levels: int = 8) -> DataFrame:
+def _by_pivots(shards: DataFrame, window: int, levels: int) -> DataFrame:
     """The same for shards of any size, without a row for each window.
 
     A window is its anchor with l words before it and the rest after it.  In each group the row of the least document is the pivot.  A row
     that has L words before and R after the anchor in common with it is covered where l <= L and window - k - l <= R.  Each other
     window differs from the pivot on the left (l > L) or else on the right, and so does any copy of it: rows of equal L and equal next
     word make a group of the next level, and so on the right.  Contexts that no two documents share end there.
-    What is left after ``levels`` levels is cut into windows, which look up their least document by hash.
+    Places of one content that overlap within a fragment are one row.  What is left after ``levels`` levels is cut into windows, which look up their least document by hash.
     """
     k = min(ANCHOR, window)
     need = window - k
@@ -249,14 +249,23 @@ def _by_pivots(shards: DataFrame, window: int, levels: int = 8) -> DataFrame:
             for id_, anchor, at, row in zip(*(batch.column(c).to_pylist() for c in ("id", "anchor", "at")), batch.column("words"), strict=True):
                 h = row.values.to_numpy().view(np.uint64)
                 place, lo, hi = hold(h, window, k, anchor % (1 << 64))
+                # places of one content that overlap, as in a line that is repeated on and on, are one row: what covers one covers the run
+                content = W.Spans(h)(place - hi, place + window - lo) ^ W.mix((lo * window + hi).astype(np.uint64))
+                order = np.lexsort((place, content))
+                new = np.ones(place.size, dtype=bool)
+                new[1:] = (content[order][1:] != content[order][:-1]) | (np.diff(place[order]) > window)
+                first = np.flatnonzero(new)
+                run = (place[order[np.append(first[1:], place.size) - 1]] - place[order[first]]) if place.size else place
+                first = order[first]
+                place, lo, hi = place[first], lo[first], hi[first]
                 for i in range(0, place.size, 4096):
-                    p, low, high = place[i : i + 4096], lo[i : i + 4096], hi[i : i + 4096]
+                    p, low, high, on = place[i : i + 4096], lo[i : i + 4096], hi[i : i + 4096], run[i : i + 4096]
                     n = high + window - low
                     reach = np.append(0, np.cumsum(n))
                     inside = np.arange(reach[-1]) - np.repeat(reach[:-1], n) + np.repeat(p - high, n)
                     lists = pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(W.signed(h[inside])))
-                    same = lambda x, t, m=p.size: pa.array(np.full(m, x), t)
-                    yield pa.RecordBatch.from_arrays([same(anchor, pa.int64()), same(id_, pa.int64()), *[pa.array(x.astype(np.int32)) for x in (at + p - high, low, high)], lists], names=["group", "id", "at", "lo", "hi", "words"])
+                    same = lambda x, m=p.size: pa.array(np.full(m, x, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([same(anchor), same(id_), *[pa.array(x.astype(np.int32)) for x in (at + p - high, low, high, on)], lists], names=["group", "id", "at", "lo", "hi", "run", "words"])
 
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of n > 0 are spans (id, at, n), the others are rows of the next level."""
@@ -268,23 +277,23 @@ def _by_pivots(shards: DataFrame, window: int, levels: int = 8) -> DataFrame:
             words, pwords = lists.flatten().to_numpy(), plists.flatten().to_numpy()
             edges, pedges = (x.offsets.to_numpy().astype(np.int64) - x.offsets[0].as_py() for x in (lists, plists))
             group, id_, at = get("group"), get("id"), get("at").astype(np.int64)
-            lo, hi, plo, phi = (get(c).astype(np.int64) for c in ("lo", "hi", "plo", "phi"))
+            lo, hi, run, plo, phi = (get(c).astype(np.int64) for c in ("lo", "hi", "run", "plo", "phi"))
             left, right, left_key, right_key = against_pivot(group, lo, hi, words, edges, phi, plo, pwords, pedges, window, k)
             low, high = np.maximum(lo, need - right), np.minimum(hi, left)
             hit = np.flatnonzero(low <= high)
-            out = [(np.zeros(hit.size, dtype=np.int64), id_[hit], (at + hi - high)[hit], lo[hit], hi[hit], (high - low + window)[hit], edges[hit], edges[hit])]
+            out = [(np.zeros(hit.size, dtype=np.int64), id_[hit], (at + hi - high)[hit], lo[hit], hi[hit], run[hit], (high - low + window + run)[hit], edges[hit], edges[hit])]
             for rows, l0, h0, key in (
                 (np.flatnonzero(np.maximum(left + 1, lo) <= hi), np.maximum(left + 1, lo), hi, left_key),
                 (np.flatnonzero(lo <= np.minimum(np.minimum(left, hi), need - right - 1)), lo, np.minimum(np.minimum(left, hi), need - right - 1), right_key),
             ):
                 start = (edges[:-1] + hi - h0)[rows]
-                out.append((W.signed(key)[rows], id_[rows], (at + hi - h0)[rows], l0[rows], h0[rows], np.zeros(rows.size, dtype=np.int64), start, start + (h0 - l0 + window)[rows]))
-            group, id_, at, lo, hi, n, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
+                out.append((W.signed(key)[rows], id_[rows], (at + hi - h0)[rows], l0[rows], h0[rows], run[rows], np.zeros(rows.size, dtype=np.int64), start, start + (h0 - l0 + window)[rows]))
+            group, id_, at, lo, hi, run, n, first, last = (np.concatenate(x) for x in zip(*out, strict=True))
             length = last - first
             reach = np.append(0, np.cumsum(length))
             inside = np.arange(reach[-1]) - np.repeat(reach[:-1], length) + np.repeat(first, length)
             made = pa.ListArray.from_arrays(pa.array(reach.astype(np.int32)), pa.array(words[inside]))
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(id_), *[pa.array(x.astype(np.int32)) for x in (at, lo, hi, n)], made], names=["group", "id", "at", "lo", "hi", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(id_), *[pa.array(x.astype(np.int32)) for x in (at, lo, hi, run, n)], made], names=["group", "id", "at", "lo", "hi", "run", "n", "words"])
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,25 +305,26 @@ def _by_pivots(shards: DataFrame, window: int, levels: int = 8) -> DataFrame:
             inside = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
             start = edges[row] + inside
             at = batch.column("at").to_numpy()[row] + inside
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(W.signed(W.Spans(h)(start, start + window)))], names=["id", "at", "window"])
+            n = batch.column("run").to_numpy()[row] + window
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (at, n)], pa.array(W.signed(W.Spans(h)(start, start + window)))], names=["id", "at", "n", "window"])
 
     rows = stored(shards.select("id", "anchor", "at", "words").mapInArrow(begin, _ROW), "rows")
     spans = rows.where("false").select("id", "at", F.lit(0).alias("n"))
     for _ in range(levels):
         pivots = rows.groupBy("group").agg(F.min(F.struct("id", "at", "lo", "hi", "words")).alias("p"), F.max("id").alias("most")).where("p.id < most")
         pivots = pivots.select("group", F.col("p.id").alias("pid"), F.col("p.lo").alias("plo"), F.col("p.hi").alias("phi"), F.col("p.words").alias("pwords"))
-        both = rows.join(pivots, "group").where("id > pid").select("group", "id", "at", "lo", "hi", "words", "plo", "phi", "pwords")
-        made = stored(both.mapInArrow(level, "group long, id long, at int, lo int, hi int, n int, words array<long>"), "level")
+        both = rows.join(pivots, "group").where("id > pid").select("group", "id", "at", "lo", "hi", "run", "words", "plo", "phi", "pwords")
+        made = stored(both.mapInArrow(level, "group long, id long, at int, lo int, hi int, run int, n int, words array<long>"), "level")
         spans = spans.unionAll(made.where("n > 0").select("id", "at", "n"))
         rows = made.where("n = 0").drop("n")
         if rows.isEmpty():
             return spans
-    windows = stored(rows.select("id", "at", "words").repartition("id", "at").mapInArrow(windows_of, "id long, at int, window long"), "windows")
+    windows = stored(rows.select("id", "at", "run", "words").repartition("id", "at").mapInArrow(windows_of, "id long, at int, n int, window long"), "windows")
     first = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    return spans.unionAll(windows.join(first, "window").where("id > least").select("id", "at", F.lit(window).alias("n")))
+    return spans.unionAll(windows.join(first, "window").where("id > least").select("id", "at", "n"))
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, shard_words: int = 6000) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, shard_words: int = 6000, levels: int = 8) -> DataFrame:
     """(id, spans): the spans array<struct<at:int,n:int>> of words of each document (id, text) that a document of smaller id has too.
 
     Shards of up to ``shard_words`` words get an automaton, which has at most twice as many states; those of more go by pivots."""
@@ -328,11 +338,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, shard_words: int = 6000) -
     many = distinct.groupBy("anchor").agg(F.count("*").alias("fragments"), F.sum("least.n").alias("total")).where("fragments > 1")
     shards = distinct.join(many, "anchor").select("least.id", "anchor", "least.at", "least.n", (F.col("total") > shard_words).alias("hot"))
     words = stored(_shard_words(docs, shards), "shards")
-    spans = whole.unionAll(_by_automata(words.where("not hot"), window)).unionAll(_by_pivots(words.where("hot"), window))
+    spans = whole.unionAll(_by_automata(words.where("not hot"), window)).unionAll(_by_pivots(words.where("hot"), window, levels))
     return spans.groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text: str = "text", shard_words: int = 6000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text: str = "text", shard_words: int = 6000, levels: int = 8) -> DataFrame:
     """(id, n_words, n_removed, text) of each row of ``docs``: what is left of a text, its words joined by one space.
 
     Words are runs of anything but ASCII white space, unchanged, of whole texts.  A word goes if it is in ``window`` consecutive
@@ -341,7 +351,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     don't cover each other, and all lose the same words, the spans found in any of them.
     """
     rows = long_rows(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    spans = stored(repeated_spans(rows, window, shard_words), "spans")
+    spans = stored(repeated_spans(rows, window, shard_words, levels), "spans")
     log2 = bits_for(spans.count())
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(spans, bit_of("id", log2), log2))
 

@@ -117,13 +117,13 @@ def brute_repeats(texts, window):
     return [len(w) for w in words], [" ".join(g) for g in gone]
 
 
-@pytest.mark.parametrize(("seed", "shard"), [(1, 6000), (2, 1), (3, 200)])
-def test_substrings_against_brute_force(spark, seed, shard):
+@pytest.mark.parametrize(("seed", "shard", "levels"), [(1, 6000, 8), (2, 1, 8), (3, 200, 8), (4, 1, 1)])
+def test_substrings_against_brute_force(spark, seed, shard, levels):
     rng = random.Random(seed)
-    texts = near_texts(seed) + ["a " * 300, "a " * 80 + "b", None, ""]
+    texts = near_texts(seed) + ["a " * 300, "a " * 80 + "b", None, "", "q " + "a b " * 90, "a b " * 120 + "c", "x a b c d " * 40, "y " + "x a b c d " * 30 + "z"]
     passage = [f"p{i}" for i in range(55)]
     texts += [" ".join([f"u{rng.randrange(10**6)}" for _ in range(20)] + passage + [f"v{rng.randrange(10**6)}" for _ in range(20)]) for _ in range(20)]
-    got = substrings.remove_repeats(frame(spark, texts), shard_words=shard).toPandas().sort_values("id")
+    got = substrings.remove_repeats(frame(spark, texts), shard_words=shard, levels=levels).toPandas().sort_values("id")
     n, kept = brute_repeats(texts, 50)
     assert got["n_words"].tolist() == n and got["text"].tolist() == kept
 
