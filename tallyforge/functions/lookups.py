@@ -30,7 +30,7 @@ SI_UNITS: dict[str, tuple[float, str]] = {
     "HZ": (1.0, "Hz"), "HERTZ": (1.0, "Hz"), "KHZ": (1000.0, "Hz"), "MHZ": (1000000.0, "Hz"),
     "KG": (1.0, "kg"), "KILOGRAM": (1.0, "kg"), "KILOGRAMS": (1.0, "kg"), "G": (0.001, "kg"), "GRAM": (0.001, "kg"), "GRAMS": (0.001, "kg"),
     "LB": (0.45359237, "kg"), "LBS": (0.45359237, "kg"), "POUND": (0.45359237, "kg"),
-    "M": (1.0, "m"), "METER": (1.0, "m"), "METERS": (1.0, "m"), "CM": (0.01, "m"), "CENTIMETER": (0.01, "m"), "MM": (0.001, "m"),
+    "M": (1.0, "m"), "METER": (1.0, "m"), "METERS": (1.0, "m"), "CM": (0.01, "m"), "CENTIMETER": (0.01, "m"), "MM": (0.001, "m"), "MILLIMETER": (0.001, "m"),
     "IN": (0.0254, "m"), "INCH": (0.0254, "m"), "INCHES": (0.0254, "m"),
     "RPM": (1.0, "RPM"), "R/MIN": (1.0, "RPM"), "REV/MIN": (1.0, "RPM"),
 }

@@ -11,10 +11,8 @@ KEY = ["product_id", "attribute_name"]
 
 
 def parse_claims(claims: DataFrame) -> DataFrame:
-    """Claims with ``num`` in the base unit, ``base_unit`` and ``text`` for those that aren't numbers."""
+    """Claims with ``num`` in the base unit of their standardised unit, ``base_unit`` and ``text``."""
     unit = F.coalesce(V.numeric_unit(F.col("raw_value"), F.lit(None).cast("string")), F.regexp_extract("raw_value", r"([a-zA-Z/]+)\s*$", 1))
-    raw_unit = F.regexp_extract("raw_value", V.NUMBER_UNIT, 2)
-    unit = F.when(raw_unit != "", raw_unit).otherwise(unit)
     return claims.withColumn("num", F.bround(V.si_value(V.numeric_value(F.col("raw_value")), unit), 6)).withColumn("base_unit", V.si_unit(unit)).withColumn("text", V.normalize_text(F.col("raw_value")))
 
 
@@ -24,23 +22,41 @@ def winning_claims(claims: DataFrame) -> DataFrame:
     return claims.groupBy(*KEY).agg(best.alias("w")).select(*KEY, "w.*")
 
 
-def reconcile(claims: DataFrame) -> DataFrame:
+def reconcile(claims: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
     """One row per attribute: MISSING (a single source), AGREEMENT (same text), EQUIVALENT (same value) or CONFLICTING, each claim
     held against the winner, with a confidence.
 
-    The winner is found by a partial aggregate and joined back, so that no attribute's claims are gathered."""
+    ``claims`` has one claim for each (product, attribute, source).  ``attributes`` (product_id, attribute_name, raw_value,
+    confidence) are those of the catalog: with a single source, trust times the attribute's own confidence counts (1 where there is
+    no such attribute), and an attribute without claims stands as one claim of full trust without a source.
+
+    All claims equal the winner if the least and the largest do, so one aggregate decides and no attribute's claims are gathered.
+    """
     parsed = parse_claims(claims)
-    win = winning_claims(parsed).select(*KEY, F.col("source_id").alias("winner"), F.col("raw_value").alias("winning_value"), F.col("trust").alias("win_trust"), F.col("num").alias("win_num"), F.col("text").alias("win_text"))
-    both = parsed.join(win, KEY)
-    same = F.when(F.col("num").isNotNull() & F.col("win_num").isNotNull(), F.abs(F.col("num") - F.col("win_num")) <= 1e-5).otherwise(F.col("text") == F.col("win_text"))
-    out = both.groupBy(*KEY).agg(
-        F.count("*").alias("n_claims"), F.countDistinct("source_id").alias("n_sources"), F.bool_and(same).alias("all_same"), F.bool_and(F.col("text") == F.col("win_text")).alias("all_text"),
-        F.first("winner").alias("winner"), F.first("winning_value").alias("winning_value"), F.first("win_trust").alias("win_trust"),
+    win = F.min_by(F.struct("source_id", "raw_value", "trust", "num", "text"), F.struct((-F.col("trust")).alias("t"), "source_id"))
+    word = F.when(F.col("num").isNull(), F.col("text"))
+    one = parsed.groupBy(*KEY).agg(
+        win.alias("w"), F.count("*").alias("n_claims"), F.count("source_id").alias("n_sources"), F.min("num").alias("low"), F.max("num").alias("high"),
+        F.min("text").alias("first"), F.max("text").alias("last"), F.min(word).alias("first_word"), F.max(word).alias("last_word"),
     )
-    status = F.when(F.col("n_claims") == 1, "MISSING").when(F.col("all_same"), F.when(F.col("all_text"), "AGREEMENT").otherwise("EQUIVALENT")).otherwise("CONFLICTING")
-    boosted = F.least(F.lit(1.0), F.col("win_trust") + 0.05 * (F.col("n_sources") - 1))
-    confidence = F.when(F.col("n_claims") == 1, F.col("win_trust")).when(F.col("all_same"), boosted).otherwise(F.greatest(F.lit(0.2), F.col("win_trust") - 0.25))
-    return out.select(*KEY, "n_claims", "winner", "winning_value", status.alias("status"), F.bround(confidence, 4).alias("confidence"))
+    near = (F.col("high") - F.col("w.num") <= 1e-5) & (F.col("w.num") - F.col("low") <= 1e-5)
+    words = F.col("first_word").isNull() | ((F.col("first_word") == F.col("w.text")) & (F.col("last_word") == F.col("w.text")))
+    all_text = F.col("first") == F.col("last")
+    same = F.when(F.col("w.num").isNotNull(), near & words).otherwise(all_text)
+    known = F.lit(1.0)
+    if attributes is not None:
+        own = attributes.select(*KEY, F.col("raw_value").alias("own_value"), F.col("confidence").alias("own"))
+        one = one.join(own, KEY, "full")
+        known = F.coalesce("own", F.lit(1.0))
+        one = one.withColumns({"n_claims": F.coalesce("n_claims", F.lit(1).cast("long")), "trust": F.coalesce("w.trust", F.lit(1.0)), "winning_value": F.when(F.col("n_sources").isNull(), F.col("own_value")).otherwise(F.col("w.raw_value"))})
+    else:
+        one = one.withColumns({"trust": F.col("w.trust"), "winning_value": F.col("w.raw_value")})
+    single = F.col("n_claims") == 1
+    status = F.when(single, "MISSING").when(same, F.when(all_text, "AGREEMENT").otherwise("EQUIVALENT")).otherwise("CONFLICTING")
+    alone = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("trust") * known))
+    boosted = F.least(F.lit(1.0), F.col("trust") + 0.05 * (F.col("n_sources") - 1))
+    confidence = F.when(single, alone).when(same, boosted).otherwise(F.greatest(F.lit(0.2), F.col("trust") - 0.25))
+    return one.select(*KEY, "n_claims", F.col("w.source_id").alias("winner"), "winning_value", status.alias("status"), F.bround(confidence, 4).alias("confidence"))
 
 
 def summary(reconciled: DataFrame) -> DataFrame:

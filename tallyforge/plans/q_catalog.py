@@ -23,27 +23,45 @@ def query(name: str, views: str, sql: str):
     return put
 
 
-_RECONCILED = """parsed AS (SELECT *, round_even(CASE WHEN source_id % 7 = 0 AND k IN (0, 1, 4) THEN w / 1000 * 1000.0 WHEN k = 3 THEN w / 1000.0 ELSE w END, 6) AS num, lower(raw_value) AS text FROM claims),
-win AS (SELECT product_id, attribute_name, source_id AS winner, raw_value AS winning_value, trust AS win_trust, num AS win_num, text AS win_text FROM (SELECT *, row_number() OVER (PARTITION BY product_id, attribute_name ORDER BY trust DESC, source_id) AS rn FROM parsed) WHERE rn = 1),
+_PARSED = """parsed AS (SELECT *, round_even(CAST(split_part(raw_value, ' ', 1) AS DOUBLE) * CASE split_part(raw_value, ' ', 2)
+    WHEN 'kW' THEN 1000.0 WHEN 'kV' THEN 1000.0 WHEN 'kHz' THEN 1000.0 WHEN 'g' THEN 0.001 ELSE 1.0 END, 6) AS num, lower(raw_value) AS text FROM claims),
+win AS (SELECT product_id, attribute_name, source_id AS winner, raw_value AS winning_value, trust AS win_trust, num AS win_num, text AS win_text FROM (SELECT *, row_number() OVER (PARTITION BY product_id, attribute_name ORDER BY trust DESC, source_id) AS rn FROM parsed) WHERE rn = 1)"""
+_RECONCILED = f"""{_PARSED},
+declared AS (SELECT product_id, ['power', 'voltage', 'speed', 'weight', 'frequency', 'model'][j + 1] AS attribute_name, CASE WHEN j = 5 THEN model ELSE product_name END AS own_value, (40 + (product_id * 7 + j * 13) % 61) / 100.0 AS own
+  FROM products, range(6) t(j)),
 agg AS (SELECT product_id, attribute_name, count(*) AS n_claims, count(DISTINCT source_id) AS n_sources, bool_and(abs(num - win_num) <= 1e-5) AS same, bool_and(text = win_text) AS same_text, min(winner) AS winner, min(winning_value) AS winning_value, min(win_trust) AS win_trust FROM parsed JOIN win USING (product_id, attribute_name) GROUP BY 1, 2),
-rec AS (SELECT product_id, attribute_name, n_claims, winner, winning_value, CASE WHEN n_claims = 1 THEN 'MISSING' WHEN same AND same_text THEN 'AGREEMENT' WHEN same THEN 'EQUIVALENT' ELSE 'CONFLICTING' END AS status,
-  round_even(CASE WHEN n_claims = 1 THEN win_trust WHEN same THEN least(1.0::DOUBLE, win_trust + 0.05 * (n_sources - 1)) ELSE greatest(0.2::DOUBLE, win_trust - 0.25) END, 4) AS confidence FROM agg)"""
+rec AS (SELECT product_id, attribute_name, coalesce(n_claims, 1) AS n_claims, winner, coalesce(winning_value, own_value) AS winning_value,
+  CASE WHEN coalesce(n_claims, 1) = 1 THEN 'MISSING' WHEN same AND same_text THEN 'AGREEMENT' WHEN same THEN 'EQUIVALENT' ELSE 'CONFLICTING' END AS status,
+  round_even(CASE WHEN n_claims IS NULL THEN own WHEN n_claims = 1 THEN win_trust * own WHEN same THEN least(1.0::DOUBLE, win_trust + 0.05 * (n_sources - 1)) ELSE greatest(0.2::DOUBLE, win_trust - 0.25) END, 4) AS confidence
+  FROM declared LEFT JOIN agg USING (product_id, attribute_name))"""
 
 
-@query("reconcile_claims", "claims", f"WITH {_RECONCILED} SELECT * FROM rec")
+def declared(spark, d):
+    """The attributes that each product has in the catalog, with a confidence; nobody claims a model."""
+    j = F.posexplode(F.array(*[F.lit(x) for x in (*C.ATTRIBUTES, "model")])).alias("j", "attribute_name")
+    rows = C.products(spark, d).select("product_id", "product_name", "model", j)
+    confidence = (40 + (F.col("product_id") * 7 + F.col("j") * 13) % 61) / 100
+    return rows.select("product_id", "attribute_name", F.when(F.col("j") == 5, F.col("model")).otherwise(F.col("product_name")).alias("raw_value"), confidence.alias("confidence"))
+
+
+def _reconciled(spark, d):
+    return R.reconcile(C.claims(spark, d), declared(spark, d))
+
+
+@query("reconcile_claims", "products claims", f"WITH {_RECONCILED} SELECT * FROM rec")
 def reconcile_claims(spark, d):
-    return R.reconcile(C.claims(spark, d))
+    return _reconciled(spark, d)
 
 
-@query("reconciliation_summary", "claims", f"""WITH {_RECONCILED} SELECT product_id, count(*) AS attributes, count(*) FILTER (status = 'AGREEMENT') AS agreement, count(*) FILTER (status = 'EQUIVALENT') AS equivalent,
+@query("reconciliation_summary", "products claims", f"""WITH {_RECONCILED} SELECT product_id, count(*) AS attributes, count(*) FILTER (status = 'AGREEMENT') AS agreement, count(*) FILTER (status = 'EQUIVALENT') AS equivalent,
   count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'CONFLICTING') AS conflicting, round_even(avg(confidence), 4) AS mean_confidence FROM rec GROUP BY 1""")
 def reconciliation_summary(spark, d):
-    return R.summary(R.reconcile(C.claims(spark, d)))
+    return R.summary(_reconciled(spark, d))
 
 
-@query("reconciliation_filter", "claims", f"WITH {_RECONCILED} SELECT product_id, attribute_name, confidence FROM rec WHERE status = 'CONFLICTING'")
+@query("reconciliation_filter", "products claims", f"WITH {_RECONCILED} SELECT product_id, attribute_name, confidence FROM rec WHERE status = 'CONFLICTING'")
 def reconciliation_filter(spark, d):
-    return R.reconcile(C.claims(spark, d)).where("status = 'CONFLICTING'").select("product_id", "attribute_name", "confidence")
+    return _reconciled(spark, d).where("status = 'CONFLICTING'").select("product_id", "attribute_name", "confidence")
 
 
 @query("winning_claim", "claims attributes", "SELECT product_id, attribute_name, source_id, raw_value FROM attributes")
@@ -51,14 +69,14 @@ def winning_claim(spark, d):
     return R.winning_claims(R.parse_claims(C.claims(spark, d))).select("product_id", "attribute_name", "source_id", "raw_value")
 
 
-@query("competing_claims", "claims", f"WITH {_RECONCILED} SELECT product_id, attribute_name, source_id, raw_value, trust, winning_value FROM parsed JOIN win USING (product_id, attribute_name) WHERE text <> win_text")
+@query("competing_claims", "claims", f"WITH {_PARSED} SELECT product_id, attribute_name, source_id, raw_value, trust, winning_value FROM parsed JOIN win USING (product_id, attribute_name) WHERE text <> win_text")
 def competing_claims(spark, d):
     return R.competing_claims(C.claims(spark, d))
 
 
-@query("conflict_issues", "claims", f"WITH {_RECONCILED} SELECT product_id, attribute_name, 'cross_source_conflict' AS validation_type, winning_value AS expected FROM rec WHERE status = 'CONFLICTING'")
+@query("conflict_issues", "products claims", f"WITH {_RECONCILED} SELECT product_id, attribute_name, 'cross_source_conflict' AS validation_type, winning_value AS expected FROM rec WHERE status = 'CONFLICTING'")
 def conflict_issues(spark, d):
-    return R.reconcile(C.claims(spark, d)).where("status = 'CONFLICTING'").select("product_id", "attribute_name", F.lit("cross_source_conflict").alias("validation_type"), F.col("winning_value").alias("expected"))
+    return _reconciled(spark, d).where("status = 'CONFLICTING'").select("product_id", "attribute_name", F.lit("cross_source_conflict").alias("validation_type"), F.col("winning_value").alias("expected"))
 
 
 _FIELDS = f"""{KEYED}, {X.RULES_SQL},

@@ -78,3 +78,15 @@ def test_queries_survive_an_empty_catalog(spark):
     attributes = spark.createDataFrame([], "product_id long, attribute_name string, attribute_id long, raw_value string, confidence double, status string")
     assert X.completeness(products, attributes).count() == 0
     assert X.validate_catalog(products, attributes).count() == 0
+
+
+def test_reconcile_standardises_units_and_counts_the_attributes_confidence(spark):
+    from tallyforge.operators.reconcile import reconcile
+
+    rows = [(1, "weight", 1, "10 pounds", 0.9), (1, "weight", 2, "4.535924 kg", 0.8), (1, "length", 1, "5 millimeter", 0.9), (1, "length", 2, "5 mm", 0.8), (1, "speed", 1, "100 RPM", 0.8)]
+    claims = spark.createDataFrame(rows, "product_id long, attribute_name string, source_id long, raw_value string, trust double")
+    own = spark.createDataFrame([(1, "speed", "100 RPM", 0.5), (1, "model", "X", 0.7)], "product_id long, attribute_name string, raw_value string, confidence double")
+    got = {r["attribute_name"]: (r["status"], r["confidence"], r["winning_value"]) for r in reconcile(claims, own).collect()}
+    assert got == {"weight": ("EQUIVALENT", 0.95, "10 pounds"), "length": ("EQUIVALENT", 0.95, "5 millimeter"), "speed": ("MISSING", 0.4, "100 RPM"), "model": ("MISSING", 0.7, "X")}
+    assert {r["attribute_name"]: r["confidence"] for r in reconcile(claims).collect()}["speed"] == 0.8
+    assert reconcile(claims.limit(0), own).count() == 2
