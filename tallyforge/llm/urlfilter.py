@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are a short curated list that goes into the plan as constants.
 MOST_RULES = 1000
@@ -60,7 +62,8 @@ def template_tree(urls: DataFrame, min_share: float = 0.02, merge_rounds: int =
     urls = urls.join(kept, "host", "left").withColumn("template", F.expr("concat_ws('/', transform(segments, (s, i) -> if(array_contains(coalesce(kept, array()), concat_ws(':', i, s)), s, '*')))"))
     urls = urls.select("id", "host", "path", "label", "template")
 
-    leaves = urls.groupBy("host", "template").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked"))
+    # one row for each template of a host, which every round below and the prior read
+    leaves = stored(urls.groupBy("host", "template").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("blocked")), "templates")
     nodes = leaves.withColumn("node", F.col("template"))
     for _ in range(merge_rounds):
         own = nodes.groupBy("host", "node").agg(F.sum("n").alias("n1"), F.sum("blocked").alias("b1"))
