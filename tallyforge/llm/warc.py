@@ -12,6 +12,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 import zstandard
@@ -61,9 +62,9 @@ def _header_text(x: str) -> str:
     return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" or c == "%" else c for c in x)
 
 
-def _record(page_id: int, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def _record(page_id: int, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, date: str) -> bytes:
     kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {_header_text(url or '')}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {_header_text(url or '')}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
@@ -87,11 +88,12 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return keyed.join(most, "digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
 
 
-def write_bundles(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 64 << 20, level: int = 3) -> DataFrame:
+def write_bundles(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 64 << 20, level: int = 3, date: str | None = None) -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html) to bundles in the folder ``path``; returns the stored index.
 
     A payload is the html in UTF-8; null is empty.  Of pages with equal payloads of at least ``least_bytes``, the one with the largest
-    page_id is a response, the others revisit it.  Repeated rows give a record each.  Rows without page_id can't be named and are left
+    page_id is a response, the others revisit it.  Repeated rows give a record each, under one record id.  ``date`` is the
+    time of capture of all records (RFC 3339), by default now.  Rows without page_id can't be named and are left
     out.  A payload larger than a frame has a frame of its own.  No rows, no bundles.
 
     Each attempt of a task writes bundles under a name of its own and the index holds only those of the attempts that counted, so lost
@@ -101,6 +103,8 @@ def write_bundles(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes
     seen = revisits(rows, least_bytes).select(F.col("page_id").alias("p"), "refers_to")
     rows = rows.join(seen, F.col("page_id") == F.col("p"), "left").drop("p")
 
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = open_fs(path)
         fs.create_dir(folder, recursive=True)
@@ -121,7 +125,7 @@ def write_bundles(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes
             for page_id, url, html, refers_to in batch.itertuples(index=False, name=None):
                 payload = (html or "").encode()
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                record = _record(page_id, url, payload, digest, len(payload), None if pd.isna(refers_to) else int(refers_to))
+                record = _record(page_id, url, payload, digest, len(payload), None if pd.isna(refers_to) else int(refers_to), date)
                 if held and len(held) + len(record) > frame_bytes:
                     yield from flush()
                 if file is not None and not held and at >= bundle_bytes:
@@ -142,7 +146,8 @@ def write_bundles(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes
 
 
 def read_records(index: DataFrame, path: str) -> DataFrame:
-    """(page_id, type, refers_to, digest, payload_bytes, checked) of the records of an index, read from the bundles by frame.
+    """(page_id, type, refers_to, digest, payload_bytes, checked) of the records of an index, read from the bundles by frame; a task
+    reads neighbouring frames, and so few bundles.
 
     ``checked``: the frame's place agrees with the bundle's seek table, the record names the page, and the digest is that of the
     payload (of revisits, which have none, that of the record they refer to is not looked up)."""
@@ -178,7 +183,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
             file.close()
 
     schema = "page_id long, type string, refers_to long, digest string, payload_bytes long, checked boolean"
-    return frames.sortWithinPartitions("bundle", "frame").mapInPandas(run, schema)
+    return frames.repartitionByRange("bundle", "frame").sortWithinPartitions("bundle", "frame").mapInPandas(run, schema)
 
 
 def op4_warc_bundles(spark, sf_dir):
