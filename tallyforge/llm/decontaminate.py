@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import long_rows
+from .shared import long_rows, stored
 
 RULE = "letters_lower"
 
@@ -33,6 +33,8 @@ class Suffixes(NamedTuple):
 
 
 _SEEN = 20
+#: Blocks of suffixes that a stage holds: each takes a Python worker of a task slot, and its suffixes stay in that worker.
+BLOCKS_A_STAGE = 4
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,14 +49,13 @@ def _keys(ranks: np.ndarray) -> np.ndarray:
 def suffixes_of(items: pd.DataFrame, window: int) -> Suffixes:
     cut = W.cut(pa.array(items["text"], pa.string()), RULE)
     vocabulary = np.unique(cut.hash)
-    rank = np.searchsorted(vocabulary, cut.hash) + 1
-    rows, size, item, at = [], [], [], []
-    for i in range(len(items)):
-        own = rank[cut.first[i] : cut.first[i + 1]]
-        for p in range(max(1, own.size - window + 1) if own.size else 0):
-            part = own[p : p + window]
-            rows.append(np.pad(part, (0, window - part.size))), size.append(part.size), item.append(i), at.append(p)
-    ranks, size = np.array(rows, dtype=np.int64).reshape(-1, window), np.array(size, dtype=np.int64)
+    rank = np.append(np.searchsorted(vocabulary, cut.hash) + 1, np.zeros(window, dtype=np.int64)).astype(np.uint32)
+    words = np.diff(cut.first)
+    windows = np.where(words > 0, np.maximum(1, words - window + 1), 0)
+    item = np.repeat(np.arange(len(items)), windows)
+    at = np.arange(item.size) - np.repeat(np.cumsum(windows) - windows, windows)
+    size = np.minimum(words[item], window)
+    ranks = np.lib.stride_tricks.sliding_window_view(rank, window)[cut.first[item] + at] * (np.arange(window) < size[:, None])
     past = np.arange(window) >= size[:, None]
     seen = np.zeros(1 << _SEEN, dtype=bool)
     single = np.zeros(vocabulary.size + 1, dtype=bool)
@@ -63,7 +64,7 @@ def suffixes_of(items: pd.DataFrame, window: int) -> Suffixes:
         if window > 1:
             seen[_pair(ranks[long, 0], ranks[long, 1]).astype(np.int64)] = True
         single[ranks[~long, 0]] = True
-    return Suffixes(vocabulary, _keys(ranks), _keys(np.where(past, 0xFFFFFFFF, ranks)), size, np.array(item, dtype=np.int64), np.array(at, dtype=np.int64), list(items["item_id"]), seen, single)
+    return Suffixes(vocabulary, _keys(ranks), _keys(np.where(past, 0xFFFFFFFF, ranks)), size, item, at, list(items["item_id"]), seen, single)
 
 
 def search_shard(cut: W.Words, test: Suffixes, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +116,7 @@ def longest(place: np.ndarray, which: np.ndarray, test: Suffixes) -> np.ndarray:
 _MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 16 << 20, id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit (words inside any occurrence of a window of any item) and ``matches``, the longest
     verbatim matches with their places.
 
@@ -125,7 +126,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     Where ``carry`` names columns of ``docs``, ``text`` and a struct ``row`` of these columns stand in the result too.
 
     The suffixes of the items go to every task in blocks of at most ``block_bytes`` of text (an item longer than that is a block
-    of its own); with a larger benchmark the documents pass one block after the other, in the same stage and without a shuffle.
+    of its own), about 16 times as large when sent; with a larger benchmark the documents pass one block after the other without a
+    shuffle, ``BLOCKS_A_STAGE`` of them in a stage, after which they are stored.  Very long texts are searched alone.  Columns of
+    ``docs`` may have any names.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -151,6 +154,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(cut.first)), pa.array(found, _MATCH), *batch.columns[4:]], names=schema.names)
 
         out = out.mapInArrow(search, schema)
+        if k % BLOCKS_A_STAGE == BLOCKS_A_STAGE - 1 and k + 1 < n_blocks:
+            out = stored(out, "searched")
     # words inside any match: the matches in order, each counted from where the ones before it end
     span = "array_sort(transform(matches, m -> struct(m.word as a, m.word + m.n_words as b)))"
     hit = f"aggregate({span}, struct(0L as n, 0L as e), (s, m) -> struct(s.n + greatest(m.b - greatest(m.a, s.e), 0L) as n, greatest(s.e, m.b) as e), s -> s.n)"
