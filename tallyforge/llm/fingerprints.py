@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Words in a gram, and grams in a window: these figures are built into the doubling below.
 K, WINDOW = 5, 4
-BUCKET_ROWS = 4096
+BUCKET_ROWS, MOST_QUANTILES = 4096, 256
 
 
 def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -49,6 +49,25 @@ def digest(a: str) -> Column:
     return F.sha2(F.col(f"{a}.hash").cast("string"), 256)
 
 
+def _bucket(rows: DataFrame, bucket_rows: int) -> Column:
+    """A number that doesn't fall as ``id`` rises, the same for about ``bucket_rows`` rows: ranges between up to MOST_QUANTILES
+    quantiles, each cut into equal parts if there are more rows than that."""
+    n, low, high = rows.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    if not n:
+        return F.lit(0).cast("long")
+    ranges = min(MOST_QUANTILES, -(-n // bucket_rows))
+    cuts = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 100 * MOST_QUANTILES)).first()[0] if ranges > 1 else []
+    bounds = sorted({low, *cuts})
+    k = F.expr(f"size(filter(array({','.join(f'{x}L' for x in bounds)}), b -> b <= id))") if len(bounds) > 1 else F.lit(1)
+    parts = -(-n // (ranges * bucket_rows))
+    if parts == 1:
+        return k.cast("long")
+    edges = [*bounds, high + 1]
+    one = lambda values: F.element_at(F.array(*[F.lit(x).cast("decimal(20,0)") for x in values]), k)
+    start, width = one(edges[:-1]), one([y - x for x, y in zip(edges, edges[1:], strict=False)])
+    return (k * parts + F.floor((F.col("id").cast("decimal(20,0)") - start) * parts / width)).cast("long")
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id, n_chars, edited, fp, edited_fp, near_edited, near_next) of each row of ``docs``.
 
@@ -57,13 +76,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     last floor(n / 2) code points replaced by the first as many of the next one's, or all if it has fewer.  Null texts are empty.
     Rows without id are left out.  Integer ids.
 
-    Ids are dealt into equal ranges of about ``bucket_rows`` rows, so that the order is that of small sorted groups and of the table
-    of their largest ids.  Unevenly spread ids make uneven groups, which are sorted with spilling, but no other result.
+    Ids are dealt into ranges of about ``bucket_rows`` rows, so that the order is that of small sorted groups and of the table of
+    their largest ids.  The ranges are cut at quantiles of the ids, so outliers and clusters of ids don't matter.  Rows of one id
+    stay in one range, where they are sorted with spilling.
     """
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    n, low, high = rows.agg(F.count("*"), F.min("id"), F.max("id")).first()
-    width = max(1, (((high or 0) - (low or 0)) * bucket_rows) // max(1, n) + 1)
-    rows = rows.withColumn("bucket", F.expr(f"cast(floor((cast(id as decimal(20,0)) - {low or 0}BD) / {width}BD) as bigint)"))
+    rows = rows.withColumn("bucket", _bucket(rows, bucket_rows))
 
     order = Window.partitionBy("bucket").orderBy(F.desc("id"), F.desc("text"))
     parts = winnow(rows.repartition("bucket"), "text", "fp")
