@@ -18,6 +18,8 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 PARAMETERS = {"compression_level": 1, "strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "hash_log": 17, "chain_log": 17, "search_log": 3, "window_log": 18}
 #: Bytes that are compressed from the dictionary alone.  Later in a text a compressor finds what it needs in the text itself.
 PIECE_BYTES = 16 << 10
+#: Labels that get a dictionary; every text is compressed with each.
+MOST_LABELS = 500
 
 
 def letters_only(text: str) -> str:
@@ -36,11 +38,14 @@ def train_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lan
     """A raw-content dictionary for each label, from a bounded sample of the labelled rows.
 
     At most ``sample_rows`` texts a label, chosen by hash of the text, each giving its first ``dict_bytes // 32`` characters.
-    Rows with a null label, or a text that is null or has no letter, don't count.  Labels are languages: a few hundred at most.
+    Of these the last ``dict_bytes`` bytes make the dictionary.  Rows with a null label, or a text that is null or has no letter, don't
+    count.  Labels are languages: more than MOST_LABELS are an error.
     """
+    if labelled.select(lang).distinct().limit(MOST_LABELS + 2).count() > MOST_LABELS + 1:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     w = Window.partitionBy("lang").orderBy("h", "text")
     rows = (
-        labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+        labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
         .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
         .select("lang", F.substring("text", 1, dict_bytes // 32).alias("text"), F.xxhash64("text").alias("h"))
         .withColumn("n", F.row_number().over(w))
