@@ -143,7 +143,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             test = sent.value
-            for batch in W.slices(batches, "text", 4 << 20):
+            for batch in W.slices(batches, "text", 1 << 20):
                 cut = W.cut(batch.column(1), RULE)
                 place, which = search_shard(cut, test, window)
                 found = batch.column(3).to_pylist()

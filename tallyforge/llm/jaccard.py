@@ -167,7 +167,7 @@ class Rows(NamedTuple):
     sketch: np.ndarray
 
 
-def unrefuted(r: Rows, lags: int = LAGS, rows: int = 256) -> Iterator[tuple[np.ndarray, ...]]:
+def unrefuted(r: Rows, lags: int = LAGS, rows: int = 64) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs (i, j) of rows of one group in different components that sizes and sketches don't refute, with whether the places let
     them link here, and by how far they miss the bound.  Small groups are compared all together, row by row at each distance up to ``lags``."""
 

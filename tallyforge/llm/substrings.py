@@ -355,37 +355,46 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     log2 = bits_for(spans.count())
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(spans, bit_of("id", log2), log2))
 
-    def choose(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                mask = has_bit(sent.value, batch.column(2).to_numpy().astype(np.uint64)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-                if (mask == want).any():
-                    yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask == want)) for c in batch.columns[:2]], names=["id", "text"])
+    def finished(ids: pa.Array, texts: pa.Array, spans: list) -> pa.RecordBatch:
+        n, removed, left = [], [], []
+        for t, gone_spans in zip(texts.cast(pa.binary()), spans, strict=True):
+            words = (t.as_py() or b"").split()
+            n.append(len(words))
+            if gone_spans:
+                gone = np.zeros(len(words) + 1, dtype=np.int64)
+                for s in gone_spans:
+                    if s["at"] < len(words):
+                        gone[s["at"]] += 1
+                        gone[min(len(words), s["at"] + s["n"])] -= 1
+                stay = np.cumsum(gone)[:-1] == 0
+                words = [words[i] for i in np.flatnonzero(stay)]
+            removed.append(n[-1] - len(words)), left.append(b" ".join(words))
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "text"])
+
+    def touched(batch: pa.RecordBatch) -> np.ndarray:
+        return has_bit(sent.value, batch.column(2).to_numpy().astype(np.uint64)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = touched(batch)
+            if mask.any():
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask)) for c in batch.columns[:2]], names=["id", "text"])
 
-        return rows.withColumn("bit", F.coalesce(bit_of("id", log2), F.lit(0))).mapInArrow(run, "id long, text string")
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~touched(batch)))
+            for part in W.slices([batch], "text"):
+                yield finished(part.column(0), part.column(1), [None] * part.num_rows)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, left = [], [], []
-            for t, spans in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                words = (t.as_py() or b"").split()
-                spans = spans.as_py()
-                n.append(len(words))
-                if spans:
-                    gone = np.zeros(len(words) + 1, dtype=np.int64)
-                    for s in spans:
-                        if s["at"] < len(words):
-                            gone[s["at"]] += 1
-                            gone[min(len(words), s["at"] + s["n"])] -= 1
-                    stay = np.cumsum(gone)[:-1] == 0
-                    words = [words[i] for i in np.flatnonzero(stay)]
-                removed.append(n[-1] - len(words)), left.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "text"])
-
-    none = F.lit(None).cast("array<struct<at:int,n:int>>").alias("spans")
+            for part in W.slices([batch], "text"):
+                yield finished(part.column(0), part.column(1), part.column(2).to_pylist())
+
     schema = "id long, n_words long, n_removed long, text string"
-    untouched = choose(False).select("id", "text", none).mapInArrow(finish, schema)
-    return untouched.unionAll(choose(True).join(spans, "id", "left").select("id", "text", "spans").mapInArrow(finish, schema))
+    probe = rows.withColumn("bit", F.coalesce(bit_of("id", log2), F.lit(0)))
+    some = probe.mapInArrow(maybe, "id long, text string").join(spans, "id", "left").select("id", "text", "spans")
+    return probe.mapInArrow(untouched, schema).unionAll(some.mapInArrow(cut_out, schema))
 
 
 def op7_substring_dedup(spark, sf_dir):

@@ -31,15 +31,18 @@ RULES = {
 
 _BASE, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
+MOST_KEPT = 1 << 20
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     held = _powers.get(int(base))
     if held is None or held.size < n:
-        grown = np.full(max(n, 1 << 16) * 3 // 2, base, dtype=np.uint64)
+        grown = np.full(max(n, 1 << 16) * 3 // 2 if n <= MOST_KEPT else n, base, dtype=np.uint64)
         grown[0] = 1
-        held = _powers[int(base)] = np.cumprod(grown, dtype=np.uint64)
+        held = np.cumprod(grown, dtype=np.uint64)
+        if n <= MOST_KEPT:  # a worker lives on after a very long text
+            _powers[int(base)] = held
     return held[:n]
 
 
