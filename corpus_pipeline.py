@@ -77,7 +77,7 @@ STAGES = [
     ("source_mixing", mix),
 ]
 
-#: Compression and bisection have no SQL; tests compare with a brute-force version.
+#: Compression and bisection have no SQL; tests hold the stages against small planted tables.
 ORACLE_SQL = None
 
 
