@@ -102,6 +102,23 @@ def test_jaccard_of_many_near_copies_with_frequent_shingles(spark):
     assert got["component_id"].tolist() == brute_jaccard(texts)[1]
 
 
+def test_jaccard_counts_few_pairs_of_near_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 50)  # so that groups are cut into blocks
+    rng, base, sums = random.Random(7), [f"b{i}" for i in range(150)], []
+    for m in (100, 200):
+        texts = []
+        for _ in range(m):
+            w = list(base)
+            for x in rng.sample(range(150), 3):
+                w[x] = f"q{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+        counts = []
+        got = jaccard.jaccard_components(frame(spark, texts), counts=counts).toPandas().sort_values("id")
+        assert got["component_id"].tolist() == brute_jaccard(texts)[1]
+        sums.append(sum(counts))
+        assert sum(counts) <= 6 * m  # of m * (m - 1) / 2
+
+
 def brute_repeats(texts, window):
     words = [(t or "").split() for t in texts]
     seen, gone = {}, []
