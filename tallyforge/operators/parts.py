@@ -40,6 +40,15 @@ def invoice_violations(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("too_long", F.length(column) > 40).withColumn("not_upper", F.col(column) != F.upper(column))
 
 
+def compliance(rows: DataFrame, invoice: str, header: list[str]) -> DataFrame:
+    """One row: how many rows there are, how many have an invoice description over 40 characters, not in capitals or either, whether
+    none has, and whether the columns are those of ``header`` in order.  Null descriptions count as compliant."""
+    r = invoice_violations(rows, invoice)
+    either = F.coalesce(F.col("too_long"), F.lit(False)) | F.coalesce(F.col("not_upper"), F.lit(False))
+    out = r.agg(F.count("*").alias("evaluated"), F.count_if("too_long").alias("too_long"), F.count_if("not_upper").alias("not_upper"), F.count_if(either).alias("violations"))
+    return out.withColumns({"compliant": F.col("violations") == 0, "same_header": F.lit(rows.columns == header)})
+
+
 def spread(rows: DataFrame, column: str, prefix: str, n: int) -> DataFrame:
     """The first ``n`` elements of a list as columns, '' where there is none."""
     rest = [c for c in rows.columns if c != column]

@@ -161,11 +161,19 @@ def matched_keys(spark, d):
     return C.table(spark, d, "part").where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("part")).intersect(C.table(spark, d, "lineitem").select("l_partkey"))
 
 
-@query("compliance_check", "", """WITH x AS (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, CAST(20 + doc_id % 30 AS INT)) AS t, doc_id % 3 AS k FROM documents)
-SELECT doc_id, length(v) > 40 AS too_long, v <> upper(v) AS not_upper FROM (SELECT doc_id, CASE WHEN k = 0 THEN upper(t) ELSE t END AS v FROM x)""")
+@query("compliance_check", "", """WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN upper(text) ELSE substr(upper(text), 1, 40) END AS v FROM documents)
+SELECT count(*) AS evaluated, count(*) FILTER (length(v) > 40) AS too_long, count(*) FILTER (v <> upper(v)) AS not_upper, count(*) FILTER (length(v) > 40 OR v <> upper(v)) AS violations, count(*) FILTER (length(v) > 40 OR v <> upper(v)) = 0 AS compliant, true AS same_header FROM x""")
 def compliance_check(spark, d):
-    t = F.expr("substring(regexp_replace(text, '[^ -~]', ''), 1, cast(20 + doc_id % 30 as int))")
-    v = F.when(F.col("doc_id") % 3 == 0, F.upper(t)).otherwise(t)
+    """Whole texts, texts in capitals, and those cut to 40 characters as invoice descriptions."""
+    docs = C.table(spark, d, "documents")
+    v = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.upper("text")).otherwise(F.substring(F.upper("text"), 1, 40))
+    return PT.compliance(docs.select("doc_id", v.alias("v")), "v", ["doc_id", "v"])
+
+
+@query("invoice_violations", "", """WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN upper(text) ELSE substr(upper(text), 1, 40) END AS v FROM documents)
+SELECT doc_id, length(v) > 40 AS too_long, v <> upper(v) AS not_upper FROM x""")
+def invoice_violations(spark, d):
+    v = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.upper("text")).otherwise(F.substring(F.upper("text"), 1, 40))
     return PT.invoice_violations(C.table(spark, d, "documents").select("doc_id", v.alias("v")), "v").select("doc_id", "too_long", "not_upper")
 
 
@@ -288,27 +296,53 @@ def ingest_file_gate(spark, d):
     return I.gate_files(files, max_bytes=20000, extensions=["pdf", "html", "txt"]).select("page_id", "reason")
 
 
-@query("page_corpus", "", "SELECT page_id, length(c) AS n_chars, sha256(c) AS corpus_hash FROM (SELECT page_id, trim(regexp_replace(lower(regexp_replace(html, '[^ -~\\n]', '', 'g')), '\\s+', ' ', 'g')) AS c FROM pages)")
+@query("page_corpus", "", "SELECT page_id, length(c) AS n_chars, sha256(c) AS corpus_hash FROM (SELECT page_id, trim(regexp_replace(lower(html), '\\s+', ' ', 'g')) AS c FROM pages)")
 def page_corpus(spark, d):
-    c = F.trim(F.regexp_replace(F.lower(F.regexp_replace("html", "[^ -~\\n]", "")), r"\s+", " "))
+    c = F.trim(F.regexp_replace(F.lower("html"), r"\s+", " "))
     return C.table(spark, d, "pages").select("page_id", c.alias("c")).select("page_id", F.length("c").cast("long").alias("n_chars"), F.sha2("c", 256).alias("corpus_hash"))
 
 
-@query("table_claims", "", "SELECT p_partkey AS document_id, name, value FROM (SELECT p_partkey, 'brand' AS name, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'size', p_size || ' mm' FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_partkey, 'type', p_type FROM part)")
+@query("table_claims", "", """WITH cells AS (SELECT p_partkey, p_partkey % 5 AS shape, UNNEST([['Brand', p_brand], ['Size', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_size || ' mm' END], ['Type', p_type]]) AS c FROM part)
+SELECT p_partkey AS document_id, lower(c[1]) AS name, CASE WHEN shape = 2 THEN trim('of ' || c[2]) ELSE c[2] END AS value FROM cells WHERE shape < 3 AND (shape = 2 OR c[2] <> '')
+UNION ALL SELECT p_partkey, 'finish', 'n/a' FROM part WHERE p_partkey % 5 < 2""")
 def table_claims(spark, d):
-    rows = F.expr("array(array('Specification', 'Value'), array('Brand', p_brand), array('Size', if(p_partkey % 4 = 0, 'n/a', concat(p_size, ' mm'))), array('Type', p_type), array('7', 'x'), array('A', 'y'))")
-    t = C.table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.array(F.lit("Specification"), F.lit("Value")).alias("headers"), rows.alias("rows"))
-    return I.table_claims(t).select("document_id", "name", "value")
-
-
-@query("verify_evidence", "", """WITH c AS (SELECT doc_id, substr(text, 11, 40) AS quote, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS corpus FROM documents WHERE length(text) > 60),
-q AS (SELECT doc_id, corpus, CASE doc_id % 3 WHEN 0 THEN quote WHEN 1 THEN quote || ' qqqq' ELSE '' END AS quote FROM c)
-SELECT doc_id, CASE WHEN trim(quote) = '' THEN 'inference' WHEN contains(corpus, regexp_replace(lower(trim(quote)), '\\s+', ' ', 'g')) THEN 'verified' WHEN len(ts) >= 2 AND len(list_filter(ts, lambda t: contains(corpus, t))) >= 0.8 * len(ts) THEN 'verified' ELSE 'inference' END AS outcome
-FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(lower(trim(quote)), '\\s+', ' ', 'g'), '[|\\s.,;\\-():/]+'), lambda t: length(t) >= 2) AS ts FROM q)""")
+    """Tables of two headers, of none, of headers that tell names and values, of neither kind, and of numbers."""
+    p = C.table(spark, d, "part").withColumn("shape", F.col("p_partkey") % 5)
+    two = "array(array('Brand', p_brand), array('Size', if(p_partkey % 4 = 0, '', concat(p_size, ' mm'))), array('Type', p_type), array('Finish', 'n/a'), array('n/a', 'x'), array('7', 'x'), array('A', 'y'), array('Short'))"
+    three = "array(array('1', concat('of ', p_brand), 'Brand'), array('x', concat('of ', if(p_partkey % 4 = 0, '', concat(p_size, ' mm'))), 'Size'), array('x', concat('of ', p_type), 'Type'), array('x', 'Rating', 'parameter'))"
+    rows = f"CASE shape WHEN 2 THEN {three} WHEN 3 THEN {three} WHEN 4 THEN array(array('1', p_brand), array('2', p_type), array('Sum', '3')) ELSE {two} END AS rows"
+    headers = "CASE shape WHEN 0 THEN array('Specification', 'Value') WHEN 1 THEN cast(array() as array<string>) WHEN 2 THEN array('No', ' RATING', 'Parameter') WHEN 3 THEN array('No', 'Price', 'Parameter') ELSE array('Name', 'Value') END AS headers"
+    t = p.selectExpr("p_partkey AS document_id", headers, rows)
+    return I.table_claims(t, blank_values=()).select("document_id", "name", "value")
+
+
+_PAGE = 500
+_TIDY = "trim(regexp_replace(lower(trim({})), '\\s+', ' ', 'g'))"
+
+
+@query("verify_evidence", "", f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, page, {_TIDY.format(f"substr(text, (page - 1) * {_PAGE} + 1, {_PAGE})")} AS t FROM (SELECT doc_id, text, unnest(range(1, 2 + greatest(0, length(text) - 1) // {_PAGE})) AS page FROM d)),
+whole AS (SELECT doc_id, string_agg(t, ' ' ORDER BY page) AS corpus FROM p GROUP BY 1),
+c AS (SELECT doc_id, k, CASE WHEN k < 4 THEN 'llm' WHEN k < 6 THEN 'deterministic' ELSE 'llm_inference' END AS method, CASE k WHEN 2 THEN 9 ELSE 1 END AS claimed,
+  {_TIDY.format("CASE k WHEN 0 THEN substr(text, 11, 40) WHEN 1 THEN substr(text, 521, 40) WHEN 2 THEN substr(text, 11, 40) || ' qqqq zzzz xxxx' WHEN 3 THEN '  ' ELSE substr(text, 11, 40) END")} AS q,
+  {_TIDY.format("CASE k WHEN 4 THEN substr(text, 491, 20) ELSE 'qqq ' || doc_id % 50 || ' zzz' END")} AS raw FROM d, range(7) r(k)),
+w AS (SELECT *, list_filter(regexp_split_to_array(q, '[|\\s.,;\\-():/]+'), lambda t: length(t) >= 2) AS ts FROM c WHERE method = 'llm' AND q <> ''),
+hit AS (SELECT doc_id, k, arg_min(page, CASE WHEN page = claimed THEN 0 ELSE page END) AS page FROM w JOIN p USING (doc_id)
+  WHERE contains(t, q) OR (len(ts) >= 2 AND len(list_filter(ts, lambda x: contains(t, x))) >= 0.8 * len(ts)) GROUP BY 1, 2)
+SELECT doc_id, k, CASE WHEN method = 'llm' AND page IS NULL THEN 'llm_inference' ELSE method END AS extraction_method, coalesce(page, claimed) AS page_number,
+  CASE WHEN method = 'deterministic' THEN (raw <> '' AND (contains(corpus, raw) OR contains(replace(corpus, ' ', ''), replace(raw, ' ', '')))) OR (regexp_extract(raw, '\\d+(?:\\.\\d+)?') <> '' AND contains(corpus, regexp_extract(raw, '\\d+(?:\\.\\d+)?'))) ELSE page IS NOT NULL END AS evidence_verified
+FROM c JOIN whole USING (doc_id) LEFT JOIN hit USING (doc_id, k)""")
 def verify_evidence(spark, d):
-    x = C.table(spark, d, "documents").where(F.length("text") > 60)
-    x = x.select("doc_id", F.col("text").alias("corpus"), F.expr("CASE doc_id % 3 WHEN 0 THEN substring(text, 11, 40) WHEN 1 THEN concat(substring(text, 11, 40), ' qqqq') ELSE '' END").alias("quote"))
-    return x.select("doc_id", I.evidence_outcome(F.col("quote"), F.col("corpus")).alias("outcome"))
+    """Seven claims for each document, one of each kind, against its text in pages."""
+    x = C.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
+    pages = f"transform(sequence(1, 1 + cast(greatest(0, length(text) - 1) div {_PAGE} as int)), i -> struct(substring(text, (i - 1) * {_PAGE} + 1, {_PAGE}) as text))"
+    claims = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).selectExpr(
+        "document_id", "k", "CASE WHEN k < 4 THEN 'llm' WHEN k < 6 THEN 'deterministic' ELSE 'llm_inference' END AS extraction_method", "if(k = 2, 9L, 1L) AS page_number",
+        "CASE k WHEN 1 THEN substring(text, 521, 40) WHEN 2 THEN concat(substring(text, 11, 40), ' qqqq zzzz xxxx') WHEN 3 THEN '  ' ELSE substring(text, 11, 40) END AS evidence_text",
+        "if(k = 4, substring(text, 491, 20), concat('qqq ', document_id % 50, ' zzz')) AS raw_value",
+    )
+    got = I.verify_claims(claims, x.select("document_id", F.expr(pages).alias("pages")))
+    return got.select(F.col("document_id").alias("doc_id"), "k", "extraction_method", "page_number", "evidence_verified")
 
 
 @query("bulk_embed", "", None)

@@ -41,24 +41,80 @@ def gate_files(files: DataFrame, max_bytes: int = 50 << 20, extensions: list[str
     return files.withColumn("reason", reason.when((ext == "pdf") & (F.substring("content", 1, 4) != F.lit(b"%PDF")), "not_a_pdf"))
 
 
-def table_claims(tables: DataFrame) -> DataFrame:
-    """(document_id, name, value, ...) from two-column tables (document_id, headers, rows): one claim for each usable row."""
-    first = F.transform("rows", lambda r: F.trim(F.get(r, F.lit(0))))
-    numeric = F.size(F.filter(first, lambda x: x.rlike(r"^\d+(?:\.\d+)?$")))
-    good = tables.where((F.size("headers") == 2) & (numeric <= 0.4 * F.size("rows")))
-    cells = good.select("document_id", "headers", F.explode("rows").alias("r")).where(F.size("r") >= 2)
-    name, value = F.trim(F.col("r")[0]), F.trim(F.col("r")[1])
-    blank = lambda x: F.lower(x).isin("", "n/a", "-", "—")
-    keep = ~blank(name) & ~blank(value) & ~name.rlike(r"^\d+(?:\.\d+)?$") & (F.length(name) >= 2) & (F.lower(name) != F.lower(F.col("headers")[0]))
-    return cells.where(keep).select("document_id", V.canonical_attribute_name(name).alias("name"), name.alias("display_name"), value.alias("value"), F.lit("deterministic").alias("extraction_method"), F.lit(0.88).alias("model_confidence"), F.concat_ws(" | ", name, value).alias("evidence_text"))
-
-
-def evidence_outcome(quote: Column, corpus: Column) -> Column:
-    """verified if the quote stands in the corpus, or four fifths of its two or more words do; else inference."""
-    q, c = V.normalize_text(quote), V.normalize_text(corpus)
-    tokens = F.filter(F.split(q, r"[|\s.,;\-():/]+"), lambda t: F.length(t) >= 2)
-    found = F.size(F.filter(tokens, lambda t: F.contains(c, t)))
-    return F.when(F.trim(quote) == "", "inference").when(F.contains(c, q), "verified").when((F.size(tokens) >= 2) & (found >= 0.8 * F.size(tokens)), "verified").otherwise("inference")
+# Headers of columns that hold names and values.
+NAME_HEADERS = ["specification", "parameter", "attribute", "property", "feature", "item", "name"]
+VALUE_HEADERS = ["value", "rating", "quantity", "measurement", "reading", "data", "specification"]
+_NUMBER = r"^\d+(?:\.\d+)?$"
+
+
+def table_claims(tables: DataFrame, blank_values: tuple[str, ...] = ("n/a", "-", "\u2014")) -> DataFrame:
+    """(document_id, name, display_name, value, ...) from tables (document_id, headers, rows) of names and values: one claim for each usable row.
+
+    The columns are the first two of a table with two headers, or of one without headers whose first five rows have two cells at
+    most; else those under the first header for names and the first for values.  A table with numbers in over 40 % of its first cells
+    gives nothing, and neither does one with null rows or none.  Values that are ``blank_values``, whatever their case, are left out like
+    empty ones; () keeps them.
+    """
+    first = F.transform(F.filter("rows", lambda r: F.size(r) > 0), lambda r: F.trim(r[0]))
+    numeric = F.size(F.filter(first, lambda x: x.rlike(_NUMBER)))
+    width = F.array_max(F.transform(F.slice("rows", 1, 5), F.size))
+    headers = F.coalesce("headers", F.array().cast("array<string>"))
+    keys = F.transform(headers, lambda h: F.lower(F.trim(F.coalesce(h, F.lit("")))))
+    at = lambda words: F.array_position(F.transform(keys, lambda k: k.isin(words)), True) - 1
+    narrow = (F.size(headers) == 2) | ((F.size(headers) == 0) & (width == 2))
+    shaped = tables.where(numeric <= 0.4 * F.size(first)).select(
+        "document_id", headers.alias("headers"), "rows", F.when(narrow, 0).when(F.size(headers) > 0, at(NAME_HEADERS)).otherwise(-1).cast("int").alias("k"), F.when(narrow, 1).when(F.size(headers) > 0, at(VALUE_HEADERS)).otherwise(-1).cast("int").alias("v")
+    )
+    cells = shaped.where("k >= 0 and v >= 0 and k <> v").select("document_id", "headers", "k", "v", F.explode("rows").alias("r"))
+    cells = cells.select("document_id", "headers", F.trim(F.get("r", F.col("k"))).alias("n"), F.trim(F.get("r", F.col("v"))).alias("value"))
+    repeats = F.exists("headers", lambda h: F.coalesce(F.lower(h) == F.lower("n"), F.lit(False)))
+    name = V.canonical_attribute_name(F.col("n"))
+    usable = (F.col("value") != "") & ~F.lower("value").isin(*blank_values) & ~F.lower("n").isin("", "n/a", "-", "\u2014") & ~F.col("n").rlike(_NUMBER) & ~repeats & (F.length(name) >= 2)
+    return cells.where(usable).select(
+        "document_id", name.alias("name"), F.col("n").alias("display_name"), "value", F.lit("deterministic").alias("extraction_method"), F.lit(0.88).alias("model_confidence"), F.concat_ws(" | ", "n", "value").alias("evidence_text")
+    )
+
+
+def verify_claims(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """``claims`` (document_id, extraction_method, raw_value, evidence_text, page_number, ...) with ``evidence_verified``, held against
+    ``documents`` (document_id, pages: text and, where they have them, tables of headers and rows).
+
+    deterministic: the value stands in the document, spaces aside, or else its first number does.  llm: the quote, or four fifths of
+    its two or more words, stands on the claimed page or else on the first page that has it, whose number the claim then takes; a claim
+    without a quote, or with one that is found nowhere, becomes llm_inference.  llm_inference and other methods: not verified.
+    A document is a row, so the join is n:1; a claim whose document is missing is held against no text.
+    """
+    fields = documents.schema["pages"].dataType.elementType.names
+    none = F.array().cast("array<string>")
+    clean = lambda x: F.trim(V.normalize_text(F.coalesce(x, F.lit(""))))
+
+    def text(page):
+        cells = none
+        if "tables" in fields:
+            cells = F.coalesce(F.flatten(F.transform(page["tables"], lambda t: F.concat(F.coalesce(t["headers"], none), F.coalesce(F.flatten(t["rows"]), none)))), none)
+        return clean(F.array_join(F.concat(F.array(F.coalesce(page["text"], F.lit(""))), cells), " "))
+
+    docs = documents.select(F.col("document_id").alias("_doc"), F.transform("pages", text).alias("_pages"))
+    both = claims.join(docs, F.col("document_id") == F.col("_doc"), "left").withColumns({"_pages": F.coalesce("_pages", none), "_q": clean(F.col("evidence_text")), "_raw": clean(F.col("raw_value"))})
+    both = both.withColumn("_words", F.filter(F.split("_q", r"[|\s.,;\-():/]+"), lambda t: F.length(t) >= 2))
+
+    def holds(page):
+        found = F.size(F.filter("_words", lambda t: F.contains(page, t)))
+        return F.contains(page, F.col("_q")) | ((F.size("_words") >= 2) & (found >= 0.8 * F.size("_words")))
+
+    claimed = F.when(F.col("page_number") >= 1, F.get("_pages", (F.col("page_number") - 1).cast("int")))
+    first = F.array_position(F.transform("_pages", holds), True)
+    page = F.when(F.coalesce(holds(claimed), F.lit(False)), F.col("page_number")).when(first > 0, first)
+    page = F.when((F.col("extraction_method") == "llm") & (F.col("_q") != ""), page)
+    corpus, number = F.array_join("_pages", " "), F.regexp_extract("_raw", r"\d+(?:\.\d+)?", 0)
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    stands = (F.col("_raw") != "") & (F.contains(corpus, F.col("_raw")) | F.contains(bare(corpus), bare(F.col("_raw"))))
+    stands = stands | ((number != "") & F.contains(corpus, number))
+    out = both.withColumn("_page", page.cast("long"))
+    method = F.when((F.col("extraction_method") == "llm") & F.col("_page").isNull(), "llm_inference").otherwise(F.col("extraction_method"))
+    verified = F.when(F.col("extraction_method") == "deterministic", stands).otherwise(F.col("_page").isNotNull())
+    new = {"extraction_method": method, "page_number": F.coalesce("_page", "page_number")}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in claims.columns], verified.alias("evidence_verified"))
 
 
 def hash_vectors(rows: DataFrame, id_col: str, text: str, dims: int = 384) -> DataFrame:

@@ -46,6 +46,28 @@ def test_table_claims_and_a_price_table(spark):
     assert {(r["document_id"], r["name"], r["value"]) for r in got} == {(1, "voltage", "230 V"), (1, "power", "5.5 kW"), (1, "speed", "1440 RPM"), (1, "weight", "32 kg")}
 
 
+def test_tables_without_headers_and_with_named_columns(spark):
+    rows = [(1, None, [["Voltage", "n/a"], ["Power"], ["", "5"], ["\u2014", "x"]]), (2, ["No", "Value", "Item"], [["x", "5 kg", "Weight"], ["y", "6", "Item"], ["z", None, "Speed"]]), (3, None, [["a", "b", "c"]]), (4, ["Specification", "Other", "More"], [["q", "r", "s"]]), (5, None, None), (6, [], [])]
+    got = I.table_claims(spark.createDataFrame(rows, "document_id long, headers array<string>, rows array<array<string>>"), blank_values=()).collect()
+    assert {(r["document_id"], r["name"], r["value"]) for r in got} == {(1, "voltage", "n/a"), (2, "weight", "5 kg")}
+
+
+def test_claims_are_verified_by_method_and_page(spark):
+    pages = "document_id long, pages array<struct<text: string, tables: array<struct<headers: array<string>, rows: array<array<string>>>>>>"
+    docs = spark.createDataFrame([(1, [("Rated  Voltage 230 V", None), ("Speed 1440", [(["Power"], [["5.5", "kW"]])]), (None, None)]), (2, None)], pages)
+    rows = [
+        (1, 1, "llm", None, "rated voltage", 1), (2, 1, "llm", None, "speed 1440 power", 1), (3, 1, "llm", None, "5.5 kw", 9), (4, 1, "llm", None, "torque 12 Nm", 2), (5, 1, "llm", None, " ", 1),
+        (6, 1, "deterministic", "230V", None, None), (7, 1, "deterministic", "about 1440 rpm", None, 4), (8, 1, "deterministic", "77 kg", None, 1), (9, 1, "llm_inference", "230", "230", 1), (10, 2, "llm", None, "voltage", 1), (11, 3, "deterministic", None, None, 1),
+    ]
+    claims = spark.createDataFrame(rows, "id long, document_id long, extraction_method string, raw_value string, evidence_text string, page_number long")
+    got = {r["id"]: (r["extraction_method"], r["page_number"], r["evidence_verified"]) for r in I.verify_claims(claims, docs).collect()}
+    assert got == {
+        1: ("llm", 1, True), 2: ("llm", 2, True), 3: ("llm", 2, True), 4: ("llm_inference", 2, False), 5: ("llm_inference", 1, False), 6: ("deterministic", None, True),
+        7: ("deterministic", 4, True), 8: ("deterministic", 1, False), 9: ("llm_inference", 1, False), 10: ("llm_inference", 1, False), 11: ("deterministic", 1, False),
+    }
+    assert I.verify_claims(claims.limit(0), docs.drop("x")).count() == 0
+
+
 def test_file_gate(spark):
     files = spark.createDataFrame([("a.pdf", b"%PDF-1"), ("b.pdf", b"hello"), ("c.exe", b"MZ"), ("d.txt", b""), ("e.TXT", b"ok"), ("f.txt", b"x" * 50)], "path string, content binary")
     got = {r["path"]: r["reason"] for r in I.gate_files(files, max_bytes=40).collect()}
