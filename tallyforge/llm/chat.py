@@ -131,19 +131,29 @@ def read_back(segments: DataFrame) -> DataFrame:
 
 
 def events_of_turns(turns: DataFrame, delta_chars: int = 256) -> DataFrame:
-    """The log that a conversation table (conv_id, turn, role, text) stands for: each row is a message of its own, opened and then
-    streamed in deltas of ``delta_chars``.  Rows of equal conv_id and turn, repeated ones too, are messages in the order of role, text.
-    A row without conv_id or turn has no place in a conversation and is left out.  Null role or text: ''."""
-    t = turns.where("conv_id is not null and turn is not null").select(
+    """The log that a conversation table (conv_id, turn, role, text) stands for: each row is a message, streamed in deltas of ``delta_chars``.
+
+    By a hash of its conversation, place and text a message comes about in one of four ways, as in a log of real sessions: streamed at
+    once; streamed as a draft (its text backwards), then regenerated and streamed anew; streamed as a draft, then edited to the
+    text; or deleted after the draft and then streamed again.  All fold to the text.
+
+    Rows of equal conv_id and turn, repeated ones too, are messages in the order of role, text.  A row without a turn comes after those
+    that have one.  A row without conv_id belongs to no conversation and is left out.  Null role or text: ''.
+    """
+    t = turns.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     t = t.withColumn("mate", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    payload = f"substring(text, (i - 1) * {delta_chars} + 1, {delta_chars})"
-    steps = f"transform(sequence(0, cast(ceil(length(text) / {delta_chars}) as int)), i -> struct(i, if(i = 0, 'start', 'delta') as kind, if(i = 0, '', {payload}) as payload))"
-    return t.select("conv_id", "turn", "mate", "role", F.explode(F.expr(steps)).alias("e")).select(
+    t = t.withColumn("way", F.pmod(F.xxhash64("conv_id", "turn", "mate", "text"), F.lit(4)))
+    parts = lambda x: f"transform(sequence(0, cast((length({x}) - 1) div {delta_chars} as int)), i -> struct('delta' as kind, substring({x}, i * {delta_chars} + 1, {delta_chars}) as payload))"
+    one = lambda kind, payload="''": f"array(struct('{kind}' as kind, {payload} as payload))"
+    text, draft = parts("text"), parts("reverse(text)")
+    log = f"CASE way WHEN 0 THEN {text} WHEN 1 THEN concat({draft}, {one('regenerate')}, {text}) WHEN 2 THEN concat({draft}, {one('edit', 'text')}) ELSE concat({draft}, {one('delete')}, {one('regenerate')}, {text}) END"
+    steps = F.posexplode(F.expr(f"concat({one('start')}, {log})")).alias("i", "e")
+    return t.select("conv_id", "turn", "mate", "role", steps).select(
         "conv_id",
-        F.array("turn", F.col("mate").cast("long"), F.col("e.i").cast("long")).alias("seq"),
-        F.concat_ws(":", "turn", "mate").alias("message_id"),
+        F.array(F.col("turn").isNull().cast("long"), F.coalesce("turn", F.lit(0).cast("long")), F.col("mate").cast("long"), F.col("i").cast("long")).alias("seq"),
+        F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), "mate").alias("message_id"),
         F.col("e.kind").alias("kind"),
         F.when(F.col("e.kind") == "start", F.col("role")).alias("role"),
         F.col("e.payload").alias("payload"),

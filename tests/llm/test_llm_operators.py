@@ -220,6 +220,17 @@ def test_chat_folds_edits_and_regenerations(spark):
         chat.fold_events(log.withColumn("kind", F.lit("zap"))).collect()
 
 
+def test_the_log_of_a_table_folds_back_to_it_by_every_kind_of_event(spark):
+    turns = [(c, t, "assistant" if t % 2 else "user", f"{c} {t} é<|im_end|>\\ " * (t * 9)) for c in range(6) for t in range(8)]
+    turns += [(9, None, "user", "last"), (9, 1, None, None), (9, 1, None, None), (9, 0, "user", "first"), (None, 0, "user", "nowhere")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("clash"))
+    log = chat.events_of_turns(table, delta_chars=50)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate", "delete"}
+    got = [(r["conv_id"], r["role"], r["text"]) for r in chat.fold_events(log).orderBy("conv_id", "position").collect()]
+    assert got == [(c, r, x) for c, _, r, x in turns[:48]] + [(9, "user", "first"), (9, "", ""), (9, "", ""), (9, "user", "last")]
+    assert chat.events_of_turns(table.limit(0)).count() == 0
+
+
 def test_warc_round_trip_and_seek(spark):
     pages = spark.createDataFrame([(1, "http://a/%\n", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "v", "é" * 300_000), (None, "n", "n")], "page_id long, url string, html string")
     path = fresh_path(spark, "warc")
