@@ -23,10 +23,10 @@ def query(name: str, views: str, sql: str):
     return put
 
 
-_PARSED = """parsed AS (SELECT *, round_even(CAST(split_part(raw_value, ' ', 1) AS DOUBLE) * CASE split_part(raw_value, ' ', 2)
+PARSED = """parsed AS (SELECT *, round_even(CAST(split_part(raw_value, ' ', 1) AS DOUBLE) * CASE split_part(raw_value, ' ', 2)
     WHEN 'kW' THEN 1000.0 WHEN 'kV' THEN 1000.0 WHEN 'kHz' THEN 1000.0 WHEN 'g' THEN 0.001 ELSE 1.0 END, 6) AS num, lower(raw_value) AS text FROM claims),
 win AS (SELECT product_id, attribute_name, source_id AS winner, raw_value AS winning_value, trust AS win_trust, num AS win_num, text AS win_text FROM (SELECT *, row_number() OVER (PARTITION BY product_id, attribute_name ORDER BY trust DESC, source_id) AS rn FROM parsed) WHERE rn = 1)"""
-_RECONCILED = f"""{_PARSED},
+_RECONCILED = f"""{PARSED},
 declared AS (SELECT product_id, ['power', 'voltage', 'speed', 'weight', 'frequency', 'model'][j + 1] AS attribute_name, CASE WHEN j = 5 THEN model ELSE product_name END AS own_value, (40 + (product_id * 7 + j * 13) % 61) / 100.0 AS own
   FROM products, range(6) t(j)),
 agg AS (SELECT product_id, attribute_name, count(*) AS n_claims, count(DISTINCT source_id) AS n_sources, bool_and(abs(num - win_num) <= 1e-5) AS same, bool_and(text = win_text) AS same_text, min(winner) AS winner, min(winning_value) AS winning_value, min(win_trust) AS win_trust FROM parsed JOIN win USING (product_id, attribute_name) GROUP BY 1, 2),
@@ -69,7 +69,7 @@ def winning_claim(spark, d):
     return R.winning_claims(R.parse_claims(C.claims(spark, d))).select("product_id", "attribute_name", "source_id", "raw_value")
 
 
-@query("competing_claims", "claims", f"WITH {_PARSED} SELECT product_id, attribute_name, source_id, raw_value, trust, winning_value FROM parsed JOIN win USING (product_id, attribute_name) WHERE text <> win_text")
+@query("competing_claims", "claims", f"WITH {PARSED} SELECT product_id, attribute_name, source_id, raw_value, trust, winning_value FROM parsed JOIN win USING (product_id, attribute_name) WHERE text <> win_text")
 def competing_claims(spark, d):
     return R.competing_claims(C.claims(spark, d))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..operators import decisions as DC
 from ..operators import maintain as M
 from ..operators import match as K
 from ..operators import parts as PT
@@ -225,13 +226,51 @@ def replace_open_issues(spark, d):
     return M.replace_open_issues(C.issues(spark, d).select("validation_id", "product_id", "status"), fresh, C.products(spark, d).where("product_id % 2 = 0"))
 
 
-@query("apply_resolutions", "claims attributes issues", """WITH x AS (SELECT validation_id, status, validation_id % 5 = 0 AS wrong, CASE WHEN validation_id % 2 = 0 THEN 'custom' ELSE 'accept_source_a' END AS res, 'custom' AS last FROM issues WHERE validation_id % 3 <> 1),
-y AS (SELECT *, CASE WHEN wrong THEN 'wrong_product' WHEN status = 'resolved' THEN CASE WHEN last = res THEN 'already_resolved' ELSE 'conflict' END ELSE 'resolved' END AS outcome FROM x)
-SELECT validation_id, outcome, CASE WHEN outcome = 'resolved' THEN 'resolved' ELSE status END AS new_status FROM y""")
+_DECIDED = """x AS (SELECT validation_id, product_id, attribute_id, status, validation_id % 7 = 0 AS wrong, validation_id % 4 AS how, CASE WHEN validation_id % 3 = 0 THEN 'accept_source_a' END AS last,
+  CASE WHEN validation_id % 8 < 4 THEN message END AS claim, product_id AS claim_source, CASE WHEN validation_id % 8 >= 4 THEN severity END AS plain, validation_id % 11 = 0 AS odd FROM issues WHERE validation_id % 9 <> 1),
+y AS (SELECT *, CASE WHEN odd THEN 'undo' WHEN validation_id % 12 < 4 THEN 'accept_source_a' WHEN validation_id % 12 < 8 THEN 'accept_source_b' ELSE 'custom' END AS resolution, CASE WHEN validation_id % 5 = 0 THEN ' ' WHEN validation_id % 5 < 3 THEN ' v' || validation_id || ' ' END AS given FROM x),
+v AS (SELECT *, CASE resolution WHEN 'accept_source_a' THEN coalesce(claim, given) WHEN 'accept_source_b' THEN coalesce(claim || '!', plain, given) WHEN 'custom' THEN nullif(trim(given), '') END AS val,
+  CASE WHEN claim IS NOT NULL AND resolution = 'accept_source_a' THEN claim_source WHEN claim IS NOT NULL AND resolution = 'accept_source_b' THEN claim_source + 1 END AS src FROM y),
+o AS (SELECT *, CASE WHEN wrong THEN 'wrong_product' WHEN status = 'resolved' THEN CASE WHEN last = resolution THEN 'already_resolved' ELSE 'conflict' END WHEN resolution = 'undo' THEN 'unsupported' WHEN val IS NULL THEN 'no_value' ELSE 'resolved' END AS outcome FROM v),
+decided AS (SELECT validation_id, product_id, attribute_id, resolution, outcome, CASE WHEN outcome = 'resolved' THEN val END AS value, CASE WHEN outcome = 'resolved' THEN src END AS source_id FROM o)"""
+
+
+def _reviewed(spark, d):
+    """Issues with claims or plain values to choose from, and what decisions on most of them lead to."""
+    i = C.issues(spark, d)
+    claim = lambda value, source: F.when(F.col("validation_id") % 8 < 4, F.struct(F.expr(value).alias("raw_value"), F.expr(source).alias("source_id")))
+    issues = i.select(
+        "validation_id", "product_id", "attribute_id", "status", F.expr("if(validation_id % 3 = 0, 'accept_source_a', null)").alias("last_resolution"), claim("message", "product_id").alias("expected_claim"),
+        F.when(F.col("validation_id") % 8 < 4, F.array(F.struct(F.expr("concat(message, '!')").alias("raw_value"), F.expr("product_id + 1").alias("source_id")))).alias("actual_claims"),
+        F.when(F.col("validation_id") % 8 >= 4, F.col("severity")).alias("expected_value"), F.lit(None).cast("string").alias("actual_value"),
+    )
+    decisions = i.where("validation_id % 9 <> 1").selectExpr(
+        "validation_id", "if(validation_id % 7 = 0, product_id + 1, product_id) AS product_id",
+        "CASE WHEN validation_id % 11 = 0 THEN 'undo' WHEN validation_id % 12 < 4 THEN 'accept_source_a' WHEN validation_id % 12 < 8 THEN 'accept_source_b' ELSE 'custom' END AS resolution",
+        "CASE WHEN validation_id % 5 = 0 THEN ' ' WHEN validation_id % 5 < 3 THEN concat(' v', validation_id, ' ') END AS resolved_value", "cast(null AS string) AS notes", "created_at AS decided_at",
+    )
+    return issues, DC.resolve_issues(issues, decisions)
+
+
+@query("apply_resolutions", "claims attributes issues", f"WITH {_DECIDED} SELECT validation_id, outcome, value, source_id FROM decided")
 def apply_resolutions(spark, d):
-    i = C.issues(spark, d).withColumn("last_resolution", F.lit("custom"))
-    decisions = i.where("validation_id % 3 <> 1").selectExpr("validation_id", "if(validation_id % 5 = 0, product_id + 1, product_id) AS product_id", "if(validation_id % 2 = 0, 'custom', 'accept_source_a') AS resolution")
-    return M.decide(i, decisions)
+    return _reviewed(spark, d)[1].select("validation_id", "outcome", "value", "source_id")
+
+
+@query("resolved_issues", "claims attributes issues", f"WITH {_DECIDED} SELECT i.validation_id, CASE WHEN outcome = 'resolved' THEN 'resolved' ELSE i.status END AS status, CASE WHEN outcome = 'resolved' THEN resolution WHEN i.validation_id % 3 = 0 THEN 'accept_source_a' END AS last_resolution FROM issues i LEFT JOIN decided USING (validation_id)")
+def resolved_issues(spark, d):
+    return DC.decided_issues(*_reviewed(spark, d)).select("validation_id", "status", "last_resolution")
+
+
+@query("resolved_attributes", "claims attributes issues", f"WITH {_DECIDED} SELECT a.attribute_id, coalesce(value, raw_value) AS raw_value, CASE WHEN outcome = 'resolved' THEN 'verified' ELSE status END AS status FROM attributes a LEFT JOIN decided x ON x.attribute_id = a.attribute_id")
+def resolved_attributes(spark, d):
+    return DC.decided_attributes(C.attributes(spark, d), _reviewed(spark, d)[1]).select("attribute_id", "raw_value", "status")
+
+
+@query("resolution_audit", "claims attributes issues", f"WITH {_DECIDED} SELECT 'validation_result' AS entity_type, validation_id AS entity_id, 'human_resolution' AS action, resolution, value AS resolved_value FROM decided WHERE outcome = 'resolved'")
+def resolution_audit(spark, d):
+    x = DC.resolution_audit(_reviewed(spark, d)[1])
+    return x.select("entity_type", "entity_id", "action", F.get_json_object("details", "$.resolution").alias("resolution"), F.get_json_object("details", "$.resolved_value").alias("resolved_value"))
 
 
 @query("delete_cascade", "products claims attributes", "SELECT attribute_id FROM attributes WHERE product_id NOT IN (SELECT product_id FROM products WHERE status = 'draft')")

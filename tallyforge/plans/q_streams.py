@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import reconcile as R
 from ..sources import ingest as I
 from ..streaming import streams as S
 from . import catalog as C
+from .q_catalog import PARSED
 
 Q: dict = {}
 
@@ -76,16 +78,17 @@ def stream_dedupe(spark, d):
 
 def stream_latest_status(spark, d):
     path = _folder(spark)
+    S.upsert_batches(_steps(spark, d), f"{path}/table", lambda batch, _: S.latest_status(batch), f"{path}/state").awaitTermination()
+    return S.newest(spark, f"{path}/table", ["job_id"], "created_at", "step_id").select("job_id", "step_id", "stage")
 
-    def merge(batch, before):
-        cols = ["job_id", "stage", "created_at", "step_id"]
-        rows = batch.select(*cols) if before is None else batch.select(*cols).unionByName(before.select(*cols))
-        return S.latest_status(rows)
 
-    query = S.upsert_batches(_steps(spark, d), f"{path}/table", merge, f"{path}/state")
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{path}/table/v{last}").select("job_id", "step_id", "stage")
+def stream_reconcile(spark, d):
+    """All claims in some four batches, reconciled as they come; in the end as if all had been there at once."""
+    path, claims = _folder(spark), C.claims(spark, d)
+    claims.repartition(4, "source_id").write.parquet(f"{path}/new")
+    stream = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/new")
+    S.reconcile_stream(stream, path, f"{path}/state").awaitTermination()
+    return S.newest(spark, f"{path}/reconciled", R.KEY).select(*R.KEY, "n_claims", "winner", "status", "confidence")
 
 
 #: Which of two uploads within a day comes first in a batch isn't fixed, so there is no SQL.
@@ -98,3 +101,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts) AS k FROM e)
 SELECT job_id, min(ts) AS active_from, max(ts) + INTERVAL 2 MINUTE AS stale_at, count(*) AS steps FROM s GROUP BY job_id, k HAVING max(ts) + INTERVAL 2 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 Q["scan_part_list_csv"] = (scan_part_list_csv, "SELECT 'P' || p_partkey AS num, trim(p_name) AS name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS brand FROM part WHERE p_partkey % 9 <> 0")
 Q["snapshot_write"] = (snapshot_write, C.with_views("products", "SELECT product_id, quality_score, status FROM products WHERE status <> 'draft' OR product_id % 2 = 0"))
+Q["stream_reconcile"] = (stream_reconcile, C.with_views("claims", f"""WITH {PARSED},
+one AS (SELECT product_id, attribute_name, count(*) AS n_claims, min(winner) AS winner, min(win_trust) AS t, bool_and(abs(num - win_num) <= 1e-5) AS same, bool_and(text = win_text) AS same_text FROM parsed JOIN win USING (product_id, attribute_name) GROUP BY 1, 2)
+SELECT product_id, attribute_name, n_claims, winner, CASE WHEN n_claims = 1 THEN 'MISSING' WHEN same AND same_text THEN 'AGREEMENT' WHEN same THEN 'EQUIVALENT' ELSE 'CONFLICTING' END AS status,
+  round_even(CASE WHEN n_claims = 1 THEN t WHEN same THEN least(1.0::DOUBLE, t + 0.05 * (n_claims - 1)) ELSE greatest(0.2::DOUBLE, t - 0.25) END, 4) AS confidence FROM one"""))

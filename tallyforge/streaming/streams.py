@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import reconcile as R
+
 
 def dedupe_uploads(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
     """Uploads (ts, content) with ``content_hash``, each content once within ``delay``; state older than that is dropped."""
@@ -33,13 +35,36 @@ def latest_status(steps: DataFrame) -> DataFrame:
     return steps.groupBy("job_id").agg(F.max_by(F.struct("stage", "created_at", "step_id"), F.struct("created_at", "step_id")).alias("x")).select("job_id", "x.*")
 
 
-def upsert_batches(stream: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame], checkpoint: str, **trigger):
-    """Write merge(batch, table so far) as a new version for each batch.  A version is named by its batch, so that a batch that is
-    replayed after a failure reads the same predecessor and writes the same folder again."""
+def upsert_batches(stream: DataFrame, path: str, change: Callable[[DataFrame, int], DataFrame], checkpoint: str, **trigger):
+    """Write the rows that a batch changes, change(batch, batch id), to a folder of the batch's own under ``path``; ``newest`` reads the table.
+
+    A batch writes its own rows only, however large the table is, and one that is replayed after a failure writes the same folder again."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v{batch_id - 1}") if batch_id else None
-        merge(batch, before).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        change(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def newest(spark: SparkSession, path: str, keys: list[str], *order: str) -> DataFrame:
+    """The table that ``upsert_batches`` keeps: of each key the row that is last by ``order``, or else that of the last batch."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(order or ("batch",)))).alias("x")).select(*keys, "x.*")
+
+
+def reconcile_stream(stream: DataFrame, path: str, checkpoint: str, **trigger):
+    """Reconcile the attributes (product_id, attribute_name) that new claims touch, batch by batch, with all their claims so far.
+
+    Claims of the stream have one row for each (product, attribute, source).  They are kept under ``path``/claims by batch, and the
+    results under ``path``/reconciled for ``newest``.  A replayed batch reads the claims of batches before it and writes its folders again.
+    """
+
+    def change(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark, store = batch.sparkSession, f"{path}/claims"
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        seen = spark.read.schema(batch.schema.add("batch", "long")).parquet(store).where(F.col("batch") <= batch_id)
+        touched = seen.where(F.col("batch") == batch_id).select(*R.KEY).distinct()
+        return R.reconcile(seen.drop("batch").join(touched, R.KEY, "left_semi"))
+
+    return upsert_batches(stream, f"{path}/reconciled", change, checkpoint, **trigger)
