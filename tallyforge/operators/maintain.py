@@ -49,6 +49,21 @@ def replace_open_issues(existing: DataFrame, fresh: DataFrame, batch: DataFrame)
     return stay.unionByName(fresh.select(*existing.columns))
 
 
+def named_products(rows: DataFrame) -> DataFrame:
+    """``rows`` with a brand and a category for those that have none: UNKNOWN and Uncategorized."""
+    or_else = lambda c, name: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", name).otherwise(F.col(c))
+    return rows.withColumns({"brand": or_else("brand", "UNKNOWN"), "category": or_else("category", "Uncategorized")})
+
+
+def delete_products(gone: DataFrame, attributes: DataFrame, by_product: dict[str, DataFrame], by_attribute: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left of the attributes, of the tables with a product_id and of those with an attribute_id once the products of ``gone`` are."""
+    ids = gone.select("product_id").distinct()
+    lost = attributes.join(ids, "product_id", "left_semi").select("attribute_id").distinct()
+    left = {"attributes": attributes.join(ids, "product_id", "left_anti")}
+    left |= {name: t.join(ids, "product_id", "left_anti") for name, t in by_product.items()}
+    return left | {name: t.join(lost, "attribute_id", "left_anti") for name, t in by_attribute.items()}
+
+
 def decide(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     """(validation_id, outcome, new_status) of decisions (validation_id, product_id, resolution) on issues with their last one."""
     d = decisions.select("validation_id", F.col("product_id").alias("d_product"), "resolution")

@@ -70,6 +70,21 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, max_query_b
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def semantic_candidates(hits: DataFrame, incoming: DataFrame, catalog: DataFrame, threshold: float = 0.70, k: int = 5) -> DataFrame:
+    """(incoming_id, product_id, score, rank, confidence): candidates for review among the ``k`` nearest products of each incoming row.
+
+    ``hits`` (query_id, vec_id, score, rank) are those of ``vector_topk``.  Those under ``threshold`` go, and those of the same brand with
+    another part number, both there.  The confidence is the best hit's score at the threshold or over it, even if that hit went.
+    """
+    near = hits.where((F.col("rank") <= k) & (F.col("score") >= threshold))
+    best = near.groupBy("query_id").agg(F.max("score").alias("confidence"))
+    i = _keyed(incoming, "incoming_id", "i_").select("i_id", "i_sku", "i_brand")
+    c = _keyed(catalog, "product_id", "c_").select("c_id", "c_sku", "c_brand")
+    both = near.join(i, F.col("query_id") == F.col("i_id")).join(c, F.col("vec_id") == F.col("c_id"))
+    other = F.coalesce((F.col("i_brand") == F.col("c_brand")) & (F.col("i_sku") != F.col("c_sku")), F.lit(False))
+    return both.where(~other).join(best, "query_id").select(F.col("query_id").alias("incoming_id"), F.col("vec_id").alias("product_id"), "score", "rank", "confidence")
+
+
 def match_manufacturers(rows: DataFrame, raw: str) -> DataFrame:
     """``rows`` with name, brand, code and confidence of the manufacturer, found once for each distinct raw name."""
     names = rows.select(F.col(raw).alias("_raw")).distinct()

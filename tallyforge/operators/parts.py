@@ -36,6 +36,18 @@ def accuracy(diff: DataFrame, *by: str) -> DataFrame:
     return diff.groupBy(*by).agg(F.count("*").alias("evaluated"), rate(exact).alias("exact_rate"), rate(folded).alias("folded_rate"))
 
 
+STATUSES = ["exact_match", "case_insensitive_match", "blank_match", "value_mismatch", "missing", "extra"]
+
+
+def accuracy_by_column(diff: DataFrame, n_worst: int = 15) -> DataFrame:
+    """Rates and counts by status of each column; ``worst`` for the ``n_worst`` of the lowest rate (then of the most mismatches and missing
+    values, then by name), ``best`` where all match.  A row a column, so the ranking is small."""
+    counts = diff.groupBy("column_name").agg(*[F.count_if(F.col("match_status") == s.upper()).alias(s) for s in STATUSES])
+    out = accuracy(diff, "column_name").join(counts, "column_name")
+    worst = out.orderBy("folded_rate", F.col("value_mismatch") + F.col("missing"), "column_name").limit(n_worst).select("column_name", F.lit(True).alias("worst"))
+    return out.join(worst, "column_name", "left").withColumns({"worst": F.coalesce("worst", F.lit(False)), "best": F.col("folded_rate") == 100})
+
+
 def invoice_violations(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("too_long", F.length(column) > 40).withColumn("not_upper", F.col(column) != F.upper(column))
 

@@ -146,9 +146,13 @@ def accuracy_overall(spark, d):
     return PT.accuracy(_diff(spark, d))
 
 
-@query("accuracy_by_column", "", f"WITH {_DIFF} SELECT column_name, {_RATES} FROM diff GROUP BY 1")
+_STATUSES = ", ".join(f"count(*) FILTER (match_status = '{s.upper()}') AS {s}" for s in PT.STATUSES)
+
+
+@query("accuracy_by_column", "", f"""WITH {_DIFF}, r AS (SELECT column_name, {_RATES}, {_STATUSES} FROM diff GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY folded_rate, value_mismatch + missing, column_name) <= 2 AS worst, folded_rate = 100 AS best FROM r""")
 def accuracy_by_column(spark, d):
-    return PT.accuracy(_diff(spark, d), "column_name")
+    return PT.accuracy_by_column(_diff(spark, d), n_worst=2)
 
 
 @query("accuracy_rollup", "", f"WITH {_DIFF} SELECT part % 10 AS bucket, column_name, count(*) AS evaluated, count(*) FILTER (match_status = 'EXACT_MATCH') AS exact_matches, grouping(part % 10) * 2 + grouping(column_name) AS level FROM diff GROUP BY ROLLUP (part % 10, column_name)")
@@ -195,12 +199,14 @@ def upsert_attributes(spark, d):
     return M.upsert(a.where("attribute_id % 2 = 0").withColumn("raw_value", F.lit("old")), a.where("attribute_id % 3 = 0"), ["attribute_id"], keep=("product_id",))
 
 
-@query("upsert_products", "products", """SELECT coalesce(o.product_id, n.product_id) AS product_id, CASE WHEN n.product_id IS NOT NULL THEN coalesce(n.note, o.note) ELSE o.note END AS note
-FROM (SELECT product_id, 'o' || product_id AS note FROM products WHERE product_id % 2 = 0) o FULL OUTER JOIN (SELECT product_id, CASE WHEN product_id % 5 = 0 THEN NULL ELSE 'n' END AS note FROM products WHERE product_id % 3 = 0) n USING (product_id)""")
+@query("upsert_products", "products", """WITH o AS (SELECT sku, brand, category, 'o' || product_id AS note FROM products WHERE product_id % 2 = 0),
+n AS (SELECT CASE WHEN product_id % 7 = 0 THEN sku || 'N' ELSE sku END AS sku, CASE WHEN product_id % 4 = 1 THEN 'UNKNOWN' ELSE brand END AS brand, CASE WHEN product_id % 9 = 0 THEN 'Uncategorized' ELSE category END AS category, CASE WHEN product_id % 5 = 0 THEN NULL ELSE 'n' END AS note FROM products WHERE product_id % 3 = 0)
+SELECT sku, brand, coalesce(n.category, o.category) AS category, coalesce(n.note, o.note) AS note FROM o FULL OUTER JOIN n USING (sku, brand)""")
 def upsert_products(spark, d):
-    p = C.products(spark, d).select("product_id")
-    old = p.where("product_id % 2 = 0").withColumn("note", F.concat(F.lit("o"), "product_id"))
-    return M.upsert(old, p.where("product_id % 3 = 0").withColumn("note", F.when(F.col("product_id") % 5 != 0, "n")), ["product_id"], if_null=("note",))
+    p = C.products(spark, d)
+    old = p.where("product_id % 2 = 0").select("sku", "brand", "category", F.concat(F.lit("o"), "product_id").alias("note"))
+    new = p.where("product_id % 3 = 0").selectExpr("if(product_id % 7 = 0, concat(sku, 'N'), sku) AS sku", "if(product_id % 4 = 1, if(product_id % 8 = 1, ' ', null), brand) AS brand", "if(product_id % 9 = 0, null, category) AS category", "if(product_id % 5 = 0, null, 'n') AS note")
+    return M.upsert(old, M.named_products(new), ["sku", "brand"], if_null=("note",))
 
 
 @query("audit_rows", "products", """WITH o AS (SELECT product_id, status FROM products WHERE product_id % 5 <> 0), n AS (SELECT product_id, CASE WHEN product_id % 4 = 0 THEN 'verified' ELSE status END AS status FROM products WHERE product_id % 7 <> 0)
@@ -273,9 +279,22 @@ def resolution_audit(spark, d):
     return x.select("entity_type", "entity_id", "action", F.get_json_object("details", "$.resolution").alias("resolution"), F.get_json_object("details", "$.resolved_value").alias("resolved_value"))
 
 
-@query("delete_cascade", "products claims attributes", "SELECT attribute_id FROM attributes WHERE product_id NOT IN (SELECT product_id FROM products WHERE status = 'draft')")
+_KEPT = "NOT IN (SELECT product_id FROM products WHERE status = 'draft')"
+
+
+@query("delete_cascade", "products claims attributes issues", f"""SELECT 'attributes' AS table_name, attribute_id AS id, count(*) AS n FROM attributes WHERE product_id {_KEPT} GROUP BY 2
+UNION ALL SELECT 'issues', validation_id, count(*) FROM issues WHERE product_id {_KEPT} GROUP BY 2
+UNION ALL SELECT 'versions', l_partkey, count(*) FROM lineitem WHERE l_partkey {_KEPT} GROUP BY 2
+UNION ALL SELECT 'evidence', a.attribute_id, count(*) FROM attributes a JOIN claims c ON a.product_id = c.product_id AND a.attribute_name = c.attribute_name WHERE a.product_id {_KEPT} GROUP BY 2""")
 def delete_cascade(spark, d):
-    return C.attributes(spark, d).join(C.products(spark, d).where("status = 'draft'").select("product_id"), "product_id", "left_anti").select("attribute_id")
+    """Drafts go with their attributes, issues and versions, and with the evidence of those attributes."""
+    a = C.attributes(spark, d)
+    evidence = C.claims(spark, d).join(a.select("attribute_id", "product_id", "attribute_name"), ["product_id", "attribute_name"]).select("attribute_id", "source_id")
+    versions = C.table(spark, d, "lineitem").select(F.col("l_partkey").alias("product_id"), "l_shipdate")
+    left = M.delete_products(C.products(spark, d).where("status = 'draft'"), a, {"issues": C.issues(spark, d), "versions": versions}, {"evidence": evidence})
+    key = {"attributes": "attribute_id", "issues": "validation_id", "versions": "product_id", "evidence": "attribute_id"}
+    counted = [left[t].groupBy(F.lit(t).alias("table_name"), F.col(k).alias("id")).agg(F.count("*").alias("n")) for t, k in key.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
 
 
 @query("result_cache_filter", "", """SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 = 0)""")

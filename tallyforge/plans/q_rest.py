@@ -209,19 +209,16 @@ def competing_view(spark, d):
     return i.select("validation_id", F.explode(F.filter(F.array(pair("message", 0.95), pair("actual", 0.70)), lambda x: x.isNotNull())).alias("c")).select("validation_id", "c.*")
 
 
-@query("semantic_candidates", "", """WITH q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
-s AS (SELECT query_id, vec_id, ql, label, round_even(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 6) AS score FROM embeddings, q WHERE vec_id <> query_id),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, score FROM t WHERE rank <= 5 AND score >= 0.1 AND ql = label""")
+@query("semantic_candidates", "products", """WITH q AS (SELECT vec_id AS product_id, embedding AS qe, brand, CASE WHEN vec_id % 100 = 0 THEN sku ELSE sku || 'X' END AS sku FROM embeddings JOIN products ON product_id = vec_id WHERE vec_id % 50 = 0),
+s AS (SELECT q.product_id + 1000000 AS incoming_id, q.brand AS ib, q.sku AS isku, e.vec_id, round_even(list_cosine_similarity(e.embedding::DOUBLE[], qe::DOUBLE[]), 6) AS score FROM embeddings e, q),
+t AS (SELECT *, row_number() OVER (PARTITION BY incoming_id ORDER BY score DESC, vec_id) AS rank FROM s), n AS (SELECT *, max(score) OVER (PARTITION BY incoming_id) AS confidence FROM t WHERE rank <= 5 AND score >= 0.7)
+SELECT incoming_id, p.product_id, score, rank, confidence FROM n JOIN products p ON p.product_id = n.vec_id WHERE NOT (lower(trim(ib)) = lower(trim(p.brand)) AND lower(regexp_replace(isku, '[^a-zA-Z0-9]', '', 'g')) <> lower(regexp_replace(p.sku, '[^a-zA-Z0-9]', '', 'g')))""")
 def semantic_candidates(spark, d):
-    v = C.table(spark, d, "embeddings")
-    q = _queries_of(v).withColumn("label", F.lit(None).cast("int"))
-    top = K.vector_topk(v, q, k=6).where("query_id <> vec_id")
-    from pyspark.sql import Window
-
-    top = top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 5 and score >= 0.1")
-    label = v.select("vec_id", "label")
-    return top.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").where("label = ql").select("query_id", "vec_id", "score")
+    """Products that come in again with the vectors of those that the catalog has, half of them under another part number."""
+    v, p = C.table(spark, d, "embeddings"), C.products(spark, d)
+    incoming = p.where("product_id % 50 = 0").selectExpr("product_id + 1000000 AS incoming_id", "if(product_id % 100 = 0, sku, concat(sku, 'X')) AS sku", "brand", "model", "product_name")
+    q = v.join(p.select(F.col("product_id").alias("vec_id")), "vec_id").where("vec_id % 50 = 0").select((F.col("vec_id") + 1000000).alias("query_id"), "embedding", F.lit(None).cast("int").alias("label"))
+    return K.semantic_candidates(K.vector_topk(v, q, k=5), incoming, p).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("search_results", "products", """WITH q AS (SELECT vec_id AS query_id, embedding AS qe, CASE WHEN vec_id % 100 = 0 THEN label END AS ql FROM embeddings WHERE vec_id % 50 = 0),
@@ -290,12 +287,14 @@ def approve_records(spark, d):
     return p.join(approved, "product_id", "left").select("product_id", F.when(F.col("ok"), "verified").otherwise(F.col("status")).alias("status"))
 
 
-@query("upsert_evidence", "claims attributes", "SELECT attribute_id, CASE WHEN attribute_id % 2 = 0 THEN source_id ELSE -1 END AS source_id, 'new' AS text FROM attributes")
+@query("upsert_evidence", "claims attributes", """WITH o AS (SELECT attribute_id, source_id % 3 AS document_id, CASE WHEN attribute_id % 2 = 0 THEN source_id ELSE -1 END AS source_id, 'old' AS text FROM attributes),
+n AS (SELECT attribute_id, 1 AS document_id, CASE WHEN attribute_id % 5 = 0 THEN 7 END AS source_id, 'new' AS text FROM attributes WHERE attribute_id % 4 <> 0)
+SELECT attribute_id, document_id, coalesce(n.source_id, o.source_id) AS source_id, coalesce(n.text, o.text) AS text FROM o FULL OUTER JOIN n USING (attribute_id, document_id)""")
 def upsert_evidence(spark, d):
     a = C.attributes(spark, d)
-    old = a.select("attribute_id", F.when(F.col("attribute_id") % 2 == 0, F.col("source_id")).otherwise(-1).alias("source_id"), F.lit("old").alias("text"))
-    new = a.select("attribute_id", F.lit(None).cast("long").alias("source_id"), F.lit("new").alias("text"))
-    return M.upsert(old, new, ["attribute_id"], if_null=("source_id",))
+    old = a.selectExpr("attribute_id", "source_id % 3 AS document_id", "if(attribute_id % 2 = 0, source_id, -1) AS source_id", "'old' AS text")
+    new = a.where("attribute_id % 4 <> 0").selectExpr("attribute_id", "1L AS document_id", "if(attribute_id % 5 = 0, 7L, null) AS source_id", "'new' AS text")
+    return M.upsert(old, new, ["attribute_id", "document_id"], if_null=("source_id",))
 
 
 @query("accuracy_align", "", "SELECT p_partkey AS part, p_name AS expected, upper(p_name) AS actual FROM part WHERE p_partkey % 11 <> 0")
