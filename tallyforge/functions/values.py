@@ -174,6 +174,12 @@ def infer_type(raw: Column) -> Column:
     return F.when(boolean, "boolean").when(numeric, "numeric").otherwise("text")
 
 
+def infer_unit(raw: Column) -> Column:
+    """The unit of a number with one; null for ranges, bare numbers and anything else."""
+    unit = F.regexp_extract(F.trim(raw), r"^[+-]?\d+(?:[.,]\d+)?\s*([a-zA-Z°%/³]+)$", 1)
+    return F.when(unit != "", unit)
+
+
 def normalize_identifier(x: Column) -> Column:
     """'MX-500' and 'mx 500' are one key; blank is null."""
     key = F.lower(F.regexp_replace(x, "[^a-zA-Z0-9]", ""))

@@ -82,6 +82,26 @@ def retry_failed(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("attempt", F.when(failed, F.col("attempt") + 1).otherwise(F.col("attempt"))).withColumn("failed_items", F.when(failed, 0).otherwise(F.col("failed_items"))).withColumn("status", F.when(failed, "queued").otherwise(F.col("status")))
 
 
+def rejected_retries(jobs: DataFrame) -> DataFrame:
+    """Jobs that can't be tried again, as they haven't failed."""
+    return jobs.where(~F.coalesce(F.col("status") == "failed", F.lit(False)))
+
+
+def approve(products: DataFrame, approved: DataFrame) -> DataFrame:
+    """``products`` with the status verified for those of ``approved`` (product_id)."""
+    ok = approved.select("product_id").distinct().withColumn("_ok", F.lit(True))
+    rows = products.join(ok, "product_id", "left").withColumn("status", F.when(F.col("_ok"), "verified").otherwise(F.col("status")))
+    return rows.select(*products.columns)
+
+
+def reindex(index: DataFrame, rows: DataFrame, key: str, digest: str, gone: DataFrame | None = None) -> DataFrame:
+    """``index`` with the new and changed ones of ``rows`` put in by ``key``, and without those of ``gone``; rows of an equal ``digest`` stay."""
+    held = index.select(key, F.col(digest).alias("_held"))
+    changed = rows.join(held, key, "left").where(~F.col("_held").eqNullSafe(F.col(digest))).select(*index.columns)
+    out = upsert(index, changed, [key])
+    return out if gone is None else out.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def without_cached(inputs: DataFrame, results: DataFrame, now) -> DataFrame:
     """Inputs whose cache key has no valid, unexpired result."""
     good = results.where((F.col("status") == "valid") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))

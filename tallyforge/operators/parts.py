@@ -65,3 +65,16 @@ def spread(rows: DataFrame, column: str, prefix: str, n: int) -> DataFrame:
     """The first ``n`` elements of a list as columns, '' where there is none."""
     rest = [c for c in rows.columns if c != column]
     return rows.select(*rest, *[F.coalesce(F.get(column, F.lit(i)), F.lit("")).alias(f"{prefix}_{i + 1}") for i in range(n)])
+
+
+def deliver(rows: DataFrame, columns: list[str], lists: dict[str, tuple[int, list[str]]]) -> DataFrame:
+    """``rows`` as a delivery: ``columns`` as text, then each list of ``lists`` (how many elements, and which of their fields, none for plain
+    ones) spread to columns like features_1 or attributes_1_name.  Whatever is missing is ''; elements beyond those asked for are left out,
+    as a delivery has a fixed header."""
+    text = lambda c, name: F.coalesce(c.cast("string"), F.lit("")).alias(name)
+    out = [text(F.col(c), c) for c in columns]
+    for name, (n, fields) in lists.items():
+        for i in range(n):
+            at = F.get(name, F.lit(i))
+            out += [text(at[f], f"{name}_{i + 1}_{f}") for f in fields] or [text(at, f"{name}_{i + 1}")]
+    return rows.select(*out)

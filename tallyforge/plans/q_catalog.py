@@ -196,13 +196,6 @@ def health_sorted(spark, d):
     return C.products(spark, d).groupBy("brand").agg(F.bround(F.avg("quality_score"), 1).alias("avg_quality")).orderBy(F.desc("avg_quality"), "brand")
 
 
-@query("overview_kpis", "products jobs", """SELECT (SELECT count(*) FROM products) AS products, (SELECT count(*) FROM jobs WHERE status IN ('queued', 'processing')) AS active_jobs, (SELECT round_even(avg(quality_score), 1) FROM products) AS avg_quality,
-  (SELECT count(*) FROM products WHERE status = 'needs_review') AS backlog""")
-def overview_kpis(spark, d):
-    p = C.products(spark, d).agg(F.count("*").alias("products"), F.bround(F.avg("quality_score"), 1).alias("avg_quality"), F.count_if(F.col("status") == "needs_review").alias("backlog"))
-    return p.crossJoin(C.jobs(spark, d).agg(F.count_if(F.col("status").isin("queued", "processing")).alias("active_jobs")))  # one row each
-
-
 @query("review_counts", "claims attributes issues products", """WITH c AS (SELECT CASE WHEN validation_type = 'cross_source_conflict' THEN 'conflict' WHEN validation_type = 'missing_required_attribute' THEN 'missing' WHEN validation_type = 'low_confidence' THEN 'low_confidence' ELSE 'validation_issue' END AS issue_class FROM issues WHERE status = 'open')
 SELECT issue_class, count(*) AS n FROM c GROUP BY 1""")
 def review_counts(spark, d):
@@ -229,11 +222,6 @@ def recent_products(spark, d):
     return C.products(spark, d).orderBy(F.desc("updated_at"), "product_id").limit(10).select("product_id", "sku", "updated_at")
 
 
-@query("product_list", "products", "SELECT product_id, brand, quality_score FROM products WHERE status = 'verified' AND quality_score BETWEEN 20 AND 80 ORDER BY updated_at DESC, created_at DESC, product_id LIMIT 100 OFFSET 20")
-def product_list(spark, d):
-    return C.products(spark, d).where("status = 'verified' and quality_score between 20 and 80").orderBy(F.desc("updated_at"), F.desc("created_at"), "product_id").offset(20).limit(100).select("product_id", "brand", "quality_score")
-
-
 @query("review_queue", "products claims attributes issues", """SELECT validation_id, i.product_id, severity, CASE WHEN validation_type = 'cross_source_conflict' OR a.status = 'conflicting' THEN 'conflict' WHEN validation_type = 'missing_required_attribute' THEN 'missing' WHEN validation_type = 'low_confidence' OR confidence < 0.75 OR a.status = 'needs_review' THEN 'low_confidence' ELSE 'validation_issue' END AS issue_class, attribute_name, i.created_at
 FROM issues i JOIN products USING (product_id) LEFT JOIN attributes a USING (attribute_id) WHERE i.status = 'open' AND (contains(lower(product_name), 'red') OR contains(lower(sku), 'red') OR contains(lower(brand), 'red') OR contains(lower(attribute_name), 'red') OR contains(lower(message), 'red'))
 ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC, validation_id LIMIT 20 OFFSET 20""")
@@ -247,23 +235,6 @@ def issue_context(spark, d):
     return C.issues(spark, d).join(C.products(spark, d).select("product_id", "sku"), "product_id").join(a, "attribute_id", "left").join(C.sources(spark, d), "source_id", "left").select("validation_id", "sku", "attribute_name", "raw_value", "source_name")
 
 
-@query("sources_for_product", "sources claims", "SELECT DISTINCT product_id, source_id, source_name, s.trust FROM claims JOIN sources s USING (source_id)")
-def sources_for_product(spark, d):
-    return C.claims(spark, d).select("product_id", "source_id").distinct().join(C.sources(spark, d), "source_id").select("product_id", "source_id", "source_name", "trust")
-
-
-@query("product_detail", "products claims attributes", "SELECT p.product_id, p.sku, count(a.attribute_id) AS n_attributes, string_agg(attribute_name || '=' || raw_value, ';' ORDER BY attribute_name) AS attributes FROM products p LEFT JOIN attributes a USING (product_id) GROUP BY 1, 2")
-def product_detail(spark, d):
-    a = C.attributes(spark, d).groupBy("product_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.concat_ws("=", "attribute_name", "raw_value"))).alias("l"))
-    return C.products(spark, d).join(a, "product_id", "left").select("product_id", "sku", F.coalesce("n", F.lit(0)).alias("n_attributes"), F.array_join("l", ";").alias("attributes"))
-
-
-@query("job_progress", "jobs steps", "SELECT j.job_id, j.status, count(s.step_id) AS steps, count(s.step_id) FILTER (stage = 'error') AS errors FROM jobs j LEFT JOIN steps s USING (job_id) GROUP BY 1, 2")
-def job_progress(spark, d):
-    s = C.steps(spark, d).groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("stage") == "error").alias("e"))
-    return C.jobs(spark, d).join(s, "job_id", "left").select("job_id", "status", F.coalesce("n", F.lit(0)).alias("steps"), F.coalesce("e", F.lit(0)).alias("errors"))
-
-
 @query("latest_step_per_job", "steps", "SELECT job_id, arg_max(step_id, struct_pack(a := created_at, b := step_id)) AS step_id, arg_max(stage, struct_pack(a := created_at, b := step_id)) AS stage FROM steps GROUP BY 1")
 def latest_step_per_job(spark, d):
     return M.latest(C.steps(spark, d).select("job_id", "step_id", "stage", "created_at"), ["job_id"], "created_at", "step_id").select("job_id", "step_id", "stage")

@@ -55,11 +55,11 @@ def duplicate_groups(spark, d):
     return K.duplicate_groups(C.products(spark, d))
 
 
-@query("duplicate_pairs", "", """WITH p AS (SELECT least(l_partkey, l_suppkey) AS product_id, greatest(l_partkey, l_suppkey) AS candidate_id, l_discount AS score, l_returnflag AS method, l_shipdate, l_discount, l_returnflag FROM lineitem WHERE l_partkey <> l_suppkey)
-SELECT product_id, candidate_id, count(*) AS seen, max(score) AS score FROM p GROUP BY 1, 2""")
+@query("duplicate_pairs", "", """WITH p AS (SELECT least(l_partkey, l_suppkey) AS product_id, greatest(l_partkey, l_suppkey) AS candidate_id, l_discount AS score, l_shipdate FROM lineitem WHERE l_partkey <> l_suppkey),
+n AS (SELECT *, row_number() OVER (PARTITION BY product_id, candidate_id ORDER BY l_shipdate DESC, score DESC) AS rn FROM p) SELECT product_id, candidate_id, score, CASE WHEN score > 0.05 THEN 'vector' ELSE 'rule' END AS method FROM n WHERE rn = 1""")
 def duplicate_pairs(spark, d):
-    p = C.table(spark, d, "lineitem").where("l_partkey <> l_suppkey").select(F.least("l_partkey", "l_suppkey").alias("product_id"), F.greatest("l_partkey", "l_suppkey").alias("candidate_id"), "l_discount")
-    return p.groupBy("product_id", "candidate_id").agg(F.count("*").alias("seen"), F.max("l_discount").alias("score"))
+    p = C.table(spark, d, "lineitem").selectExpr("l_partkey AS a", "l_suppkey AS b", "l_discount AS score", "if(l_discount > 0.05, 'vector', 'rule') AS method", "l_shipdate AS seen_at")
+    return K.record_pairs(p)
 
 
 def _queries_of(vectors):
@@ -182,13 +182,6 @@ def invoice_violations(spark, d):
     return PT.invoice_violations(C.table(spark, d, "documents").select("doc_id", v.alias("v")), "v").select("doc_id", "too_long", "not_upper")
 
 
-@query("delivery_export", "claims attributes", """WITH l AS (SELECT product_id, list(raw_value ORDER BY attribute_name) AS vs FROM attributes GROUP BY 1)
-SELECT product_id, coalesce(vs[1], '') AS value_1, coalesce(vs[2], '') AS value_2, coalesce(vs[3], '') AS value_3, coalesce(vs[4], '') AS value_4, coalesce(vs[5], '') AS value_5, coalesce(vs[6], '') AS value_6 FROM l""")
-def delivery_export(spark, d):
-    l = C.attributes(spark, d).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("attribute_name", "raw_value"))).alias("vs"))  # noqa: E741  five attributes at most
-    return PT.spread(l.select("product_id", F.col("vs.raw_value").alias("vs")), "vs", "value", 6)
-
-
 # ---- table maintenance
 
 
@@ -309,18 +302,6 @@ def retry_failed(spark, d):
     return M.retry_failed(C.jobs(spark, d).withColumn("attempt", F.lit(1))).select("job_id", "status", "failed_items", "attempt")
 
 
-@query("record_list", "products jobs", "SELECT p.product_id, coalesce(j.status, 'queued') AS status, coalesce(j.failed_items, 0) AS failed_items FROM products p LEFT JOIN jobs j ON j.job_id = p.product_id AND j.status <> 'processing'")
-def record_list(spark, d):
-    j = C.jobs(spark, d).where("status <> 'processing'").select(F.col("job_id").alias("product_id"), F.col("status").alias("js"), "failed_items")
-    return C.products(spark, d).join(j, "product_id", "left").select("product_id", F.coalesce("js", F.lit("queued")).alias("status"), F.coalesce("failed_items", F.lit(0)).alias("failed_items"))
-
-
-@query("pending_records", "products jobs", "SELECT p.product_id FROM products p LEFT JOIN jobs j ON j.job_id = p.product_id WHERE j.job_id IS NULL OR j.status IN ('queued', 'failed')")
-def pending_records(spark, d):
-    j = C.jobs(spark, d).select(F.col("job_id").alias("product_id"), F.col("status").alias("js"))
-    return C.products(spark, d).join(j, "product_id", "left").where("js is null or js in ('queued', 'failed')").select("product_id")
-
-
 @query("run_summary", "jobs", "SELECT status, count(*) AS n FROM jobs GROUP BY 1")
 def run_summary(spark, d):
     return C.jobs(spark, d).groupBy("status").agg(F.count("*").alias("n"))
@@ -354,12 +335,6 @@ def ingest_file_gate(spark, d):
     return I.gate_files(files, max_bytes=20000, extensions=["pdf", "html", "txt"]).select("page_id", "reason")
 
 
-@query("page_corpus", "", "SELECT page_id, length(c) AS n_chars, sha256(c) AS corpus_hash FROM (SELECT page_id, trim(regexp_replace(lower(html), '\\s+', ' ', 'g')) AS c FROM pages)")
-def page_corpus(spark, d):
-    c = F.trim(F.regexp_replace(F.lower("html"), r"\s+", " "))
-    return C.table(spark, d, "pages").select("page_id", c.alias("c")).select("page_id", F.length("c").cast("long").alias("n_chars"), F.sha2("c", 256).alias("corpus_hash"))
-
-
 @query("table_claims", "", """WITH cells AS (SELECT p_partkey, p_partkey % 5 AS shape, UNNEST([['Brand', p_brand], ['Size', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_size || ' mm' END], ['Type', p_type]]) AS c FROM part)
 SELECT p_partkey AS document_id, lower(c[1]) AS name, CASE WHEN shape = 2 THEN trim('of ' || c[2]) ELSE c[2] END AS value FROM cells WHERE shape < 3 AND (shape = 2 OR c[2] <> '')
 UNION ALL SELECT p_partkey, 'finish', 'n/a' FROM part WHERE p_partkey % 5 < 2""")

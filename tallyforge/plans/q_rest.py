@@ -12,7 +12,6 @@ from ..operators import reconcile as R
 from ..operators import scoring as S
 from . import catalog as C
 from .q_catalog import _RECONCILED
-from .q_more import _queries_of
 
 Q: dict = {}
 
@@ -42,16 +41,6 @@ def explode_tables(spark, d):
     return C.table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.posexplode(rows).alias("i", "r")).select("document_id", (F.col("i") + 1).cast("long").alias("row_number"), F.col("r")[0].alias("k"), F.col("r")[1].alias("v"))
 
 
-@query("document_list", "", "SELECT doc_id, source FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50 OFFSET 10")
-def document_list(spark, d):
-    return C.table(spark, d, "documents").where("lang = 'en'").orderBy("doc_id").offset(10).limit(50).select("doc_id", "source")
-
-
-@query("job_list", "jobs", "SELECT job_id, status FROM jobs WHERE status = 'failed' ORDER BY job_id LIMIT 100")
-def job_list(spark, d):
-    return C.jobs(spark, d).where("status = 'failed'").orderBy("job_id").limit(100).select("job_id", "status")
-
-
 @query("attributes_by_product", "claims attributes", "SELECT product_id, attribute_name, raw_value, confidence FROM attributes ORDER BY product_id, attribute_name")
 def attributes_by_product(spark, d):
     return C.attributes(spark, d).select("product_id", "attribute_name", "raw_value", "confidence").orderBy("product_id", "attribute_name")
@@ -160,12 +149,6 @@ def source_union(spark, d):
     return a.unionByName(b).groupBy("source_id").agg(F.max("used").alias("used"))
 
 
-@query("header_diff", "", "SELECT p_partkey AS id, count(*) FILTER (a IS DISTINCT FROM b) AS differing FROM (SELECT p_partkey, unnest(['name', 'brand', 'type', 'size']) AS a, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['name', 'type', 'brand', NULL] ELSE ['name', 'brand', 'type', 'size'] END) AS b FROM part) GROUP BY 1")
-def header_diff(spark, d):
-    a, b = F.array(*map(F.lit, ("name", "brand", "type", "size"))), F.expr("if(p_partkey % 2 = 0, array('name', 'type', 'brand'), array('name', 'brand', 'type', 'size'))")
-    return C.table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.header_differences(a, b).alias("differing"))
-
-
 @query("clean_list_values", "", "SELECT p_partkey AS product_id, p_size || ' in|' || p_size || ' V' AS cleaned FROM part")
 def clean_list_values(spark, d):
     items = F.array(F.struct(F.concat(F.col("p_size").cast("string"), F.lit(" inches")).alias("value"), F.lit("").alias("uom")), F.struct(F.col("p_size").cast("string").alias("value"), F.lit("volts").alias("uom")))
@@ -221,24 +204,6 @@ def semantic_candidates(spark, d):
     return K.semantic_candidates(K.vector_topk(v, q, k=5), incoming, p).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("search_results", "products", """WITH q AS (SELECT vec_id AS query_id, embedding AS qe, CASE WHEN vec_id % 100 = 0 THEN label END AS ql FROM embeddings WHERE vec_id % 50 = 0),
-s AS (SELECT query_id, vec_id, round_even(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 6) AS score FROM embeddings, q WHERE ql IS NULL OR ql = label),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, product_id, sku, rank FROM t JOIN products ON product_id = vec_id WHERE rank <= 10""")
-def search_results(spark, d):
-    v = C.table(spark, d, "embeddings")
-    hits = K.vector_topk(v, _queries_of(v))
-    return hits.join(C.products(spark, d), F.col("vec_id") == F.col("product_id")).select("query_id", "product_id", "sku", F.col("rank").cast("long").alias("rank"))
-
-
-@query("index_upsert", "", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS generation FROM embeddings")
-def index_upsert(spark, d):
-    rows = C.table(spark, d, "embeddings").select("vec_id", F.sha2(F.col("embedding").cast("string"), 256).alias("content_hash"))
-    old = rows.withColumn("content_hash", F.when(F.col("vec_id") % 3 == 0, "stale").otherwise(F.col("content_hash"))).withColumn("generation", F.lit(1))
-    changed = rows.join(old.select("vec_id", F.col("content_hash").alias("h")), "vec_id", "left").where("h is null or h <> content_hash").select("vec_id", "content_hash", F.lit(2).alias("generation"))
-    return M.upsert(old, changed, ["vec_id"]).select("vec_id", "generation")
-
-
 @query("brand_fallback", "", "SELECT p_partkey AS product_id, CASE p_partkey % 3 WHEN 0 THEN 'GE®' WHEN 1 THEN p_brand ELSE 'Maker' END AS brand FROM part")
 def brand_fallback(spark, d):
     p = C.table(spark, d, "part").selectExpr("p_partkey AS product_id", "if(p_partkey % 3 = 0, 'GE®', 'Unbranded') AS found", "if(p_partkey % 3 = 1, p_brand, '-- Unbranded --') AS own", "'Maker' AS maker")
@@ -280,13 +245,6 @@ def part_to_product(spark, d):
     return S.part_products(p).select("product_id", "sku", "category", "subcategory", "status")
 
 
-@query("approve_records", "products", "SELECT product_id, CASE WHEN product_id % 4 = 0 THEN 'verified' ELSE status END AS status FROM products")
-def approve_records(spark, d):
-    p = C.products(spark, d).select("product_id", "status")
-    approved = p.where("product_id % 4 = 0").select("product_id").withColumn("ok", F.lit(True))
-    return p.join(approved, "product_id", "left").select("product_id", F.when(F.col("ok"), "verified").otherwise(F.col("status")).alias("status"))
-
-
 @query("upsert_evidence", "claims attributes", """WITH o AS (SELECT attribute_id, source_id % 3 AS document_id, CASE WHEN attribute_id % 2 = 0 THEN source_id ELSE -1 END AS source_id, 'old' AS text FROM attributes),
 n AS (SELECT attribute_id, 1 AS document_id, CASE WHEN attribute_id % 5 = 0 THEN 7 END AS source_id, 'new' AS text FROM attributes WHERE attribute_id % 4 <> 0)
 SELECT attribute_id, document_id, coalesce(n.source_id, o.source_id) AS source_id, coalesce(n.text, o.text) AS text FROM o FULL OUTER JOIN n USING (attribute_id, document_id)""")

@@ -119,13 +119,6 @@ def category_rules(spark, d):
     return C.products(spark, d).select("product_id", "category", V.category_key(F.col("category")).alias("rule"))
 
 
-@query("infer_type_unit", "claims", "SELECT product_id, source_id, attribute_name, 'numeric' AS data_type FROM claims UNION ALL SELECT -1 - event_id, 0, event_type, CASE WHEN event_id % 2 = 0 THEN 'boolean' ELSE 'text' END FROM events")
-def infer_type_unit(spark, d):
-    c = C.claims(spark, d).select("product_id", "source_id", "attribute_name", "raw_value")
-    e = C.table(spark, d, "events").selectExpr("-1 - event_id AS product_id", "0L AS source_id", "event_type AS attribute_name", "if(event_id % 2 = 0, ' Yes', event_type) AS raw_value")
-    return c.unionByName(e).select("product_id", "source_id", "attribute_name", V.infer_type(F.col("raw_value")).alias("data_type"))
-
-
 @query("normalize_identifier", "products", "SELECT product_id, nullif(lower(regexp_replace(sku, '[^a-zA-Z0-9]', '', 'g')), '') AS key, regexp_replace(lower(trim(product_name)), '\\s+', ' ', 'g') AS name FROM products")
 def normalize_identifier(spark, d):
     return C.products(spark, d).select("product_id", V.normalize_identifier(F.col("sku")).alias("key"), V.normalize_text(F.col("product_name")).alias("name"))

@@ -24,6 +24,14 @@ def import_new(rows: DataFrame, target: DataFrame, key: str, order: str) -> Data
     return rows.join(target.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.min(order).alias("first_row"), F.count("*").alias("n"))
 
 
+def import_counts(rows: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """One row: how many ``rows`` an import takes (the first of each key that the target doesn't have) and how many it skips."""
+    known = target.select(key).distinct().withColumn("_known", F.lit(True))
+    keys = rows.groupBy(key).agg(F.count("*").alias("n")).join(known, key, "left")
+    out = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count_if(F.col("_known").isNull() & F.col(key).isNotNull()).alias("imported"))
+    return out.select("imported", (F.col("total") - F.col("imported")).alias("skipped"))
+
+
 def dedupe_documents(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``docs`` with ``document_id``, the least id with the same bytes.  Only ids and digests are shuffled."""
     keyed = docs.select(id_col, F.sha2(text, 256).alias("digest"))
@@ -75,6 +83,37 @@ def table_claims(tables: DataFrame, blank_values: tuple[str, ...] = ("n/a", "-",
     )
 
 
+def _page_text(documents: DataFrame):
+    """A function that gives the normalised text of a page of ``documents``: its text, then the headers and cells of its tables."""
+    none = F.array().cast("array<string>")
+    tables = "tables" in documents.schema["pages"].dataType.elementType.names
+
+    def text(page):
+        cells = none
+        if tables:
+            cells = F.coalesce(F.flatten(F.transform(page["tables"], lambda t: F.concat(F.coalesce(t["headers"], none), F.coalesce(F.flatten(t["rows"]), none)))), none)
+        return F.trim(V.normalize_text(F.array_join(F.concat(F.array(F.coalesce(page["text"], F.lit(""))), cells), " ")))
+
+    return text
+
+
+def explode_pages(documents: DataFrame) -> DataFrame:
+    """(document_id, page_number, ...): a row for each of ``pages``, with its own fields; pages without a number take their place.
+    Documents without pages have no row."""
+    fields = documents.schema["pages"].dataType.elementType.names
+    rows = documents.select("document_id", F.posexplode("pages").alias("_at", "_page"))
+    number = (F.col("_at") + 1).cast("long")
+    if "page_number" in fields:
+        number = F.coalesce(F.col("_page.page_number").cast("long"), number)
+    return rows.select("document_id", number.alias("page_number"), *[F.col(f"_page.{c}") for c in fields if c != "page_number"])
+
+
+def page_corpus(documents: DataFrame) -> DataFrame:
+    """(document_id, pages, corpus): the normalised text of each page, with table headers and cells, and all of them joined by spaces."""
+    out = documents.select("document_id", F.coalesce(F.transform("pages", _page_text(documents)), F.array().cast("array<string>")).alias("pages"))
+    return out.withColumn("corpus", F.array_join("pages", " "))
+
+
 def verify_claims(claims: DataFrame, documents: DataFrame) -> DataFrame:
     """``claims`` (document_id, extraction_method, raw_value, evidence_text, page_number, ...) with ``evidence_verified``, held against
     ``documents`` (document_id, pages: text and, where they have them, tables of headers and rows).
@@ -84,15 +123,9 @@ def verify_claims(claims: DataFrame, documents: DataFrame) -> DataFrame:
     without a quote, or with one that is found nowhere, becomes llm_inference.  llm_inference and other methods: not verified.
     A document is a row, so the join is n:1; a claim whose document is missing is held against no text.
     """
-    fields = documents.schema["pages"].dataType.elementType.names
     none = F.array().cast("array<string>")
     clean = lambda x: F.trim(V.normalize_text(F.coalesce(x, F.lit(""))))
-
-    def text(page):
-        cells = none
-        if "tables" in fields:
-            cells = F.coalesce(F.flatten(F.transform(page["tables"], lambda t: F.concat(F.coalesce(t["headers"], none), F.coalesce(F.flatten(t["rows"]), none)))), none)
-        return clean(F.array_join(F.concat(F.array(F.coalesce(page["text"], F.lit(""))), cells), " "))
+    text = _page_text(documents)
 
     docs = documents.select(F.col("document_id").alias("_doc"), F.transform("pages", text).alias("_pages"))
     both = claims.join(docs, F.col("document_id") == F.col("_doc"), "left").withColumns({"_pages": F.coalesce("_pages", none), "_q": clean(F.col("evidence_text")), "_raw": clean(F.col("raw_value"))})
