@@ -378,6 +378,9 @@ def verify_evidence(spark, d):
     return got.select(F.col("document_id").alias("doc_id"), "k", "extraction_method", "page_number", "evidence_verified")
 
 
-@query("bulk_embed", "", None)
+@query("bulk_embed", "", """WITH h AS (SELECT doc_id, text, array_to_string(list_transform(range(24), lambda i: sha256(concat_ws(':', text, i))), '') AS h FROM documents),
+v AS (SELECT doc_id, text, list_transform(range(384), lambda j: CASE WHEN coalesce(text, '') = '' THEN 0.0::DOUBLE ELSE ('0x' || substr(h, j * 4 + 1, 4))::INT / 65535.0::DOUBLE - 0.5::DOUBLE END) AS v FROM h),
+n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
+SELECT doc_id, len(v) AS dims, CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS norm2, CASE WHEN n = 0 THEN 0.0 ELSE round_even(v[1] / n, 6) END::DOUBLE AS first FROM n""")
 def bulk_embed(spark, d):
     return I.hash_vectors(C.table(spark, d, "documents"), "doc_id", "text", dims=384).select("doc_id", F.size("vector").alias("dims"), F.bround(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v), 6).alias("norm2"), F.bround(F.col("vector")[0], 6).alias("first"))
