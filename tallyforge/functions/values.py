@@ -22,6 +22,18 @@ def half_even(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
 
 
+def exact_mean(x: Column, digits: int) -> Column:
+    """The mean of values of ``digits`` decimals, half-even to as many; an aggregate.
+
+    It is worked out in whole numbers, so that neither the order of the rows nor binary fractions decide a tie.
+    """
+    scale = 10**digits
+    total, n = F.sum(F.bround(x * scale).cast("long")), F.count(x)
+    rest = F.pmod(total, n)
+    low = ((total - rest) / n).cast("long")
+    return (low + F.when((2 * rest > n) | ((2 * rest == n) & (F.pmod(low, F.lit(2)) == 1)), 1).otherwise(0)) / scale
+
+
 def blank_to_null(x: Column) -> Column:
     return F.when(F.trim(x) != "", x)
 

@@ -62,11 +62,10 @@ def reconcile(claims: DataFrame, attributes: DataFrame | None = None) -> DataFra
 def summary(reconciled: DataFrame) -> DataFrame:
     """Per product: attributes by status and the mean confidence."""
     by = lambda s: F.count_if(F.col("status") == s).alias(s.lower())
-    return reconciled.groupBy("product_id").agg(F.count("*").alias("attributes"), *[by(s) for s in ("AGREEMENT", "EQUIVALENT", "MISSING", "CONFLICTING")], F.bround(F.avg("confidence"), 4).alias("mean_confidence"))
+    return reconciled.groupBy("product_id").agg(F.count("*").alias("attributes"), *[by(s) for s in ("AGREEMENT", "EQUIVALENT", "MISSING", "CONFLICTING")], V.exact_mean(F.col("confidence"), 4).alias("mean_confidence"))
 
 
 def competing_claims(claims: DataFrame) -> DataFrame:
-    """Claims that differ from the winner of their attribute, with its value."""
-    parsed = parse_claims(claims)
-    win = winning_claims(parsed).select(*KEY, F.col("text").alias("win_text"), F.col("raw_value").alias("winning_value"))
-    return parsed.join(win, KEY).where("text <> win_text").select(*KEY, "source_id", "raw_value", "trust", "winning_value")
+    """All claims but the winner of each attribute whose claims conflict, those of the winner's text too, with its value."""
+    odd = reconcile(claims).where("status = 'CONFLICTING'").select(*KEY, "winner", "winning_value")
+    return claims.join(odd, KEY).where(~F.col("source_id").eqNullSafe(F.col("winner"))).select(*KEY, "source_id", "raw_value", "trust", "winning_value")

@@ -18,7 +18,7 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 def health_overall(products: DataFrame, completeness: DataFrame, attributes: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row: counts, average quality, verification rate, mean completeness and evidence coverage."""
     p = products.agg(F.count("*").alias("products"), F.bround(F.coalesce(F.avg("quality_score"), F.lit(0.0)), 1).alias("avg_quality"), percent(F.count_if(F.col("status") == "verified"), F.count("*")).alias("verification_rate"))
-    c = completeness.agg(F.bround(F.coalesce(F.avg("completeness"), F.lit(0.0)), 1).alias("avg_completeness"))
+    c = completeness.agg(F.coalesce(V.exact_mean(F.col("completeness"), 1), F.lit(0.0)).alias("avg_completeness"))
     covered = attributes.join(evidence.select("attribute_id").distinct(), "attribute_id", "left_semi").agg(F.count("*").alias("covered"))
     a = attributes.agg(F.count("*").alias("attributes"))
     one = p.crossJoin(c).crossJoin(covered).crossJoin(a)  # each side is one row
@@ -39,7 +39,7 @@ def group_health(products: DataFrame, completeness: DataFrame, issues: DataFrame
     all_ = products.join(completeness.select("product_id", "completeness"), "product_id", "left").join(i, "product_id", "left").join(c, "product_id", "left")
     return all_.groupBy(key).agg(
         F.count("*").alias("products"), F.bround(F.avg("quality_score"), 1).alias("avg_quality"), percent(F.count_if(F.col("status") == "verified"), F.count("*")).alias("verification_rate"),
-        F.bround(F.coalesce(F.avg("completeness"), F.lit(0.0)), 1).alias("avg_completeness"), F.coalesce(F.sum("oi"), F.lit(0)).alias("open_issues"), F.coalesce(F.sum("oc"), F.lit(0)).alias("conflicts"),
+        F.coalesce(V.exact_mean(F.col("completeness"), 1), F.lit(0.0)).alias("avg_completeness"), F.coalesce(F.sum("oi"), F.lit(0)).alias("open_issues"), F.coalesce(F.sum("oc"), F.lit(0)).alias("conflicts"),
     )
 
 

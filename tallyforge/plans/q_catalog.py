@@ -36,6 +36,13 @@ rec AS (SELECT product_id, attribute_name, coalesce(n_claims, 1) AS n_claims, wi
   FROM declared LEFT JOIN agg USING (product_id, attribute_name))"""
 
 
+def exact_mean_sql(x: str, digits: int) -> str:
+    """The mean of ``digits`` decimals, half-even to as many, from whole numbers."""
+    s = f"sum(CAST(round({x} * {10**digits}) AS BIGINT))"
+    n = f"count({x})"
+    return f"(({s} // {n}) + CASE WHEN 2 * ({s} % {n}) > {n} OR (2 * ({s} % {n}) = {n} AND ({s} // {n}) % 2 = 1) THEN 1 ELSE 0 END) / {10**digits}.0::DOUBLE"
+
+
 def declared(spark, d):
     """The attributes that each product has in the catalog, with a confidence; nobody claims a model."""
     j = F.posexplode(F.array(*[F.lit(x) for x in (*C.ATTRIBUTES, "model")])).alias("j", "attribute_name")
@@ -54,7 +61,7 @@ def reconcile_claims(spark, d):
 
 
 @query("reconciliation_summary", "products claims", f"""WITH {_RECONCILED} SELECT product_id, count(*) AS attributes, count(*) FILTER (status = 'AGREEMENT') AS agreement, count(*) FILTER (status = 'EQUIVALENT') AS equivalent,
-  count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'CONFLICTING') AS conflicting, round_even(avg(confidence), 4) AS mean_confidence FROM rec GROUP BY 1""")
+  count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'CONFLICTING') AS conflicting, {exact_mean_sql("confidence", 4)} AS mean_confidence FROM rec GROUP BY 1""")
 def reconciliation_summary(spark, d):
     return R.summary(_reconciled(spark, d))
 
@@ -69,7 +76,8 @@ def winning_claim(spark, d):
     return R.winning_claims(R.parse_claims(C.claims(spark, d))).select("product_id", "attribute_name", "source_id", "raw_value")
 
 
-@query("competing_claims", "claims", f"WITH {PARSED} SELECT product_id, attribute_name, source_id, raw_value, trust, winning_value FROM parsed JOIN win USING (product_id, attribute_name) WHERE text <> win_text")
+@query("competing_claims", "claims", f"""WITH {PARSED}, odd AS (SELECT product_id, attribute_name FROM parsed JOIN win USING (product_id, attribute_name) GROUP BY 1, 2 HAVING bool_or(abs(num - win_num) > 1e-5))
+SELECT product_id, attribute_name, source_id, raw_value, trust, winning_value FROM parsed JOIN odd USING (product_id, attribute_name) JOIN win USING (product_id, attribute_name) WHERE source_id <> winner""")
 def competing_claims(spark, d):
     return R.competing_claims(C.claims(spark, d))
 
@@ -155,7 +163,7 @@ def evidence_names(spark, d):
 
 @query("catalog_health_overall", "products claims attributes", f"""WITH {_COMPLETE}
 SELECT (SELECT count(*) FROM products) AS products, (SELECT round_even(avg(quality_score), 1) FROM products) AS avg_quality, (SELECT round_even(100.0 * count(*) FILTER (status = 'verified') / count(*), 1) FROM products) AS verification_rate,
-  (SELECT round_even(avg(completeness), 1) FROM complete) AS avg_completeness, (SELECT count(*) FROM attributes) AS attributes, (SELECT round_even(100.0 * count(*) FILTER (attribute_id % 3 <> 0) / count(*), 1) FROM attributes) AS evidence_coverage""")
+  (SELECT {exact_mean_sql("completeness", 1)} FROM complete) AS avg_completeness, (SELECT count(*) FROM attributes) AS attributes, (SELECT round_even(100.0 * count(*) FILTER (attribute_id % 3 <> 0) / count(*), 1) FROM attributes) AS evidence_coverage""")
 def catalog_health_overall(spark, d):
     a = C.attributes(spark, d)
     return P.health_overall(C.products(spark, d), X.completeness(C.products(spark, d), a), a, _evidence(spark, d))
@@ -175,7 +183,7 @@ def issues_summary(spark, d):
 
 def _group_sql(key: str) -> str:
     return f"""WITH {_COMPLETE}, i AS (SELECT product_id, count(*) AS oi FROM issues WHERE status = 'open' GROUP BY 1), c AS (SELECT product_id, count(*) AS oc FROM attributes WHERE status = 'conflicting' GROUP BY 1)
-SELECT p.{key}, count(*) AS products, round_even(avg(quality_score), 1) AS avg_quality, round_even(100.0 * count(*) FILTER (status = 'verified') / count(*), 1) AS verification_rate, round_even(avg(completeness), 1) AS avg_completeness,
+SELECT p.{key}, count(*) AS products, round_even(avg(quality_score), 1) AS avg_quality, round_even(100.0 * count(*) FILTER (status = 'verified') / count(*), 1) AS verification_rate, {exact_mean_sql("completeness", 1)} AS avg_completeness,
   CAST(coalesce(sum(oi), 0) AS BIGINT) AS open_issues, CAST(coalesce(sum(oc), 0) AS BIGINT) AS conflicts FROM products p LEFT JOIN complete USING (product_id) LEFT JOIN i USING (product_id) LEFT JOIN c USING (product_id) GROUP BY 1"""
 
 

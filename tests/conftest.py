@@ -22,16 +22,20 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def connected(folder):
     import duckdb
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck():
+    return connected(SMALL)
+
+
 def rows_of(df):
     """Rows as comparable tuples, columns by name, numbers to six digits."""
     import math
@@ -49,10 +53,10 @@ def rows_of(df):
 
 @pytest.fixture(scope="session")
 def same(spark, duck):
-    """Checks a registered query against its SQL on the smallest tables."""
+    """Checks a registered query against its SQL, on the smallest tables unless others are named."""
 
-    def check(query, sql):
-        got, want = query(spark, SMALL).toPandas(), duck.sql(sql).df()
+    def check(query, sql, folder=SMALL):
+        got, want = query(spark, folder).toPandas(), (duck if folder == SMALL else connected(folder)).sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows_of(got) == rows_of(want)
 
