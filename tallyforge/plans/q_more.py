@@ -9,6 +9,7 @@ from ..operators import decisions as DC
 from ..operators import maintain as M
 from ..operators import match as K
 from ..operators import parts as PT
+from ..operators import vectors as VX
 from ..sources import ingest as I
 from . import catalog as C
 
@@ -74,6 +75,28 @@ def vector_topk(spark, d):
     return K.vector_topk(v, _queries_of(v)).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _all_as_queries(spark, d):
+    v = C.table(spark, d, "embeddings")
+    return v, v.select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 2 == 0, F.col("label")).alias("label"))
+
+
+@query("vector_neighbors", "", None)
+def vector_neighbors(spark, d):
+    """The ten nearest of every row among all rows, half of them of its label only, through inverted lists; as many lists as the measured recall asks for."""
+    v, q = _all_as_queries(spark, d)
+    index = VX.build_index(v)
+    return VX.search(index, q, 10, VX.probes_for(index, q)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("vector_neighbors_exact", "", """WITH q AS (SELECT vec_id AS query_id, embedding AS qe, CASE WHEN vec_id % 2 = 0 THEN label END AS ql FROM embeddings),
+s AS (SELECT query_id, vec_id, round_even(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 6) AS score FROM embeddings JOIN q ON ql IS NULL OR ql = label)
+SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def vector_neighbors_exact(spark, d):
+    """The same, looking at all lists."""
+    v, q = _all_as_queries(spark, d)
+    return VX.search(VX.build_index(v), q, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 _NOISE = "CASE p_partkey % 5 WHEN 0 THEN 'milwaukee accessories' WHEN 1 THEN 'GENERAL ELECTRIC CO (GE)' WHEN 2 THEN '-- unbranded --' WHEN 3 THEN p_brand ELSE 'Wera Tools (X1)' END"
 
 
