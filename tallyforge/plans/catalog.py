@@ -152,5 +152,8 @@ def with_views(names: str, sql: str) -> str:
     for n in names.split():
         wanted += [x for x in [*_NEEDS.get(n, []), n] if x not in wanted]
     more = sql.lstrip()
-    head = "WITH " + ",\n".join(_TEXT[n] for n in wanted)
-    return f"{head},\n{more[5:].lstrip()}" if more.upper().startswith("WITH ") else f"{head}\n{more}"
+    views = ",\n".join(_TEXT[n] for n in wanted)
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if more.startswith(start):
+            return f"{start}{views},\n{more.removeprefix(start)}"
+    return f"WITH {views}\n{more}"

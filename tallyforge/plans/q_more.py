@@ -51,11 +51,60 @@ def entity_resolve(spark, d):
     return K.resolve_entities(_incoming(spark, d), C.products(spark, d))
 
 
+def _with_products(spark, d):
+    """The catalog's products that have a vector, and rows that come in with the same vectors: some resolve by a key, and the rest by vectors."""
+    p, v = C.products(spark, d), C.table(spark, d, "embeddings")
+    odd = lambda c, x: f"if(product_id % 3 = 0, {x}, concat({c}, 'X')) AS {c}"
+    incoming = p.selectExpr("product_id + 1000000 AS incoming_id", odd("sku", "sku"), "if(product_id % 5 = 0, 'Other', brand) AS brand", odd("model", "null"), "if(product_id % 2 = 0, product_name, concat(product_name, ' new')) AS product_name")
+    own = v.select("vec_id", "embedding", F.lit(None).cast("int").alias("label")).join(p.select(F.col("product_id").alias("vec_id")), "vec_id", "left_semi")
+    return p, incoming, own
+
+
+@query("entity_resolve_vectors", "products", f"""WITH incoming AS (SELECT product_id + 1000000 AS incoming_id, CASE WHEN product_id % 3 = 0 THEN sku ELSE sku || 'X' END AS sku, CASE WHEN product_id % 5 = 0 THEN 'Other' ELSE brand END AS brand,
+  CASE WHEN product_id % 3 = 0 THEN NULL ELSE model || 'X' END AS model, CASE WHEN product_id % 2 = 0 THEN product_name ELSE product_name || ' new' END AS product_name FROM products),
+i AS (SELECT incoming_id, {_KEYS} FROM incoming), c AS (SELECT product_id, {_KEYS} FROM products),
+hit AS (SELECT incoming_id, product_id, CASE WHEN i.s = c.s THEN 1 WHEN i.m = c.m AND NOT coalesce(i.s <> c.s, false) THEN 2 WHEN i.n = c.n AND NOT coalesce(i.s <> c.s, false) AND NOT coalesce(i.m <> c.m, false) THEN 3 END AS level FROM i JOIN c USING (b)),
+best AS (SELECT incoming_id, level, min(product_id) AS match_id, count(*) AS n FROM hit JOIN (SELECT incoming_id, min(level) AS level FROM hit GROUP BY 1) USING (incoming_id, level) GROUP BY 1, 2),
+own AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IN (SELECT product_id FROM products)),
+s AS (SELECT i.incoming_id, e.vec_id, round_even(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM i ANTI JOIN best USING (incoming_id) JOIN own q ON q.vec_id + 1000000 = i.incoming_id, own e),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incoming_id ORDER BY score DESC, vec_id) AS rn FROM s WHERE score >= 0.7) WHERE rn <= 5),
+cand AS (SELECT near.incoming_id, string_agg(c.product_id || ':' || near.score, ',' ORDER BY rn) AS candidates FROM near JOIN i USING (incoming_id) JOIN c ON c.product_id = near.vec_id WHERE NOT coalesce(i.b = c.b AND i.s <> c.s, false) GROUP BY 1)
+SELECT i.incoming_id, match_id, CASE level WHEN 1 THEN 'exact_sku_brand' WHEN 2 THEN 'model_brand' WHEN 3 THEN 'name_brand' ELSE CASE WHEN candidates IS NULL THEN 'none' ELSE 'vector_candidates' END END AS method,
+  coalesce(CASE level WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 WHEN 3 THEN 0.9 END::DOUBLE, (SELECT max(score) FROM near WHERE near.incoming_id = i.incoming_id), 0.0) AS confidence, coalesce(best.n, 0) AS n_equal, coalesce(best.n > 1, false) OR candidates IS NOT NULL AS review, coalesce(candidates, '') AS candidates
+FROM i LEFT JOIN best USING (incoming_id) LEFT JOIN cand USING (incoming_id)""")
+def entity_resolve_vectors(spark, d):
+    p, incoming, own = _with_products(spark, d)
+    asked = own.select((F.col("vec_id") + 1000000).alias("incoming_id"), "embedding")
+    out = K.resolve_with_vectors(incoming, p, asked, VX.build_index(own))
+    return out.withColumn("candidates", F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x.product_id.cast("string"), x.score.cast("string"))), ","))
+
+
 @query("duplicate_groups", "products", "WITH g AS (SELECT product_id, min(product_id) OVER (PARTITION BY brand, product_name) AS group_id, count(*) OVER (PARTITION BY brand, product_name) AS n FROM products) SELECT * FROM g WHERE n > 1")
 def duplicate_groups(spark, d):
     return K.duplicate_groups(C.products(spark, d))
 
 
+_LOOSE = """loose AS (SELECT product_id, CASE WHEN product_id % 3 = 0 THEN NULL ELSE ' ' || brand || '-' || product_id % 97 END AS sku, CASE WHEN product_id % 4 = 1 THEN NULL ELSE upper(model) END AS model,
+  CASE WHEN product_id % 29 = 0 THEN NULL WHEN product_id % 5 < 2 THEN 'Hot' ELSE upper(brand) END AS brand, CASE WHEN product_id % 23 = 0 THEN NULL ELSE ' ' || substr(product_name, 1, 6) END AS product_name FROM products)"""
+
+
+def _loose(spark, d):
+    """Products of few skus, models and names, some without one or without a brand; one brand has two fifths of all."""
+    return C.products(spark, d).selectExpr(
+        "product_id", "if(product_id % 3 = 0, null, concat(' ', brand, '-', product_id % 97)) AS sku", "if(product_id % 4 = 1, null, upper(model)) AS model",
+        "CASE WHEN product_id % 29 = 0 THEN NULL WHEN product_id % 5 < 2 THEN 'Hot' ELSE upper(brand) END AS brand", "if(product_id % 23 = 0, null, concat(' ', substring(product_name, 1, 6))) AS product_name",
+    )
+
+
+@query("duplicate_candidates", "products", f"""WITH RECURSIVE {_LOOSE}, k AS (SELECT product_id AS id, {_KEYS} FROM loose),
+link AS (SELECT x.id AS a, y.id AS b, CASE WHEN x.s = y.s THEN 1 WHEN x.m = y.m AND (x.s IS NULL OR y.s IS NULL) THEN 2 WHEN x.n = y.n AND (x.s IS NULL OR y.s IS NULL) AND (x.m IS NULL OR y.m IS NULL) THEN 3 END AS level FROM k x JOIN k y ON x.b = y.b AND x.id <> y.id),
+l AS (SELECT * FROM link WHERE level IS NOT NULL), reach(id, root) USING KEY (id) AS (SELECT id, id FROM k UNION SELECT l.a, min(r.root) FROM reach r JOIN l ON l.b = r.id JOIN recurring.reach own ON own.id = l.a WHERE r.root < own.root GROUP BY 1)
+SELECT k.id AS product_id, root AS group_id, coalesce(t.n, 0) AS n_links, CASE t.best WHEN 1 THEN 'exact_sku_brand' WHEN 2 THEN 'model_brand' WHEN 3 THEN 'name_brand' ELSE 'none' END AS method,
+  CASE t.best WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 WHEN 3 THEN 0.9 ELSE 0.0 END::DOUBLE AS score FROM k JOIN reach USING (id) LEFT JOIN (SELECT a, count(*) AS n, min(level) AS best FROM l GROUP BY 1) t ON t.a = k.id""")
+def duplicate_candidates(spark, d):
+    return K.duplicate_candidates(_loose(spark, d))
+
+
 @query("duplicate_pairs", "", """WITH p AS (SELECT least(l_partkey, l_suppkey) AS product_id, greatest(l_partkey, l_suppkey) AS candidate_id, l_discount AS score, l_shipdate FROM lineitem WHERE l_partkey <> l_suppkey),
 n AS (SELECT *, row_number() OVER (PARTITION BY product_id, candidate_id ORDER BY l_shipdate DESC, score DESC) AS rn FROM p) SELECT product_id, candidate_id, score, CASE WHEN score > 0.05 THEN 'vector' ELSE 'rule' END AS method FROM n WHERE rn = 1""")
 def duplicate_pairs(spark, d):
