@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import reconcile as R
 from ..sources import ingest as I
+from ..storage import fresh_path
 from ..streaming import streams as S
+from ..streaming import timers as T
 from . import catalog as C
 from .q_catalog import PARSED
 
@@ -17,9 +16,7 @@ Q: dict = {}
 
 
 def _folder(spark) -> str:
-    """A new folder under the shared one, or a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return fresh_path(spark, "stream")
 
 
 def scan_part_list_csv(spark, d):
@@ -70,6 +67,11 @@ def stream_stale_jobs(spark, d):
     return _local(_run(spark, S.stale_jobs(_steps(spark, d)), "append"), "active_from", "stale_at")
 
 
+def stream_stale_timers(spark, d):
+    with T.rocksdb_state(spark):
+        return _local(_run(spark, T.stale_jobs_by_timer(_steps(spark, d)), "append"), "active_from", "stale_at")
+
+
 def stream_dedupe(spark, d):
     """Events as uploads of their properties: each content once a day."""
     uploads = _steps(spark, d).selectExpr("created_at AS ts", "concat_ws(':', stage, cast(value AS int)) AS content")
@@ -99,6 +101,7 @@ Q["stream_stage_counts"] = (stream_stage_counts, "WITH w AS (SELECT time_bucket(
 Q["stream_stale_jobs"] = (stream_stale_jobs, """WITH e AS (SELECT user_id AS job_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts) AS k FROM e)
 SELECT job_id, min(ts) AS active_from, max(ts) + INTERVAL 2 MINUTE AS stale_at, count(*) AS steps FROM s GROUP BY job_id, k HAVING max(ts) + INTERVAL 2 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+Q["stream_stale_timers"] = (stream_stale_timers, Q["stream_stale_jobs"][1])
 Q["scan_part_list_csv"] = (scan_part_list_csv, "SELECT 'P' || p_partkey AS num, trim(p_name) AS name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS brand FROM part WHERE p_partkey % 9 <> 0")
 Q["snapshot_write"] = (snapshot_write, C.with_views("products", "SELECT product_id, quality_score, status FROM products WHERE status <> 'draft' OR product_id % 2 = 0"))
 Q["stream_reconcile"] = (stream_reconcile, C.with_views("claims", f"""WITH {PARSED},
