@@ -6,38 +6,49 @@ Between stages the tables are written as Parquet in the shared folder and read a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, jaccard, langid, mixing, substrings
 from tallyforge.llm.shared import stored
 
 
+def _column(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def _whole(docs: DataFrame) -> Column:
+    """The rows of ``docs`` as one column, so that no name in them can meet one of a stage's own."""
+    return F.struct(*[_column(c) for c in docs.columns]).alias("row")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows whose language is clear, each by its own text, whatever its doc_id; learns from their labels, from the two thirds that are not held out."""
     model = langid.train_dictionaries(docs.where(~langid.is_held_out(F.col("doc_id"))).select("text", "lang"))
-    return langid.classify(docs, model).where("lang_kept").drop("lang_pred", "lang_score", "lang_kept")
+    others = F.struct(*[_column(c) for c in docs.columns if c != "text"]).alias("row")
+    kept = langid.classify(docs.select(others, F.col("text")), model).where("lang_kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, a number that no two rows share, in the order of doc_id; null for rows without doc_id.
+    """(key, row): each row of ``docs`` with a number that no two share, in the order of doc_id; null for rows without doc_id.
 
     It is the doc_id where none is repeated.  Otherwise rows are numbered in the order of doc_id, text and the other columns (the texts by hash).
     """
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn("__row", F.col("doc_id").cast("long"))
-    order = [F.col("doc_id"), F.xxhash64("text"), F.xxhash64(*docs.columns)]
-    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stored(dealt.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+        return docs.select(F.col("doc_id").cast("long").alias("key"), _whole(docs))
+    order = [F.col("row.doc_id"), F.xxhash64("row.text"), F.xxhash64("row")]
+    dealt = docs.select(_whole(docs)).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(dealt.select(F.when(F.col("row.doc_id").isNotNull(), F.monotonically_increasing_id()).alias("key"), "row"), "rows")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows keeps one, of the least doc_id.  Rows that share a doc_id are compared like others, so of exact
     copies with one id a single row stays; rows without doc_id all stay."""
     rows = _with_keys(docs)
-    groups = jaccard.jaccard_components(rows.select("__row", "text"), id_col="__row")
-    gone = groups.where("component_id < id").select(F.col("id").alias("__gone"))
-    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
+    groups = jaccard.jaccard_components(rows.select("key", F.col("row.text").alias("text")), id_col="key")
+    gone = groups.where("component_id < id").select(F.col("id").alias("gone"))
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +59,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     each lose what an earlier one of them has, and keep their own texts otherwise.  Rows without doc_id lose nothing.
     """
     rows = _with_keys(docs)
-    kept = substrings.remove_repeats(rows.select("__row", "text"), id_col="__row").where("n_removed > 0").select(F.col("id").alias("__id"), F.col("text").alias("__text"))
-    out = rows.join(kept, F.col("__row") == F.col("__id"), "left").where("__text is null or __text <> ''")
-    text = F.coalesce("__text", "text")
-    changed = F.col("__text").isNotNull()
-    new = {"text": text, "n_chars": F.when(changed, F.length("__text")).otherwise(F.col("n_chars")).cast("long")}
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    left = substrings.remove_repeats(rows.select("key", F.col("row.text").alias("text")), id_col="key").where("n_removed > 0").select("id", F.col("text").alias("left"))
+    out = rows.join(left, F.col("key") == F.col("id"), "left").where("left is null or left <> ''")
+    new = {"text": F.coalesce("left", "row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("left").isNotNull(), F.length("left")).otherwise(F.col("row.n_chars")).cast("long")
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontaminate_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
