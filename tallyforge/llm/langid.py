@@ -82,7 +82,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             made.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d))
         for batch in batches:
             pred, score, kept = [], [], []
-            for t in batch.column(at):
+            for t in batch.column(at).cast(pa.string()):
                 t = t.as_py()
                 if not made or not t or not any(map(str.isalpha, t)):
                     pred.append("und"), score.append(0.0), kept.append(False)

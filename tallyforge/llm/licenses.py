@@ -115,7 +115,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", p
                 matches.append([dict(zip(("label", "word", "n_words", "errors", "similarity"), x, strict=True)) for x in m])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(base, base_t), pa.array(matches, match_t)], names=["id", "n_words", "base", "matches"])
 
-    return long_rows(docs).select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return long_rows(docs).select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op6_license_scan(spark, sf_dir):
