@@ -26,7 +26,7 @@ def query(name: str, views: str, sql: str):
 PARSED = """parsed AS (SELECT *, round_even(CAST(split_part(raw_value, ' ', 1) AS DOUBLE) * CASE split_part(raw_value, ' ', 2)
     WHEN 'kW' THEN 1000.0 WHEN 'kV' THEN 1000.0 WHEN 'kHz' THEN 1000.0 WHEN 'g' THEN 0.001 ELSE 1.0 END, 6) AS num, lower(raw_value) AS text FROM claims),
 win AS (SELECT product_id, attribute_name, source_id AS winner, raw_value AS winning_value, trust AS win_trust, num AS win_num, text AS win_text FROM (SELECT *, row_number() OVER (PARTITION BY product_id, attribute_name ORDER BY trust DESC, source_id) AS rn FROM parsed) WHERE rn = 1)"""
-_RECONCILED = f"""{PARSED},
+RECONCILED = f"""{PARSED},
 declared AS (SELECT product_id, ['power', 'voltage', 'speed', 'weight', 'frequency', 'model'][j + 1] AS attribute_name, CASE WHEN j = 5 THEN model ELSE product_name END AS own_value, (40 + (product_id * 7 + j * 13) % 61) / 100.0 AS own
   FROM products, range(6) t(j)),
 agg AS (SELECT product_id, attribute_name, count(*) AS n_claims, count(DISTINCT source_id) AS n_sources, bool_and(abs(num - win_num) <= 1e-5) AS same, bool_and(text = win_text) AS same_text, min(winner) AS winner, min(winning_value) AS winning_value, min(win_trust) AS win_trust FROM parsed JOIN win USING (product_id, attribute_name) GROUP BY 1, 2),
@@ -55,18 +55,18 @@ def _reconciled(spark, d):
     return R.reconcile(C.claims(spark, d), declared(spark, d))
 
 
-@query("reconcile_claims", "products claims", f"WITH {_RECONCILED} SELECT * FROM rec")
+@query("reconcile_claims", "products claims", f"WITH {RECONCILED} SELECT * FROM rec")
 def reconcile_claims(spark, d):
     return _reconciled(spark, d)
 
 
-@query("reconciliation_summary", "products claims", f"""WITH {_RECONCILED} SELECT product_id, count(*) AS attributes, count(*) FILTER (status = 'AGREEMENT') AS agreement, count(*) FILTER (status = 'EQUIVALENT') AS equivalent,
+@query("reconciliation_summary", "products claims", f"""WITH {RECONCILED} SELECT product_id, count(*) AS attributes, count(*) FILTER (status = 'AGREEMENT') AS agreement, count(*) FILTER (status = 'EQUIVALENT') AS equivalent,
   count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'CONFLICTING') AS conflicting, {exact_mean_sql("confidence", 4)} AS mean_confidence FROM rec GROUP BY 1""")
 def reconciliation_summary(spark, d):
     return R.summary(_reconciled(spark, d))
 
 
-@query("reconciliation_filter", "products claims", f"WITH {_RECONCILED} SELECT product_id, attribute_name, confidence FROM rec WHERE status = 'CONFLICTING'")
+@query("reconciliation_filter", "products claims", f"WITH {RECONCILED} SELECT product_id, attribute_name, confidence FROM rec WHERE status = 'CONFLICTING'")
 def reconciliation_filter(spark, d):
     return _reconciled(spark, d).where("status = 'CONFLICTING'").select("product_id", "attribute_name", "confidence")
 
@@ -82,7 +82,7 @@ def competing_claims(spark, d):
     return R.competing_claims(C.claims(spark, d))
 
 
-@query("conflict_issues", "products claims", f"WITH {_RECONCILED} SELECT product_id, attribute_name, 'cross_source_conflict' AS validation_type, winning_value AS expected FROM rec WHERE status = 'CONFLICTING'")
+@query("conflict_issues", "products claims", f"WITH {RECONCILED} SELECT product_id, attribute_name, 'cross_source_conflict' AS validation_type, winning_value AS expected FROM rec WHERE status = 'CONFLICTING'")
 def conflict_issues(spark, d):
     return _reconciled(spark, d).where("status = 'CONFLICTING'").select("product_id", "attribute_name", F.lit("cross_source_conflict").alias("validation_type"), F.col("winning_value").alias("expected"))
 

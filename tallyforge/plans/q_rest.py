@@ -11,7 +11,7 @@ from ..operators import match as K
 from ..operators import reconcile as R
 from ..operators import scoring as S
 from . import catalog as C
-from .q_catalog import _RECONCILED
+from .q_catalog import RECONCILED
 
 Q: dict = {}
 
@@ -274,7 +274,7 @@ def bulk_extract(spark, d):
     return S.bulk_extract(C.table(spark, d, "documents"), "doc_id", "text", model)
 
 
-@query("reconcile_touched", "products claims", f"WITH {_RECONCILED} SELECT product_id, attribute_name, status FROM rec WHERE winner IS NOT NULL AND product_id IN (SELECT product_id FROM claims WHERE source_id % 2 = 0)")
+@query("reconcile_touched", "products claims", f"WITH {RECONCILED} SELECT product_id, attribute_name, status FROM rec WHERE winner IS NOT NULL AND product_id IN (SELECT product_id FROM claims WHERE source_id % 2 = 0)")
 def reconcile_touched(spark, d):
     """Products touched by the claims of even sources are reconciled again, as a batch of new claims would have them."""
     c = C.claims(spark, d)

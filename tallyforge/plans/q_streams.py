@@ -10,7 +10,7 @@ from ..storage import fresh_path
 from ..streaming import streams as S
 from ..streaming import timers as T
 from . import catalog as C
-from .q_catalog import PARSED
+from .q_catalog import RECONCILED, declared
 
 Q: dict = {}
 
@@ -79,18 +79,19 @@ def stream_dedupe(spark, d):
 
 
 def stream_latest_status(spark, d):
-    path = _folder(spark)
-    S.upsert_batches(_steps(spark, d), f"{path}/table", lambda batch, _: S.latest_status(batch), f"{path}/state").awaitTermination()
-    return S.newest(spark, f"{path}/table", ["job_id"], "created_at", "step_id").select("job_id", "step_id", "stage")
+    path, steps = _folder(spark), _steps(spark, d)
+    S.keep_latest(steps, f"{path}/table", f"{path}/state").awaitTermination()
+    return S.latest_table(spark, f"{path}/table", steps.schema).read().select("job_id", "step_id", "stage")
 
 
 def stream_reconcile(spark, d):
-    """All claims in some four batches, reconciled as they come; in the end as if all had been there at once."""
+    """All claims in some eight batches, reconciled as they come with the confidence of the catalog's attributes; in the end as if all had been there at once."""
     path, claims = _folder(spark), C.claims(spark, d)
-    claims.repartition(4, "source_id").write.parquet(f"{path}/new")
+    claims.repartition(8, "source_id").write.parquet(f"{path}/new")
     stream = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/new")
-    S.reconcile_stream(stream, path, f"{path}/state").awaitTermination()
-    return S.newest(spark, f"{path}/reconciled", R.KEY).select(*R.KEY, "n_claims", "winner", "status", "confidence")
+    kept = S.ReconciledStream(spark, path, claims.schema, declared(spark, d), buckets=8)
+    kept.start(stream, f"{path}/state").awaitTermination()
+    return kept.results.read().select(*R.KEY, "n_claims", "winner", "status", "confidence")
 
 
 #: Which of two uploads within a day comes first in a batch isn't fixed, so there is no SQL.
@@ -104,7 +105,4 @@ SELECT job_id, min(ts) AS active_from, max(ts) + INTERVAL 2 MINUTE AS stale_at,
 Q["stream_stale_timers"] = (stream_stale_timers, Q["stream_stale_jobs"][1])
 Q["scan_part_list_csv"] = (scan_part_list_csv, "SELECT 'P' || p_partkey AS num, trim(p_name) AS name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS brand FROM part WHERE p_partkey % 9 <> 0")
 Q["snapshot_write"] = (snapshot_write, C.with_views("products", "SELECT product_id, quality_score, status FROM products WHERE status <> 'draft' OR product_id % 2 = 0"))
-Q["stream_reconcile"] = (stream_reconcile, C.with_views("claims", f"""WITH {PARSED},
-one AS (SELECT product_id, attribute_name, count(*) AS n_claims, min(winner) AS winner, min(win_trust) AS t, bool_and(abs(num - win_num) <= 1e-5) AS same, bool_and(text = win_text) AS same_text FROM parsed JOIN win USING (product_id, attribute_name) GROUP BY 1, 2)
-SELECT product_id, attribute_name, n_claims, winner, CASE WHEN n_claims = 1 THEN 'MISSING' WHEN same AND same_text THEN 'AGREEMENT' WHEN same THEN 'EQUIVALENT' ELSE 'CONFLICTING' END AS status,
-  round_even(CASE WHEN n_claims = 1 THEN t WHEN same THEN least(1.0::DOUBLE, t + 0.05 * (n_claims - 1)) ELSE greatest(0.2::DOUBLE, t - 0.25) END, 4) AS confidence FROM one"""))
+Q["stream_reconcile"] = (stream_reconcile, C.with_views("products claims", f"WITH {RECONCILED} SELECT product_id, attribute_name, n_claims, winner, status, confidence FROM rec WHERE winner IS NOT NULL"))

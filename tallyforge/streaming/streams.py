@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import reconcile as R
+from .bucketed import BucketedTable, first_of, last_of
 
 
 def dedupe_uploads(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -35,36 +35,42 @@ def latest_status(steps: DataFrame) -> DataFrame:
     return steps.groupBy("job_id").agg(F.max_by(F.struct("stage", "created_at", "step_id"), F.struct("created_at", "step_id")).alias("x")).select("job_id", "x.*")
 
 
-def upsert_batches(stream: DataFrame, path: str, change: Callable[[DataFrame, int], DataFrame], checkpoint: str, **trigger):
-    """Write the rows that a batch changes, change(batch, batch id), to a folder of the batch's own under ``path``; ``newest`` reads the table.
-
-    A batch writes its own rows only, however large the table is, and one that is replayed after a failure writes the same folder again."""
+def keep_latest(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger):
+    """The newest step of each job, batch by batch, in the table that ``latest_table`` reads."""
+    table = latest_table(stream.sparkSession, path, stream.schema, buckets)
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        change(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table.append(batch_id, latest_status(batch))
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def newest(spark: SparkSession, path: str, keys: list[str], *order: str) -> DataFrame:
-    """The table that ``upsert_batches`` keeps: of each key the row that is last by ``order``, or else that of the last batch."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(order or ("batch",)))).alias("x")).select(*keys, "x.*")
+def latest_table(spark: SparkSession, path: str, steps: T.StructType, buckets: int = 64) -> BucketedTable:
+    schema = T.StructType([steps[c] for c in ("job_id", "stage", "created_at", "step_id")])
+    return BucketedTable(spark, path, schema, ["job_id"], last_of(["job_id"], "created_at", "step_id"), buckets)
 
 
-def reconcile_stream(stream: DataFrame, path: str, checkpoint: str, **trigger):
-    """Reconcile the attributes (product_id, attribute_name) that new claims touch, batch by batch, with all their claims so far.
+class ReconciledStream:
+    """Reconciles the attributes (product_id, attribute_name) that new claims touch, batch by batch, with all their claims so far.
 
-    Claims of the stream have one row for each (product, attribute, source).  They are kept under ``path``/claims by batch, and the
-    results under ``path``/reconciled for ``newest``.  A replayed batch reads the claims of batches before it and writes its folders again.
+    ``claims`` and ``results`` are bucketed tables under ``path``.  Of one source's claims of an attribute the first counts, by batch.
+    ``attributes``: as in ``reconcile``; only rows of touched attributes are looked at.  A batch opens the claims of the buckets it
+    touches.  A replayed batch reads the claims as they were then, so it gives what it gave before.
     """
 
-    def change(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark, store = batch.sparkSession, f"{path}/claims"
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        seen = spark.read.schema(batch.schema.add("batch", "long")).parquet(store).where(F.col("batch") <= batch_id)
-        touched = seen.where(F.col("batch") == batch_id).select(*R.KEY).distinct()
-        return R.reconcile(seen.drop("batch").join(touched, R.KEY, "left_semi"))
-
-    return upsert_batches(stream, f"{path}/reconciled", change, checkpoint, **trigger)
+    def __init__(self, spark: SparkSession, path: str, claims: T.StructType, attributes: DataFrame | None = None, buckets: int = 64, most_files: int = 4):
+        self.attributes = attributes
+        own = [*R.KEY, "source_id"]
+        self.claims = BucketedTable(spark, f"{path}/claims", claims, R.KEY, first_of(own, "batch", "trust", "raw_value"), buckets, most_files)
+        result = R.reconcile(spark.createDataFrame([], claims), attributes and attributes.limit(0)).schema
+        self.results = BucketedTable(spark, f"{path}/reconciled", result, R.KEY, last_of(R.KEY, "batch"), buckets, most_files)
+
+    def take(self, batch: DataFrame, batch_id: int) -> None:
+        self.claims.append(batch_id, batch)
+        keys = batch.select(*R.KEY).distinct()
+        held = self.claims.read(self.claims.touched(batch), batch_id).drop("batch").join(keys, R.KEY, "left_semi")
+        known = None if self.attributes is None else self.attributes.join(keys, R.KEY, "left_semi")
+        self.results.append(batch_id, R.reconcile(held, known))
+
+    def start(self, stream: DataFrame, checkpoint: str, **trigger):
+        return stream.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

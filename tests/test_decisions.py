@@ -59,9 +59,10 @@ def test_reconciled_stream_follows_claims_over_batches(spark, tmp_path):
     for rows in (first, second):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        S.reconcile_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    got = S.newest(spark, f"{tmp_path}/out/reconciled", R.KEY)
+        kept = S.ReconciledStream(spark, f"{tmp_path}/out", stream.schema)
+        kept.start(stream, f"{tmp_path}/state").awaitTermination()
+    got = kept.results.read()
     assert {r["product_id"]: r["status"] for r in got.collect()} == {1: "EQUIVALENT", 2: "CONFLICTING", 3: "MISSING", 4: "MISSING"}
     want = R.reconcile(spark.createDataFrame(first + second, schema))
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
-    assert spark.read.parquet(f"{tmp_path}/out/reconciled").where(F.col("batch") == 1).count() == 3  # only what the batch touched
+    assert got.where(F.col("batch") == 1).count() == 3  # only what the batch touched

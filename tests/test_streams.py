@@ -1,8 +1,11 @@
 """Streams with state: late and out-of-order rows, restarts, replays, and what a batch reads."""
 
+import random
 from datetime import datetime, timedelta
 
+from tallyforge.operators import reconcile as R
 from tallyforge.storage import fresh_path
+from tallyforge.streaming import streams as S
 from tallyforge.streaming import timers as T
 
 START = datetime(2024, 1, 1)
@@ -35,3 +38,66 @@ def test_timers_with_late_rows_and_a_restart(spark):
     _write(spark, path, [(5, 5000)], "c")
     assert _run(spark, path) == [*second, (4, 1000.0, 1120.0, 1)]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+CLAIMS = "product_id long, attribute_name string, source_id long, raw_value string, trust double"
+
+
+def _as_batches(spark, kept, rows, n):
+    for b in range(n):
+        kept.take(spark.createDataFrame(rows[b::n], CLAIMS), b)
+
+
+def test_reconciled_batches_are_as_one(spark):
+    rng = random.Random(5)
+    rows = [(p, rng.choice(["power", "speed"]), s, f"{rng.choice([1, 1, 1, 2])} {rng.choice(['kW', 'W'])}", rng.choice([0.5, 0.7, 0.9])) for p in range(30) for s in range(5)]
+    attributes = spark.createDataFrame([(p, "power", "1 kW", 0.6) for p in range(30)], "product_id long, attribute_name string, raw_value string, confidence double")
+    kept = S.ReconciledStream(spark, fresh_path(spark, "table"), spark.createDataFrame([], CLAIMS).schema, attributes, buckets=4, most_files=3)
+    _as_batches(spark, kept, rows, 9)
+    seen = {(p, a) for p, a, *_ in rows}
+    want = {(r["product_id"], r["attribute_name"]): r for r in R.reconcile(spark.createDataFrame(rows, CLAIMS), attributes).collect()}
+    got = kept.results.read().drop("batch").collect()
+    assert {(r["product_id"], r["attribute_name"]) for r in got} == seen
+    assert all(tuple(r) == tuple(want[r["product_id"], r["attribute_name"]]) for r in got)
+    assert all(len(files) <= 3 for t in (kept.claims, kept.results) for files in t.live().values())
+
+
+def test_a_batch_opens_the_files_of_its_buckets_only(spark):
+    kept = S.ReconciledStream(spark, fresh_path(spark, "table"), spark.createDataFrame([], CLAIMS).schema, buckets=16)
+    kept.take(spark.createDataFrame([(p, "power", 1, "1 kW", 0.5) for p in range(200)], CLAIMS), 0)
+    batch = spark.createDataFrame([(7, "power", 2, "1 kW", 0.9)], CLAIMS)
+    kept.take(batch, 1)
+    own = kept.claims.touched(batch)
+    assert len(own) == 1 and kept.claims.read(own).inputFiles() and all(f"/bucket={own[0]}/" in f for f in kept.claims.read(own).inputFiles())
+    before, after = kept.results.live(0), kept.results.live(1)
+    assert {b for b in after if after[b] != before.get(b)} == set(own)
+    assert kept.results.read(own).where("product_id = 7").first()["status"] == "AGREEMENT"
+
+
+def test_replays_failed_attempts_and_vacuum(spark):
+    path = fresh_path(spark, "table")
+    kept = S.ReconciledStream(spark, path, spark.createDataFrame([], CLAIMS).schema, buckets=2, most_files=2)
+    batches = [spark.createDataFrame([(p, "power", s, f"{p} W", 0.5 + s / 10) for p in range(4)], CLAIMS) for s in range(4)]
+    for b, rows in enumerate(batches):
+        kept.take(rows, b)
+        kept.take(rows, b)  # a replay changes nothing
+    # a batch that failed between its claims and its results: the replay sees the claims of that batch, and none of later ones
+    kept.claims.append(4, spark.createDataFrame([(1, "power", 9, "7 W", 0.99)], CLAIMS))
+    assert kept.results.read().where("product_id = 1").first()["n_claims"] == 4
+    kept.take(spark.createDataFrame([(1, "power", 9, "7 W", 0.99)], CLAIMS), 4)
+    spark.createDataFrame([(1,)], "x long").write.parquet(f"{path}/reconciled/data/batch=9-left/bucket=0")  # of an attempt that was lost
+    state = sorted(map(tuple, kept.results.read().collect()))
+    one = kept.results.read().where("product_id = 1").first()
+    assert (one["n_claims"], one["status"], one["winner"]) == (5, "CONFLICTING", 9)
+    assert kept.results.vacuum(keep=1) > 0 and kept.results.batches() == [4]
+    assert sorted(map(tuple, kept.results.read().collect())) == state
+    # the first claim of a source counts
+    kept.take(spark.createDataFrame([(1, "power", 9, "8 W", 1.0)], CLAIMS), 5)
+    assert kept.results.read().where("product_id = 1").first()["winning_value"] == "7 W"
+
+
+def test_an_empty_table_and_batch(spark):
+    kept = S.ReconciledStream(spark, fresh_path(spark, "table"), spark.createDataFrame([], CLAIMS).schema)
+    assert kept.results.read().count() == 0
+    kept.take(spark.createDataFrame([], CLAIMS), 0)
+    assert kept.results.read().count() == 0 and kept.results.batches() == [0]
