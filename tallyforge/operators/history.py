@@ -6,13 +6,18 @@ state before its first row and the number of versions before it, comes from a sm
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import stored
 
 
+def _over() -> WindowSpec:
+    """Over a row for each range and spanning key."""
+    return Window.partitionBy("key").orderBy("part")
+
+
 def _dealt(states: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """(key, at, state, part), stored: rows in ranges of (key, at), ``part`` the number of the range."""
     rows = states.select(F.col(key).alias("key"), F.struct(*order).alias("at"), F.struct(*fields).alias("state"))
@@ -25,6 +30,19 @@ def _spanning(rows: DataFrame, *what: Column) -> DataFrame:
     return rows.join(ends, "key", "left_semi").groupBy("key", "part").agg(*what)
 
 
+def with_previous(rows: DataFrame) -> DataFrame:
+    """Stored rows (key, at, state, part), as dealt by ranges of (key, at), with ``before``, the key's state before each; null for the first.
+
+    Within a range it is a window; the first row of a range gets the last state of the key's range before it.
+    """
+    w = Window.partitionBy("part", "key").orderBy("at", F.xxhash64("state"))
+    last = _spanning(rows, F.max_by("state", F.struct("at", F.xxhash64("state").alias("h"))).alias("last"))
+    carried = last.select(F.col("key").alias("k"), F.col("part").alias("p"), F.lag("last").over(_over()).alias("carried")).where("carried is not null")
+    seen = rows.withColumn("before", F.lag("state").over(w)).withColumn("n", F.row_number().over(w))
+    seen = seen.join(F.broadcast(carried), F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")) & (F.col("n") == 1), "left")
+    return seen.select(*rows.columns, F.coalesce("before", "carried").alias("before"))
+
+
 def version_log(states: DataFrame, key: str, order: list[str], fields: list[str], full_every: int = 10) -> DataFrame:
     """(key, version_number, at, is_full, changes, changed_fields): a version for each state that differs from the one before it.
 
@@ -32,19 +50,13 @@ def version_log(states: DataFrame, key: str, order: list[str], fields: list[str]
     changed.  ``changed_fields`` names the latter in order, all of them in the first version.  ``at``: the ``order`` columns.
     States in the same order are taken in the order of a hash; repeated ones change nothing.  A null is a value like any other.
     """
-    rows = _dealt(states, key, order, fields)
     w = Window.partitionBy("part", "key").orderBy("at", F.xxhash64("state"))
-    last = _spanning(rows, F.max_by("state", F.struct("at", F.xxhash64("state").alias("h"))).alias("last"))
-    over = Window.partitionBy("key").orderBy("part")  # a row a range and spanning key
-    carried = last.select(F.col("key").alias("k"), F.col("part").alias("p"), F.lag("last").over(over).alias("carried")).where("carried is not null")
-    seen = rows.withColumn("before", F.lag("state").over(w)).withColumn("n", F.row_number().over(w))
-    seen = seen.join(F.broadcast(carried), F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")) & (F.col("n") == 1), "left")
-    before = F.coalesce("before", "carried")
+    seen = with_previous(_dealt(states, key, order, fields)).withColumnRenamed("before", "was")
     differs = lambda f: ~F.col(f"state.{f}").eqNullSafe(F.col(f"was.{f}"))
-    seen = seen.withColumn("was", before).withColumn("changed_fields", F.filter(F.array(*[F.when(F.col("was").isNull() | differs(f), F.lit(f)) for f in fields]), lambda x: x.isNotNull()))
+    seen = seen.withColumn("changed_fields", F.filter(F.array(*[F.when(F.col("was").isNull() | differs(f), F.lit(f)) for f in fields]), lambda x: x.isNotNull()))
     kept = stored(seen.where(F.size("changed_fields") > 0).select("key", "at", "state", "part", "changed_fields"), "changes")
     counts = _spanning(kept, F.count("*").alias("c"))
-    sums = counts.select(F.col("key").alias("k"), F.col("part").alias("p"), F.sum("c").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("held"))
+    sums = counts.select(F.col("key").alias("k"), F.col("part").alias("p"), F.sum("c").over(_over().rowsBetween(Window.unboundedPreceding, -1)).alias("held"))
     out = kept.withColumn("n", F.row_number().over(w)).join(F.broadcast(sums), F.col("key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")), "left")
     number = (F.col("n") + F.coalesce("held", F.lit(0))).cast("long")
     full = (number - 1) % full_every == 0
