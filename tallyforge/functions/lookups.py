@@ -135,9 +135,8 @@ MANUFACTURERS: list[tuple[str, str, str]] = [
     ("Speed Queen Company", "Speed Queen®", "SQ"),
 ]
 
-# Names that stand for no manufacturer or brand, and the form of those that say which list has none.
-PLACEHOLDERS = ["", "-", "--", "unbranded", "no brand", "none", "n/a", "null", "undefined"]
-PLACEHOLDER_FORM = "^-- (unbranded|no [a-z0-9]+ brand) --$"
+# Names that stand for no manufacturer or brand.  Lists that have names of their own for it add them where they are looked up.
+PLACEHOLDERS = ["", "-", "--", "-- unbranded --", "unbranded", "no brand", "none", "n/a", "null", "undefined"]
 
 # Approved class paths, in order.
 CLASS_PATHS = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -262,10 +264,9 @@ def format_value_uom(clean: Column) -> Column:
     return let(clean, text)
 
 
-def is_placeholder(x: Column) -> Column:
-    """Whether a name stands for none; null does."""
-    key = F.lower(F.trim(x))
-    return x.isNull() | key.isin(L.PLACEHOLDERS) | key.rlike(L.PLACEHOLDER_FORM)
+def is_placeholder(x: Column, more: Sequence[str] = ()) -> Column:
+    """Whether a name stands for none; null does, and those of ``more``, in lower case."""
+    return x.isNull() | F.lower(F.trim(x)).isin([*L.PLACEHOLDERS, *more])
 
 
 def invoice_description(x: Column) -> Column:

@@ -8,7 +8,7 @@ row.  Each distinct value is looked up once.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +125,7 @@ def _looked_up(values: DataFrame, table: DataFrame, text: str, place: str, token
     return found.groupBy("value").agg(F.max(F.struct("score", (-F.col("place")).alias("p"))).alias("x")).select("value", "x.score", (-F.col("x.p")).alias("place"))
 
 
-def match_names(rows: DataFrame, raw: str, names: DataFrame, least: float = 0.3) -> DataFrame:
+def match_names(rows: DataFrame, raw: str, names: DataFrame, least: float = 0.3, placeholders: Sequence[str] = ()) -> DataFrame:
     """``rows`` with manufacturer, mfr_brand, mfr_code, mfr_confidence, as ``match_manufacturers`` but from ``names`` (place, name, brand, code).
 
     Places order ties and each stand once.  Null and placeholder values are unknown; a value without a name of ``least`` likeness stays as it is, with 0.1.
@@ -136,7 +136,7 @@ def match_names(rows: DataFrame, raw: str, names: DataFrame, least: float = 0.3)
     best = _looked_up(given.where("_clean is not null").select(F.col("_clean").alias("value")).distinct(), names, "name", "place", name_tokens, "name").select(F.col("value").alias("_value"), F.col("score").alias("_score"), F.col("place").alias("_best"))
     entry = names.select(F.col("place").cast("long").alias("_place"), F.struct("name", "brand", "code").alias("_entry"))
     found = given.join(best, F.col("_clean") == F.col("_value"), "left").join(entry, F.col("_best") == F.col("_place"), "left")
-    none, hit = F.coalesce(V.is_placeholder(F.col("_raw")), F.lit(True)), F.coalesce(F.col("_score") >= least, F.lit(False))
+    none, hit = V.is_placeholder(F.col("_raw"), placeholders), F.coalesce(F.col("_score") >= least, F.lit(False))
     pick = lambda missing, one, own: F.when(none, missing).when(hit, one).otherwise(own)
     found = found.select(
         "_raw", pick(F.lit("Unknown Manufacturer"), F.col("_entry.name"), F.col("_clean")).alias("manufacturer"), pick(F.lit("Unbranded"), F.col("_entry.brand"), F.col("_clean")).alias("mfr_brand"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,8 +168,10 @@ def semantic_candidates(hits: DataFrame, incoming: DataFrame, catalog: DataFrame
     return both.where(~other).join(best, "query_id").select(F.col("query_id").alias("incoming_id"), F.col("vec_id").alias("product_id"), "score", "rank", "confidence")
 
 
-def match_manufacturers(rows: DataFrame, raw: str) -> DataFrame:
-    """``rows`` with name, brand, code and confidence of the manufacturer, found once for each distinct raw name."""
+def match_manufacturers(rows: DataFrame, raw: str, placeholders: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with name, brand, code and confidence of the manufacturer, found once for each distinct raw name.
+
+    ``placeholders``: names in lower case that stand for none, besides those that always do."""
     names = rows.select(F.col(raw).alias("_raw")).distinct()
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)))
     clean = F.trim(F.regexp_replace("_raw", r"\s*\((?U:\w+)\)\s*$", ""))
@@ -182,7 +186,7 @@ def match_manufacturers(rows: DataFrame, raw: str) -> DataFrame:
         scored.append(F.struct(score.alias("score"), F.lit(-pos).alias("pos"), F.lit(name).alias("name"), F.lit(brand).alias("brand"), F.lit(code).alias("code")))
     best = F.array_max(F.array(*scored))
     names = names.withColumn("best", best)
-    none = V.is_placeholder(F.col("_raw"))
+    none = V.is_placeholder(F.col("_raw"), placeholders)
     hit = F.col("best.score") >= 0.3
     pick = lambda missing, found, raw_: F.when(none, missing).when(hit, found).otherwise(raw_)
     names = names.select(

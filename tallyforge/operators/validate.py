@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
@@ -100,6 +100,62 @@ def validate_catalog(products: DataFrame, attributes: DataFrame) -> DataFrame:
     return own.unionByName(missing)
 
 
+#: What a message says of a number by the words in its attribute's name, in the order they are looked for.
+_RANGES = [
+    (("volt",), "Voltage must be strictly positive (> 0), got {}."), (("power",), "Power must be strictly positive (> 0), got {}."),
+    (("speed", "rpm"), "Speed must be non-negative (>= 0), got {}."), (("weight", "mass"), "Weight must be strictly positive (> 0), got {}."),
+    (("freq",), "Frequency must be strictly positive (> 0), got {}."), (("efficiency",), "Efficiency percentage must be between 0% and 100%, got {}."),
+]
+
+
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def _issue(cond: Column, kind: Column | str, severity: str, message: Column, expected: str, actual: Column) -> Column:
+    given = kind if isinstance(kind, Column) else F.lit(kind)
+    return F.when(cond, F.struct(given.alias("validation_type"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(expected).alias("expected"), actual.alias("actual")))
+
+
+def validation_issues(products: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(product_id, attribute_id, attribute_name, validation_type, severity, message, expected, actual): all that is wrong with a catalog.
+
+    ``attributes``: attribute_id, product_id, attribute_name, raw_value, unit, data_type, normalized_value, confidence, status.  Types:
+    invalid_unit, invalid_numeric_value, out_of_range (of numeric attributes), low_confidence, cross_attribute_conflict, and
+    missing_required_attribute, whose attribute_id is null.  One pass over the attributes; the category rules are a fixed table.
+    """
+    name = F.col("attribute_name")
+    own_unit = F.coalesce(V.blank_to_null(F.col("unit")), F.nullif(F.regexp_extract(F.trim("raw_value"), V.SPLIT_UNIT, 2), F.lit("")))
+    allowed = V.allowed_units(V.match_concept(name))
+    rows = check_ranges(attributes.withColumn("_checked", F.when(F.col("data_type") == "numeric", F.coalesce("normalized_value", "raw_value"))), value="_checked")
+    number = F.regexp_replace(F.trim("_checked"), ",", "").try_cast("double").cast("string")
+    key = F.regexp_replace(F.lower(name), " ", "_")
+    bounds = _text("Attribute '", name, "' value ", number, " is negative, which is unexpected.")
+    for words, said in reversed(_RANGES):
+        before, after = said.split("{}")
+        bounds = F.when(key.rlike("|".join(words)), _text(before, number, after)).otherwise(bounds)
+    unread = _text("Attribute '", name, "' value '", F.col("_checked"), "' cannot be parsed as a valid numeric number.")
+    percent = _text(F.bround(F.col("confidence") * 100, 0).cast("long").cast("string"), "%")
+    listed = _text("['", F.array_join(F.array_sort(allowed), "', '"), "']")
+    kind = F.col("range_issue")
+    found = F.array(
+        _issue(
+            own_unit.isNotNull() & ~F.array_contains(allowed, V.canonical_unit(own_unit)), "invalid_unit", "error",
+            _text("Incompatible unit '", own_unit, "' for attribute '", name, "'. Expected one of ", listed, "."), "Compatible unit", F.coalesce(V.blank_to_null(F.col("unit")), "raw_value"),
+        ),
+        _issue(kind.isNotNull(), kind, "error", F.when(kind == "out_of_range", bounds).otherwise(unread), "Valid positive numeric value", F.col("_checked")),
+        _issue(F.col("confidence") < 0.6, "low_confidence", "warning", _text("Attribute '", name, "' has low extraction confidence (", percent, ")."), "Confidence >= 60%", percent),
+        _issue(F.col("status") == "conflicting", "cross_attribute_conflict", "warning", _text("Attribute '", name, "' has conflicting source values that require human resolution."), "Single verified value", F.col("raw_value")),
+    )
+    own = rows.select("product_id", "attribute_id", "attribute_name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("product_id", "attribute_id", "attribute_name", "i.*")
+    field = F.col("field")
+    gone = missing_attributes(products, attributes).join(products.select("product_id", "category"), "product_id").select(
+        "product_id", F.lit(None).cast("long").alias("attribute_id"), field.alias("attribute_name"), F.lit("missing_required_attribute").alias("validation_type"), F.lit("error").alias("severity"),
+        _text("Required attribute '", field, "' is missing for category '", F.coalesce("category", F.lit("None")), "'.").alias("message"), _text("Present attribute '", field, "'").alias("expected"), F.lit("Missing").alias("actual"),
+    )
+    return own.unionByName(gone)
+
+
 def quality_scores(products: DataFrame, attributes: DataFrame, evidence: DataFrame, issues: DataFrame) -> DataFrame:
     """completeness, confidence, evidence coverage, health and trust in one score, and the status it gives."""
     att = attributes.join(evidence.select("attribute_id").distinct().withColumn("has_evidence", F.lit(1)), "attribute_id", "left")

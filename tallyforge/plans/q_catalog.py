@@ -87,11 +87,11 @@ def conflict_issues(spark, d):
     return _reconciled(spark, d).where("status = 'CONFLICTING'").select("product_id", "attribute_name", F.lit("cross_source_conflict").alias("validation_type"), F.col("winning_value").alias("expected"))
 
 
-_FIELDS = f"""{KEYED}, {X.RULES_SQL},
+FIELDS = f"""{KEYED}, {X.RULES_SQL},
 field AS (SELECT DISTINCT k.product_id, k.rule, r.field, r.is_required FROM keyed k JOIN rules r USING (rule)),
 have AS (SELECT DISTINCT a.product_id, r.field FROM attributes a JOIN (SELECT DISTINCT field, name FROM rules) r ON r.name = replace(lower(a.attribute_name), ' ', '_')),
 present AS (SELECT f.*, h.field IS NOT NULL AS present FROM field f LEFT JOIN have h ON h.product_id = f.product_id AND h.field = f.field)"""
-_COMPLETE = f"""{_FIELDS},
+_COMPLETE = f"""{FIELDS},
 shares AS (SELECT product_id, coalesce(count(*) FILTER (present AND is_required) / nullif(count(*) FILTER (is_required), 0), 1.0::DOUBLE) AS req,
   coalesce(count(*) FILTER (present AND NOT is_required) / nullif(count(*) FILTER (NOT is_required), 0), 1.0::DOUBLE) AS opt, count(*) FILTER (is_required) AS n_required FROM present GROUP BY 1),
 n AS (SELECT product_id, count(*) AS n FROM attributes GROUP BY 1),
@@ -99,7 +99,7 @@ complete AS (SELECT product_id, coalesce(n.n, 0) AS n, round_even(CASE WHEN n_re
   FROM products LEFT JOIN shares USING (product_id) LEFT JOIN n USING (product_id))"""
 
 
-@query("missing_attributes", "products claims attributes", f"WITH {_FIELDS} SELECT product_id, rule, field FROM present WHERE is_required AND NOT present")
+@query("missing_attributes", "products claims attributes", f"WITH {FIELDS} SELECT product_id, rule, field FROM present WHERE is_required AND NOT present")
 def missing_attributes(spark, d):
     return X.missing_attributes(C.products(spark, d), C.attributes(spark, d))
 
@@ -128,7 +128,7 @@ def range_check(spark, d):
     return X.check_ranges(rows).select("event_id", "range_issue")
 
 
-_VALID = f"""{_FIELDS}, a AS (SELECT *, {_UNIT} AS u FROM attributes),
+_VALID = f"""{FIELDS}, a AS (SELECT *, {_UNIT} AS u FROM attributes),
 found AS (SELECT product_id, attribute_name AS subject, 'invalid_unit' AS validation_type, 'error' AS severity FROM a WHERE u IS NOT NULL AND NOT {_FITS}
   UNION ALL SELECT product_id, attribute_name, 'low_confidence', 'warning' FROM a WHERE confidence < 0.6
   UNION ALL SELECT product_id, attribute_name, 'cross_source_conflict', 'warning' FROM a WHERE status = 'conflicting'

@@ -79,9 +79,9 @@ def test_part_list_from_csv(spark, tmp_path):
     assert sorted(map(tuple, I.read_part_list(spark, str(tmp_path), ["Num", "Desc"]).collect())) == [("A1", "drill"), ("B2", "")]
 
 
-@pytest.mark.parametrize(("raw", "name", "confidence"), [("Milwaukee Accessory (MILW)", "Milwaukee Accessory", 1.0), ("-- No Any Brand --", "Unknown Manufacturer", 0.0), (None, "Unknown Manufacturer", 0.0), ("Zed", "Zed", 0.1)])
+@pytest.mark.parametrize(("raw", "name", "confidence"), [("Milwaukee Accessory (MILW)", "Milwaukee Accessory", 1.0), ("-- Unbranded --", "Unknown Manufacturer", 0.0), ("-- No Such Brand --", "Unknown Manufacturer", 0.0), ("-- No Any Brand --", "-- No Any Brand --", 0.1), (None, "Unknown Manufacturer", 0.0), ("Zed", "Zed", 0.1)])
 def test_manufacturers(spark, raw, name, confidence):
-    got = K.match_manufacturers(spark.createDataFrame([(raw,)], "raw string"), "raw").first()
+    got = K.match_manufacturers(spark.createDataFrame([(raw,)], "raw string"), "raw", ["-- no such brand --"]).first()
     assert (got["manufacturer"], got["mfr_confidence"]) == (name, confidence)
 
 
