@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 
+
 def read_part_list(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The ``columns`` of a supplier's CSV with header; the first is the part number, and rows without one are left out.  Nulls become ''."""
     rows = spark.read.option("header", True).csv(path)
@@ -39,7 +40,8 @@ def dedupe_documents(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return keyed.join(least, "digest")
 
 
-EXTENSIONS = ["pdf", "docx", "xlsx", "pptx", "csv", "txt", "html", "png", "jpg"]
+# Extensions of documents that are taken.
+EXTENSIONS = ["pdf", "xlsx", "xls", "docx", "pptx", "csv", "txt", "html", "htm"]
 
 
 def gate_files(files: DataFrame, max_bytes: int = 50 << 20, extensions: list[str] | None = None) -> DataFrame:

@@ -36,3 +36,31 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears whole or not at all: written under another name, then renamed.  False if ``path`` is there already."""
+    final, fs = _fs(spark, path)
+    hidden, _ = _fs(spark, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
+    out = fs.create(hidden)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.exists(final) and fs.rename(hidden, final):
+        return True
+    fs.delete(hidden, False)
+    return False
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
+    """(name, bytes, is a folder) of what stands in a folder, by name; nothing if there is none."""
+    p, fs = _fs(spark, path)
+    return sorted((s.getPath().getName(), s.getLen(), s.isDirectory()) for s in fs.listStatus(p)) if fs.exists(p) else []

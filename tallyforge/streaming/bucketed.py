@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import delete
+from ..storage import delete, listed, publish, read_text
 
 
 class BucketedTable:
@@ -35,14 +35,9 @@ class BucketedTable:
     def _manifest(self, batch: int) -> str:
         return f"{self.path}/manifests/{batch:012d}.json"
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def batches(self) -> list[int]:
         """The batches that have a manifest, in order."""
-        p, fs = self._fs(f"{self.path}/manifests")
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        names = [n for n, _, _ in listed(self.spark, f"{self.path}/manifests")]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
     def live(self, batch: int | None = None) -> dict[int, list[str]]:
@@ -50,17 +45,7 @@ class BucketedTable:
         done = [b for b in self.batches() if batch is None or b <= batch]
         if not done:
             return {}
-        text = self.spark.read.text(self._manifest(done[-1]), wholetext=True).first()[0]
-        return {int(k): v for k, v in json.loads(text).items()}
-
-    def _publish(self, batch: int, live: dict[int, list[str]]) -> None:
-        """The manifest appears whole or not at all: it is written under another name and renamed."""
-        (hidden, fs), (final, _) = self._fs(f"{self.path}/manifests/_{uuid.uuid4().hex}"), self._fs(self._manifest(batch))
-        out = fs.create(hidden)
-        out.write(bytearray(json.dumps({str(k): v for k, v in sorted(live.items())}).encode()))
-        out.close()
-        if not fs.rename(hidden, final):
-            raise RuntimeError(f"batch {batch} of {self.path} was written by another job")
+        return {int(k): v for k, v in json.loads(read_text(self.spark, self._manifest(done[-1]))).items()}
 
     # ---- rows
 
@@ -99,19 +84,19 @@ class BucketedTable:
         new.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         for b in touched:
             live[b] = [*([] if b in full else live.get(b, [])), f"{name}/bucket={b}"]
-        self._publish(batch, live)
+        if not publish(self.spark, self._manifest(batch), json.dumps({str(k): v for k, v in sorted(live.items())})):
+            raise RuntimeError(f"batch {batch} of {self.path} was written by another job")
         return True
 
     def vacuum(self, keep: int = 2) -> int:
         """Deletes manifests but the last ``keep`` and the files that none of these names; returns how many folders went.  Not while a batch is written."""
         done = self.batches()
         held = {f for b in done[-keep:] for files in self.live(b).values() for f in files}
-        p, fs = self._fs(f"{self.path}/data")
         gone = []
-        for batch in fs.listStatus(p) if fs.exists(p) else []:
-            parts = [s.getPath() for s in fs.listStatus(batch.getPath()) if s.isDirectory()]
-            stale = [x.toString() for x in parts if f"data/{batch.getPath().getName()}/{x.getName()}" not in held]
-            gone += [batch.getPath().toString()] if len(stale) == len(parts) else stale
+        for batch, _, _ in listed(self.spark, f"{self.path}/data"):
+            parts = [n for n, _, folder in listed(self.spark, f"{self.path}/data/{batch}") if folder]
+            stale = [f"{self.path}/data/{batch}/{n}" for n in parts if f"data/{batch}/{n}" not in held]
+            gone += [f"{self.path}/data/{batch}"] if len(stale) == len(parts) else stale
         delete(self.spark, *gone, *[self._manifest(b) for b in done[:-keep]])
         return len(gone)
 
