@@ -56,6 +56,31 @@ def completeness(products: DataFrame, attributes: DataFrame) -> DataFrame:
     return out.select("product_id", "n", F.bround(score, 1).alias("completeness"))
 
 
+def completeness_details(products: DataFrame, attributes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(product_id, required_present, required_total, optional_present, optional_total, missing, evidence_coverage, completeness).
+
+    ``missing``: the required fields that a product lacks, in the order of its category's rules.  ``evidence_coverage``: the percentage of
+    its attribute names that ``evidence`` (product_id, attribute_name) has.  Names count once, whatever their case and spaces.
+    """
+    places = {(key, field): i for key, lists in L.CATEGORY_RULES.items() for i, field in enumerate(lists[0])}
+    place = F.create_map(*[x for (key, field), i in places.items() for x in (F.lit(f"{key}/{field}"), F.lit(i))])
+    fields = fields_present(products, attributes).withColumn("place", F.try_element_at(place, F.concat_ws("/", "rule", "field")))
+    of = lambda required, cond=None: F.count_if((F.col("is_required") == required) & (F.lit(True) if cond is None else cond))
+    absent = F.sort_array(F.collect_list(F.when(F.col("is_required") & ~F.col("present"), F.struct("place", "field"))))  # the fields of one category
+    here = F.col("present")
+    by_field = fields.groupBy("product_id").agg(of(True, here).alias("rp"), of(True).alias("rt"), of(False, here).alias("op"), of(False).alias("ot"), absent.alias("absent"))
+    named = lambda df: df.select("product_id", F.regexp_replace(F.trim(F.lower("attribute_name")), " ", "_").alias("name")).distinct()
+    held = named(attributes).join(named(evidence).withColumn("backed", F.lit(True)), ["product_id", "name"], "left").groupBy("product_id").agg(F.count("*").alias("n"), F.count("backed").alias("backed"))
+    out = products.select("product_id").join(by_field, "product_id", "left").join(held, "product_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n = zero("n")
+    score = F.when(zero("rt") > 0, F.col("rp") / F.col("rt") * 70 + F.when(F.col("ot") > 0, F.try_divide(F.col("op"), F.col("ot"))).otherwise(0.5) * 30).when(n == 0, 0.0).when(n >= 5, 100.0).otherwise(50.0 + 10.0 * n)
+    return out.select(
+        "product_id", zero("rp").alias("required_present"), zero("rt").alias("required_total"), zero("op").alias("optional_present"), zero("ot").alias("optional_total"),
+        F.coalesce(F.transform("absent", lambda x: x["field"]), F.array().cast("array<string>")).alias("missing"), F.bround(F.coalesce(F.try_divide(zero("backed") * 100.0, n), F.lit(0.0)), 1).alias("evidence_coverage"), F.bround(score, 1).alias("completeness"),
+    )
+
+
 def check_units(attributes: DataFrame) -> DataFrame:
     """(attribute_id, concept, unit, outcome): ok, invalid_unit, missing_unit, or null without a concept."""
     concept, unit = V.match_concept(F.col("attribute_name")), V.embedded_unit(F.col("raw_value"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import lookups as L
+from ..operators import scoring as S
 from ..operators import validate as X
 from . import catalog as C
 from .q_catalog import FIELDS
@@ -44,3 +47,37 @@ def validation_issues(spark, d):
 
 
 Q["validation_issues"] = (validation_issues, SQL)
+
+
+def completeness_details(spark, d):
+    """With the evidence of two attributes in three."""
+    a = C.attributes(spark, d)
+    out = X.completeness_details(C.products(spark, d), a, a.where("attribute_id % 3 <> 0").select("product_id", F.upper("attribute_name").alias("attribute_name")))
+    return out.withColumn("missing", F.array_join("missing", ","))
+
+
+_PLACES = "places(rule, field, place) AS (VALUES " + ", ".join(f"({L.sql_text(key)}, {L.sql_text(field)}, {i})" for key, lists in L.CATEGORY_RULES.items() for i, field in enumerate(lists[0])) + ")"
+Q["completeness_details"] = (completeness_details, C.with_views("products claims attributes", f"""WITH {FIELDS}, {_PLACES}, s AS (SELECT product_id, count(*) FILTER (is_required AND present) AS rp, count(*) FILTER (is_required) AS rt, count(*) FILTER (NOT is_required AND present) AS op, count(*) FILTER (NOT is_required) AS ot,
+  string_agg(CASE WHEN is_required AND NOT present THEN field END, ',' ORDER BY place) AS missing FROM present LEFT JOIN places USING (rule, field) GROUP BY 1), n AS (SELECT product_id, count(*) AS n, count(*) FILTER (attribute_id % 3 <> 0) AS b FROM attributes GROUP BY 1)
+SELECT product_id, coalesce(rp, 0) AS required_present, coalesce(rt, 0) AS required_total, coalesce(op, 0) AS optional_present, coalesce(ot, 0) AS optional_total, coalesce(missing, '') AS missing, round_even(coalesce(100.0 * b / n, 0)::DOUBLE, 1) AS evidence_coverage,
+  round_even(CASE WHEN rt > 0 THEN rp / rt * 70 + CASE WHEN ot > 0 THEN op / ot ELSE 0.5 END * 30 WHEN n IS NULL THEN 0 WHEN n >= 5 THEN 100 ELSE 50 + 10 * n END::DOUBLE, 1) AS completeness FROM products LEFT JOIN s USING (product_id) LEFT JOIN n USING (product_id)"""))
+
+
+def description_check(spark, d):
+    """Every whole text as a description, its lines as features, against a few words that are verified."""
+    lines = F.split("text", "\n")
+    rows = C.table(spark, d, "documents").select("doc_id", "text", F.expr("concat(doc_id, ' 10 24.5 IP65 ul listed ', source)").alias("verified"), lines.alias("features"), F.array("source").alias("applications"))
+    c = F.col("checked")
+    out = S.check_claims(rows, "text", "verified", "features", "applications")
+    return out.select("doc_id", c["valid"].alias("valid"), F.size(c["unsupported"]).cast("long").alias("n_unsupported"), c["supported"].alias("supported"), c["total"].alias("total"), F.size(c["clean_features"]).cast("long").alias("n_clean"), F.sha2(F.array_join(c["unsupported"], "|"), 256).alias("unsupported_sha256"))
+
+
+_NUMBER = "'\\b\\d+(?:\\.\\d+)?\\b'"
+_NAMED = "[" + ", ".join(f"'{r}'" for r in S.RATINGS) + "]"
+Q["description_check"] = (description_check, f"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS said, lower(doc_id || ' 10 24.5 IP65 ul listed ' || source) AS own, string_split(text, chr(10)) AS features FROM documents),
+n AS (SELECT *, regexp_extract_all(said, {_NUMBER}) AS ns, regexp_extract_all(own, {_NUMBER}) AS known FROM d),
+w AS (SELECT *, list_filter(ns, lambda x: NOT list_contains(known, x)) AS wrong, list_filter({_NAMED}, lambda r: contains(said, r) AND NOT contains(own, r)) AS named,
+  coalesce(list_filter(list_transform(features, lambda f: {{'f': f, 'n': list_filter(regexp_extract_all(lower(f), {_NUMBER}), lambda x: NOT list_contains(known, x))[1]}}), lambda s: s.n IS NOT NULL), []) AS bad, coalesce(len(features), 0) AS nf FROM n),
+t AS (SELECT *, list_concat(list_concat(list_transform(wrong, lambda x: 'Unsupported numeric spec claim: ''' || x || ''' found in description.'), list_transform(named, lambda r: 'Unsupported certification/rating claim: ''' || r || ''' in AI text.')),
+  list_transform(bad, lambda s: 'Unsupported feature claim: ''' || s.f || ''' contains unverified number ''' || s.n || '''.')) AS told FROM w)
+SELECT doc_id, len(told) = 0 AS valid, len(told) AS n_unsupported, len(ns) - len(wrong) + nf - len(bad) + 1 AS supported, greatest(1, len(ns) + len(named) + nf + 1) AS total, nf - len(bad) AS n_clean, sha256(array_to_string(told, '|')) AS unsupported_sha256 FROM t""")
