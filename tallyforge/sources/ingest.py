@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..storage import stored
 
 
 def read_part_list(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -116,6 +117,10 @@ def page_corpus(documents: DataFrame) -> DataFrame:
     return out.withColumn("corpus", F.array_join("pages", " "))
 
 
+#: Claims of a document that are held against its pages in one row.
+CLAIMS_A_ROW = 512
+
+
 def verify_claims(claims: DataFrame, documents: DataFrame) -> DataFrame:
     """``claims`` (document_id, extraction_method, raw_value, evidence_text, page_number, ...) with ``evidence_verified``, held against
     ``documents`` (document_id, pages: text and, where they have them, tables of headers and rows).
@@ -123,33 +128,49 @@ def verify_claims(claims: DataFrame, documents: DataFrame) -> DataFrame:
     deterministic: the value stands in the document, spaces aside, or else its first number does.  llm: the quote, or four fifths of
     its two or more words, stands on the claimed page or else on the first page that has it, whose number the claim then takes; a claim
     without a quote, or with one that is found nowhere, becomes llm_inference.  llm_inference and other methods: not verified.
-    A document is a row, so the join is n:1; a claim whose document is missing is held against no text.
+
+    A document is a row.  Its claims are gathered first, some CLAIMS_A_ROW to a row, so its pages are copied once for so many claims and
+    cleaned once for them; a document with a third of all claims is many such rows.  A claim whose document is missing, or null, is held against no text.
     """
-    none = F.array().cast("array<string>")
     clean = lambda x: F.trim(V.normalize_text(F.coalesce(x, F.lit(""))))
-    text = _page_text(documents)
-
-    docs = documents.select(F.col("document_id").alias("_doc"), F.transform("pages", text).alias("_pages"))
-    both = claims.join(docs, F.col("document_id") == F.col("_doc"), "left").withColumns({"_pages": F.coalesce("_pages", none), "_q": clean(F.col("evidence_text")), "_raw": clean(F.col("raw_value"))})
-    both = both.withColumn("_words", F.filter(F.split("_q", r"[|\s.,;\-():/]+"), lambda t: F.length(t) >= 2))
-
-    def holds(page):
-        found = F.size(F.filter("_words", lambda t: F.contains(page, t)))
-        return F.contains(page, F.col("_q")) | ((F.size("_words") >= 2) & (found >= 0.8 * F.size("_words")))
-
-    claimed = F.when(F.col("page_number") >= 1, F.get("_pages", (F.col("page_number") - 1).cast("int")))
-    first = F.array_position(F.transform("_pages", holds), True)
-    page = F.when(F.coalesce(holds(claimed), F.lit(False)), F.col("page_number")).when(first > 0, first)
-    page = F.when((F.col("extraction_method") == "llm") & (F.col("_q") != ""), page)
-    corpus, number = F.array_join("_pages", " "), F.regexp_extract("_raw", r"\d+(?:\.\d+)?", 0)
     bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    stands = (F.col("_raw") != "") & (F.contains(corpus, F.col("_raw")) | F.contains(bare(corpus), bare(F.col("_raw"))))
-    stands = stands | ((number != "") & F.contains(corpus, number))
-    out = both.withColumn("_page", page.cast("long"))
-    method = F.when((F.col("extraction_method") == "llm") & F.col("_page").isNull(), "llm_inference").otherwise(F.col("extraction_method"))
-    verified = F.when(F.col("extraction_method") == "deterministic", stands).otherwise(F.col("_page").isNotNull())
-    new = {"extraction_method": method, "page_number": F.coalesce("_page", "page_number")}
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in claims.columns], verified.alias("evidence_verified"))
+    none = F.array().cast("array<string>")
+    q, raw = clean(F.col("evidence_text")), clean(F.col("raw_value"))
+    own = F.struct(
+        F.struct(*[F.col(f"`{c}`") for c in claims.columns]).alias("row"), q.alias("q"), raw.alias("raw"),
+        F.filter(F.split(q, r"[|\s.,;\-():/]+"), lambda t: F.length(t) >= 2).alias("words"), F.regexp_extract(raw, r"\d+(?:\.\d+)?", 0).alias("number"),
+    )
+    dealt = stored(claims.select(F.col("document_id").alias("doc"), own.alias("claim"), F.monotonically_increasing_id().alias("at")), "claims")
+    sizes = dealt.groupBy("doc").agg(F.ceil(F.count("*") / CLAIMS_A_ROW).alias("parts")).select(F.col("doc").alias("counted"), "parts")
+    rows = dealt.join(sizes, F.col("doc").eqNullSafe(F.col("counted"))).select("doc", "claim", F.pmod(F.xxhash64("at"), F.col("parts")).alias("part"))
+    held = rows.groupBy("doc", "part").agg(F.collect_list("claim").alias("claims"))
+    text = _page_text(documents)
+    both = held.join(documents.select(F.col("document_id").alias("of"), "pages"), F.col("doc") == F.col("of"), "left")
+    pages = F.coalesce(F.transform("pages", text), none)
+
+    def judge(d: Column) -> Column:
+        def one(c: Column) -> Column:
+            def holds(page: Column) -> Column:
+                found = F.size(F.filter(c["words"], lambda t: F.contains(page, t)))
+                return F.contains(page, c["q"]) | ((F.size(c["words"]) >= 2) & (found >= 0.8 * F.size(c["words"])))
+
+            number = c["row"]["page_number"]
+            claimed = F.when(number >= 1, F.get(d["pages"], (number - 1).cast("int")))
+            first = F.array_position(F.transform(d["pages"], holds), True)
+            page = F.when(F.coalesce(holds(claimed), F.lit(False)), number).when(first > 0, first).cast("long")
+            page = F.when((c["row"]["extraction_method"] == "llm") & (c["q"] != ""), page)
+            stands = (c["raw"] != "") & (F.contains(d["corpus"], c["raw"]) | F.contains(d["bare"], bare(c["raw"])))
+            stands = F.when(c["row"]["extraction_method"] == "deterministic", stands | ((c["number"] != "") & F.contains(d["corpus"], c["number"])))
+            return F.struct(c["row"].alias("row"), page.alias("page"), stands.alias("stands"))
+
+        return F.transform(d["claims"], one)
+
+    corpus = lambda p: F.array_join(p, " ")
+    whole = V.let(F.struct(pages.alias("pages"), F.col("claims").alias("claims")), lambda d: V.let(F.struct(d["pages"].alias("pages"), corpus(d["pages"]).alias("corpus"), bare(corpus(d["pages"])).alias("bare"), d["claims"].alias("claims")), judge))
+    out = both.select(F.explode(whole).alias("x")).select("x.row", "x.page", "x.stands")
+    method = F.col("row.extraction_method")
+    new = {"extraction_method": F.when((method == "llm") & F.col("page").isNull(), "llm_inference").otherwise(method), "page_number": F.coalesce("page", "row.page_number")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in claims.columns], F.when(method == "deterministic", F.col("stands")).otherwise(F.col("page").isNotNull()).alias("evidence_verified"))
 
 
 def hash_vectors(rows: DataFrame, id_col: str, text: str, dims: int = 384) -> DataFrame:

@@ -58,3 +58,24 @@ def test_a_delivery_comes_back_and_its_faults_are_found(spark):
     empty = fresh_path(spark, "delivery")
     S.write_delivery(rows.where("false"), empty, header)
     assert S.read_delivery(spark, empty).count() == 0
+
+
+def test_a_document_of_many_claims(spark, monkeypatch):
+    """10,000 claims of one document, with and without its text; the pages are joined once for so many claims."""
+    from tallyforge.sources import ingest as I
+
+    monkeypatch.setattr(I, "CLAIMS_A_ROW", 300)
+    pages = [f"page {i} says value {i * 7} volts and item{i} here" for i in range(20)]
+    docs = spark.createDataFrame([(1, [{"text": p} for p in pages]), (2, [])], "document_id long, pages array<struct<text:string>>")
+    claims = spark.range(10_000).selectExpr("if(id % 100 = 99, null, if(id % 10 = 0, 2, 1)) AS document_id", "id AS row", "if(id % 2 = 0, 'llm', 'deterministic') AS extraction_method", "cast(id % 150 AS string) AS raw_value", "concat('item', id % 25, ' here') AS evidence_text", "1L AS page_number")
+    got = {r["row"]: r for r in I.verify_claims(claims, docs).collect()}
+    assert len(got) == 10_000
+    corpus = " ".join(pages)
+    for i in range(10_000):
+        here, r = i % 100 != 99 and i % 10 != 0, got[i]
+        if i % 2:
+            assert r["evidence_verified"] == (here and str(i % 150) in corpus.replace(" ", "")) and r["page_number"] == 1
+        else:
+            found = here and i % 25 < 20
+            assert (r["extraction_method"], r["evidence_verified"]) == (("llm", True) if found else ("llm_inference", False)), i
+            assert not found or r["page_number"] == (i % 25) + 1
