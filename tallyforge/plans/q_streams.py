@@ -85,9 +85,9 @@ def stream_latest_status(spark, d):
 
 
 def stream_reconcile(spark, d):
-    """All claims in some eight batches, reconciled as they come with the confidence of the catalog's attributes; in the end as if all had been there at once."""
+    """All claims in some four batches, reconciled as they come with the confidence of the catalog's attributes; in the end as if all had been there at once."""
     path, claims = _folder(spark), C.claims(spark, d)
-    claims.repartition(8, "source_id").write.parquet(f"{path}/new")
+    claims.repartition(4, "source_id").write.parquet(f"{path}/new")
     stream = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/new")
     kept = S.ReconciledStream(spark, path, claims.schema, declared(spark, d), buckets=8)
     kept.start(stream, f"{path}/state").awaitTermination()
