@@ -46,7 +46,7 @@ def reconcile(claims: DataFrame, attributes: DataFrame | None = None) -> DataFra
     known = F.lit(1.0)
     if attributes is not None:
         own = attributes.select(*KEY, F.col("raw_value").alias("own_value"), F.col("confidence").alias("own"))
-        one = one.join(own, KEY, "full")
+        one = one.join(own.hint("merge"), KEY, "full")  # a filter on the result can turn it into a left join; the catalog isn't for broadcasting
         known = F.coalesce("own", F.lit(1.0))
         one = one.withColumns({"n_claims": F.coalesce("n_claims", F.lit(1).cast("long")), "trust": F.coalesce("w.trust", F.lit(1.0)), "winning_value": F.when(F.col("n_sources").isNull(), F.col("own_value")).otherwise(F.col("w.raw_value"))})
     else:

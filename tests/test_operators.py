@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import values as V
 from tallyforge.operators import maintain as M
 from tallyforge.operators import match as K
+from tallyforge.operators import reconcile as R
 from tallyforge.operators import validate as X
 from tallyforge.sources import ingest as I
 
@@ -112,3 +113,11 @@ def test_reconcile_standardises_units_and_counts_the_attributes_confidence(spark
     assert got == {"weight": ("EQUIVALENT", 0.95, "10 pounds"), "length": ("EQUIVALENT", 0.95, "5 millimeter"), "speed": ("MISSING", 0.4, "100 RPM"), "model": ("MISSING", 0.7, "X")}
     assert {r["attribute_name"]: r["confidence"] for r in reconcile(claims).collect()}["speed"] == 0.8
     assert reconcile(claims.limit(0), own).count() == 2
+
+
+def test_reconcile_broadcasts_no_catalog(spark):
+    claims = spark.createDataFrame([(1, "power", 1, "10 W", 0.9), (1, "power", 2, "99 W", 0.8)], "product_id long, attribute_name string, source_id long, raw_value string, trust double")
+    own = spark.createDataFrame([(1, "power", "x", 0.5), (2, "power", "y", 0.5)], "product_id long, attribute_name string, raw_value string, confidence double")
+    got = R.reconcile(claims, own).where("status = 'CONFLICTING'").select("product_id", "winning_value")
+    assert [tuple(r) for r in got.collect()] == [(1, "10 W")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
