@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+# Letters whose capitals are several characters, with the one that stands for them: ẞ, a capital with iota, or the letter itself.
+_SEVERAL = [chr(c) for c in range(0x10000) if len(chr(c).upper()) > 1]
+#: Letters that got a capital with Unicode 16 stay too, whatever the JVM knows.
+CAPITALS: dict[str, str] = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _SEVERAL} | {c: c for c in "\u019b\u0264\u1c8a\ua7cd\ua7db"}
+
 # Unit spellings of the value normaliser (None: a known word that is no unit).
 UNIT_ALIASES: dict[str, str | None] = {
     "volt": "V", "volts": "V", "vac": "V",

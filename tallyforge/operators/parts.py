@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+
 
 def record_flags(records: DataFrame, mobile: str, brand: str, class_confidence: str, completeness: str) -> DataFrame:
     """``records`` with ``flags`` and ``needs_review``: description length, blank brand, weak class path, incomplete."""
@@ -49,7 +51,7 @@ def accuracy_by_column(diff: DataFrame, n_worst: int = 15) -> DataFrame:
 
 
 def invoice_violations(rows: DataFrame, column: str) -> DataFrame:
-    return rows.withColumn("too_long", F.length(column) > 40).withColumn("not_upper", F.col(column) != F.upper(column))
+    return rows.withColumn("too_long", F.length(column) > 40).withColumn("not_upper", F.col(column) != V.capitals(F.col(column)))
 
 
 def compliance(rows: DataFrame, invoice: str, header: list[str]) -> DataFrame:

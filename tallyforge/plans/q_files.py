@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators import parts as PT
 from ..sources import files as S
 from ..storage import fresh_path
@@ -43,7 +44,7 @@ Q["delivery_files"] = (delivery_files, LISTINGS["delivery_export"][1])
 def delivery_compliance(spark, d):
     """Every document's text as a description in a delivery of two columns, a third of them cut to 40 characters in capitals, judged from the files."""
     path = fresh_path(spark, "delivery")
-    v = F.when(F.col("doc_id") % 3 == 2, F.substring(F.upper("text"), 1, 40)).otherwise(F.col("text"))
+    v = F.when(F.col("doc_id") % 3 == 2, F.substring(V.capitals(F.col("text")), 1, 40)).otherwise(F.col("text"))
     S.write_delivery(C.table(spark, d, "documents").select("doc_id", v.alias("description")), path, ["doc_id", "description", "note"])
     back = S.read_delivery(spark, path)
     faults = S.delivery_faults(spark, path, ["doc_id", "description", "note"]).count()

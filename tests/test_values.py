@@ -71,3 +71,21 @@ def test_completeness_of_a_motor(spark):
     attributes = spark.createDataFrame([(1, "rated voltage"), (1, "power"), (2, "x")], "product_id long, attribute_name string")
     got = {r["product_id"]: r["completeness"] for r in X.completeness(products, attributes).collect()}
     assert got == {1: 46.7, 2: 60.0, 3: 0.0}
+
+
+def test_capitals_are_those_of_the_sql(spark):
+    import duckdb
+
+    texts = ["Straße ﬁn ŉ", "ßß", "ß", "", "aßb", "abc", None] + ["".join(map(chr, range(max(i, 1), i + 1024))) for i in range(0, 0xD800, 1024)]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(V.capitals(F.col("t"))).collect()]
+    want = [duckdb.execute("SELECT upper(?)", [t]).fetchall()[0][0] for t in texts]
+    assert got[:7] == ["STRAẞE ﬁN ŉ", "ẞẞ", "ẞ", "", "AẞB", "ABC", None] and got[:7] == want[:7]
+    assert [len(t) for t in got[7:]] == [1024] * 54 or [len(t) for t in got[7:]] == [1023] + [1024] * 53
+    assert [(a, b) for x, y in zip(got[7:], want[7:]) for a, b in zip(x, y) if a != b] == []
+
+
+def test_invoices_with_letters_of_two_capitals(spark):
+    from tallyforge.operators import parts as PT
+
+    rows = spark.createDataFrame([(1, "STRAẞE"), (2, "x" * 39 + "ß"), (3, None)], "id long, v string").withColumn("v", F.when(F.col("id") == 2, V.capitals(F.col("v"))).otherwise(F.col("v")))
+    assert [(r["id"], r["too_long"], r["not_upper"]) for r in PT.invoice_violations(rows, "v").collect()] == [(1, False, False), (2, False, False), (3, None, None)]
