@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..storage import stored
@@ -174,11 +180,31 @@ def verify_claims(claims: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def hash_vectors(rows: DataFrame, id_col: str, text: str, dims: int = 384) -> DataFrame:
-    """(id, vector): a deterministic unit vector of each text from salted digests, 16 values a digest; zeros for empty texts."""
-    digests = F.transform(F.sequence(F.lit(0), F.lit((dims + 15) // 16 - 1)), lambda i: F.sha2(F.concat_ws(":", F.col(text), i.cast("string")), 256))
-    hexes = F.array_join(digests, "")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(F.col("_h"), i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65535.0 - 0.5)
-    out = rows.withColumn("_h", hexes).withColumn("_v", raw)
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, v: s + v * v))
-    vector = F.when(F.coalesce(F.col(text), F.lit("")) == "", F.array_repeat(F.lit(0.0), dims)).otherwise(F.transform("_v", lambda v: v / F.col("_n")))
-    return out.withColumn("_n", norm).select(id_col, vector.alias("vector"))
+    """(id, vector): a deterministic unit vector of each text from salted digests, 16 values a digest; zeros for empty texts.
+
+    A text is hashed once; each salt goes on from there.
+    """
+    schema = T.StructType([rows.schema[id_col], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = [str(i).encode() for i in range((dims + 15) // 16)]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                v = np.zeros((batch.num_rows, dims))
+                for i, x in enumerate(batch.column(1).to_pylist()):
+                    if x:
+                        begun = hashlib.sha256(x.encode() + b":")
+                        digests = []
+                        for salt in salts:
+                            one = begun.copy()
+                            one.update(salt)
+                            digests.append(one.digest())
+                        v[i] = np.frombuffer(b"".join(digests), ">u2")[:dims] / 65535.0 - 0.5
+                n = np.sqrt((v * v).sum(1, keepdims=True))
+                v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+                ends = pa.array(np.arange(len(v) + 1) * dims, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=schema.names)
+
+    return rows.select(id_col, text).mapInArrow(run, schema)
+

@@ -46,3 +46,17 @@ def test_stream_dedupe_keeps_a_content_once_a_day(spark):
     got = QUERIES["stream_dedupe"](spark, "/root/testdata/sf0.001").toPandas()
     assert len(got) and got["content_hash"].nunique() == got["content"].nunique()
     assert (got.groupby("content").size() <= 31).all()
+
+
+def test_a_text_is_hashed_once_for_all_salts(spark):
+    import hashlib
+
+    import numpy as np
+
+    from tallyforge.sources.ingest import hash_vectors
+
+    got = hash_vectors(spark.createDataFrame([(1, "héllo"), (2, ""), (3, None)], "id long, t string"), "id", "t", dims=40)
+    assert "sha2" not in got._jdf.queryExecution().optimizedPlan().toString()
+    v = np.frombuffer(b"".join(hashlib.sha256(f"héllo:{i}".encode()).digest() for i in range(3)), ">u2")[:40] / 65535 - 0.5
+    rows = {r["id"]: r["vector"] for r in got.collect()}
+    assert np.allclose(rows[1], v / np.linalg.norm(v)) and rows[2] == rows[3] == [0.0] * 40
