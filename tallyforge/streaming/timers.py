@@ -30,8 +30,8 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 
 
 class Runs(StatefulProcessor):
-    """The open runs of a job: steps less than ``gap`` microseconds apart.  A run has a timer at its end; when the watermark passes
-    it, nothing can join the run any more, so it is written and forgotten.
+    """The open runs of a job: steps less than ``gap`` microseconds apart.  When the watermark passes a run's end, nothing can join the run
+    any more, so it is written and forgotten.  A job has one timer, at the first end of its runs.
 
     Steps out of order join or link runs as long as they aren't later than the watermark; later ones never arrive here.
     """
@@ -48,7 +48,7 @@ class Runs(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = sorted(tuple(r) for r in self.runs.get()) if self.runs.exists() else []
-        old = {self._timer(r[1]) for r in held}
+        old = min((self._timer(r[1]) for r in held), default=None)
         for frame in rows:
             held += [(t, t, 1) for t in frame["us"].tolist()]
         held.sort()
@@ -60,20 +60,21 @@ class Runs(StatefulProcessor):
             else:
                 runs.append((first, last, steps))
         self.runs.put(runs)
-        new = {self._timer(r[1]) for r in runs}
-        for t in old - new:
-            self.handle.deleteTimer(t)
-        for t in new - old:
-            self.handle.registerTimer(t)
-        yield pd.DataFrame({self.key: [], "active_from": [], "stale_at": [], "steps": []})
+        new = min(self._timer(r[1]) for r in runs)
+        if new != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+        yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         held = sorted(tuple(r) for r in self.runs.get()) if self.runs.exists() else []
         over = [r for r in held if self._timer(r[1]) <= due]
         left = [r for r in held if self._timer(r[1]) > due]
         if left:
             self.runs.put(left)
+            self.handle.registerTimer(min(self._timer(r[1]) for r in left))
         else:
             self.runs.clear()
         yield pd.DataFrame({self.key: [key[0]] * len(over), "active_from": [r[0] for r in over], "stale_at": [r[1] + self.gap for r in over], "steps": [r[2] for r in over]})

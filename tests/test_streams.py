@@ -101,3 +101,49 @@ def test_an_empty_table_and_batch(spark):
     assert kept.results.read().count() == 0
     kept.take(spark.createDataFrame([], CLAIMS), 0)
     assert kept.results.read().count() == 0 and kept.results.batches() == [0]
+
+
+def test_a_job_has_one_timer():
+    import pandas as pd
+
+    from tallyforge.streaming.timers import Runs
+
+    class Held:
+        rows: list = []
+        timers: set = set()
+
+        def getListState(self, *_):
+            return self
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    held, runs = Held(), Runs(2000, "job_id")
+    runs.init(held)
+    list(runs.handleInputRows(("a",), iter([pd.DataFrame({"us": [50_000, 1000, 100_000, 2500]})]), None))
+    assert held.timers == {5} and len(held.rows) == 3  # 2500 and 2000 more, in whole ms
+    list(runs.handleInputRows(("a",), iter([pd.DataFrame({"us": [4000]})]), None))
+    assert held.timers == {6}
+    held.timers.remove(6)
+    out = pd.concat(runs.handleExpiredTimer(("a",), Now(60), Now(6)))
+    assert out[["active_from", "stale_at", "steps"]].values.tolist() == [[1000, 6000, 3], [50_000, 52_000, 1]]
+    assert held.timers == {102} and held.rows == [(100_000, 100_000, 1)]
