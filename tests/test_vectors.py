@@ -72,3 +72,22 @@ def test_edge_cases(spark):
     assert got == sorted([(1, 1, 1.0, 1), (1, 2, 1.0, 2), (2, 4, 1.0, 1), (2, 1, 0.0, 2), (3, 1, 0.0, 1), (3, 2, 0.0, 2)])
     none = v.where("false")
     assert X.search(X.build_index(none), q, 2).count() == 0 and X.search(X.build_index(v), q.where("false"), 2).count() == 0
+
+
+def test_topk_meets_in_blocks_and_is_exact(spark):
+    import numpy as np
+
+    from tallyforge.operators.match import vector_topk
+
+    x = np.random.default_rng(1).normal(size=(300, 8))
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    q = v.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding", "if(vec_id % 100 = 0, label, null) AS label")
+    got = vector_topk(v, q, 4)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for i in range(0, 300, 50):
+        s = np.round(u @ u[i], 6)
+        ids = [j for j in np.lexsort((np.arange(300), -s)) if i % 100 or j % 3 == i % 3][:4]
+        assert [r["vec_id"] for r in sorted(got.where(f"query_id = {i}").collect(), key=lambda r: r["rank"])] == ids
