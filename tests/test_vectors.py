@@ -91,3 +91,13 @@ def test_topk_meets_in_blocks_and_is_exact(spark):
         s = np.round(u @ u[i], 6)
         ids = [j for j in np.lexsort((np.arange(300), -s)) if i % 100 or j % 3 == i % 3][:4]
         assert [r["vec_id"] for r in sorted(got.where(f"query_id = {i}").collect(), key=lambda r: r["rank"])] == ids
+
+
+def test_exact_neighbours_send_a_query_once_a_block(spark, monkeypatch):
+    from tallyforge.operators import vectors as X
+    from tallyforge.plans.queries import QUERIES
+
+    made, build = [], X.build_index
+    monkeypatch.setattr(X, "build_index", lambda *a, **k: made.append(build(*a, **k)) or made[-1])
+    QUERIES["vector_neighbors_exact"](spark, "/root/testdata/sf0.001")
+    assert [len(i.centroids) for i in made] == [1]
