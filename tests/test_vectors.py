@@ -101,3 +101,31 @@ def test_exact_neighbours_send_a_query_once_a_block(spark, monkeypatch):
     monkeypatch.setattr(X, "build_index", lambda *a, **k: made.append(build(*a, **k)) or made[-1])
     QUERIES["vector_neighbors_exact"](spark, "/root/testdata/sf0.001")
     assert [len(i.centroids) for i in made] == [1]
+
+
+@pytest.mark.parametrize("probes", [None, 6])
+def test_a_query_is_sent_once_a_cell_and_a_vector_once_a_deal(spark, monkeypatch, probes):
+    """64 lists and half of all vectors the same, cut over cells: what is sent doesn't grow with the lists."""
+    monkeypatch.setattr(X, "ROWS", 16)
+    monkeypatch.setattr(X, "QUERIES", 16)
+    rng = np.random.default_rng(3)
+    v, labels = rng.normal(size=(512, 8)), [int(x) for x in rng.integers(0, 3, 512)]
+    v[256:] = v[0]
+    wanted = [labels[i] if i % 2 else None for i in range(512)]
+    q, index = _frame(spark, v, wanted, "query_id"), X.build_index(_frame(spark, v, labels), lists=64)
+    cells = X._cells(index, 5)
+    asked = X._asked(index, cells, q, probes or 64)
+    assert len(cells.places) <= X.SHARES and asked.groupBy("query_id", "cell").count().where("count > 1").isEmpty() and asked.count() <= 512 * X.SHARES
+    got = _rows(X.search(index, q, 5, probes))
+    if probes is None:
+        assert got == sorted((a, b, round(float(s), 6), r) for a, b, s, r in _brute(v, v, 5, labels, wanted))
+    else:
+        c = index.centroids
+        mine, near = (X.unit(v.astype(np.float32).astype(float)) @ c.T).argmax(1), np.argsort(-(X.unit(v.astype(np.float32).astype(float)) @ c.T), axis=1)[:, :probes]
+        every = _brute(v, v, 512, labels, wanted)
+        seen, left = [], {i: 0 for i in range(512)}
+        for a, b, s, _ in every:
+            if mine[b] in near[a] and left[a] < 5:
+                left[a] += 1
+                seen.append((a, b, round(float(s), 6), left[a]))
+        assert got == sorted(seen)
