@@ -68,3 +68,19 @@ def test_audit_shows_what_changed_with_both_states(spark):
     text = lambda c: H.as_text(F.col(c), list(FIELDS)).alias(c)
     got = H.audit_log(old, new, "k", list(FIELDS)).select("k", "action", "changed_fields", text("before"), text("after")).orderBy("k").collect()
     assert [tuple(r) for r in got] == [(2, "updated", ["a", "c"], "a=6,c=null", "a=null,c=2.0"), (3, "deleted", ["a", "b", "c"], "a=7,b=z,c=1.0", ""), (4, "created", ["a", "b", "c"], "", "a=8,b=w,c=null")]
+
+
+def test_versions_take_one_window_where_no_key_is_hot(spark, monkeypatch):
+    """Keys that a task can hold are neither dealt by ranges nor stored, and a log is read once for the states as of a version."""
+    kept, put = [], H.stored
+    monkeypatch.setattr(H, "stored", lambda df, name: kept.append(name) or put(df, name))
+    rng = random.Random(7)
+    rows = [(k, t, rng.choice([1, 2, None]), rng.choice(["x", "y"]), None) for k in range(100) for t in range(12)]
+    log = H.version_log(spark.createDataFrame(rows, "k long, t long, a long, b string, c double"), "k", ["t"], list(FIELDS), 3)
+    assert kept == ["hot"] and log._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+    want = _replay(rows, 3)
+    assert sorted((r["k"], r["version_number"], r["t"], r["is_full"], r["changed_fields"]) for r in log.select("*", "at.t").collect()) == sorted((*w[:4], w[5]) for w in want)
+    got = H.state_as_of(log, spark.createDataFrame([(k, 5) for k in range(100)], "k long, as_of long"), "k", FIELDS)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+    last = {w[0]: w for w in want if w[1] <= 5}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(k, 5, w[1], *w[6].values()) for k, w in last.items()], key=str)
