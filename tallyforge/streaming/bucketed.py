@@ -66,14 +66,16 @@ class BucketedTable:
         """The table, or the rows of some buckets, now or as of a batch.  Only their files are opened."""
         return self.fold(self._rows(self.files(buckets, batch)))
 
-    def append(self, batch: int, rows: DataFrame) -> bool:
+    def append(self, batch: int, rows: DataFrame, touched: list[int] | None = None) -> bool:
         """Adds the rows of a batch; false, and nothing is written, if its manifest is there, as when a batch is replayed.
+        ``touched``: the buckets of ``rows`` where they are known, so that ``rows`` are computed once.
 
         A batch of a hot key is split over files by its size.  Buckets with ``most_files`` folders are written anew, folded.
         """
         if batch in self.batches():
             return False
-        live, touched = self.live(), self.touched(rows)
+        live = self.live()
+        touched = self.touched(rows) if touched is None else touched
         full = [b for b in touched if len(live.get(b, [])) + 1 > self.most_files]
         name = f"data/batch={batch}-{uuid.uuid4().hex[:8]}"
         new = rows.select(*[f.name for f in self.schema.fields[:-1]]).withColumn("batch", F.lit(batch).cast("long"))

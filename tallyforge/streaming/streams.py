@@ -66,11 +66,12 @@ class ReconciledStream:
         self.results = BucketedTable(spark, f"{path}/reconciled", result, R.KEY, last_of(R.KEY, "batch"), buckets, most_files)
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
-        self.claims.append(batch_id, batch)
+        touched = self.claims.touched(batch)
+        self.claims.append(batch_id, batch, touched)
         keys = batch.select(*R.KEY).distinct()
-        held = self.claims.read(self.claims.touched(batch), batch_id).drop("batch").join(keys, R.KEY, "left_semi")
+        held = self.claims.read(touched, batch_id).drop("batch").join(keys, R.KEY, "left_semi")
         known = None if self.attributes is None else self.attributes.join(keys, R.KEY, "left_semi")
-        self.results.append(batch_id, R.reconcile(held, known))
+        self.results.append(batch_id, R.reconcile(held, known), touched)  # a row for each of the batch's keys, in the same buckets
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         return stream.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
