@@ -71,3 +71,13 @@ def test_open_rows_alone_get_vector_candidates(spark):
     assert (got[12]["method"], got[12]["confidence"], got[12]["candidates"]) == ("none", 1.0, [])  # all hits are of its brand with another sku
     assert got[13]["method"] == "vector_candidates" and got[13]["review"] and [c["product_id"] for c in got[13]["candidates"]] == [3, 1]
     assert (got[14]["method"], got[14]["confidence"]) == ("none", 1.0)
+
+
+def test_keys_are_matched_without_the_driver(spark):
+    """No side is broadcast, small as it may look."""
+    from tallyforge.operators.match import resolve_entities
+
+    rows = spark.createDataFrame([(1, "A-1", "m", "b", "n"), (2, None, "m", "b", "n"), (3, None, None, "c", "n")], "product_id long, sku string, model string, brand string, product_name string")
+    got = resolve_entities(rows.selectExpr("product_id + 10 AS incoming_id", "sku", "model", "brand", "product_name"), rows)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(11, 1, "exact_sku_brand", 1.0), (12, 1, "model_brand", 0.95), (13, 3, "name_brand", 0.9)]
