@@ -53,16 +53,27 @@ def attributes_from_json(rows: DataFrame, raw: str) -> DataFrame:
     return out.where("name is not null and name <> ''").drop(raw)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there: within functions over lists nothing else sees to that."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _as_text(value: Column) -> Column:
     """Strings as they are, True and False, other values as JSON."""
-    kind = F.schema_of_variant(value)
-    return F.when(kind == "STRING", value.cast("string")).when(kind == "BOOLEAN", F.initcap(F.to_json(value))).otherwise(F.to_json(value))
+
+    def of(x: Column) -> Column:
+        return F.when(x["kind"] == "STRING", x["v"].cast("string")).when(x["kind"] == "BOOLEAN", F.initcap(F.to_json(x["v"]))).otherwise(F.to_json(x["v"]))
+
+    return _once(value, lambda v: _once(F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")), of))
 
 
 def _words(value: Column) -> Column:
     """A variant as text: as ``_as_text``; null where there is none or it says nothing (false, 0, '', empty)."""
-    text = _as_text(value)
-    return F.when((F.schema_of_variant(value) == "STRING") & (text != "") | ~text.isin("", "null", "False", "0", "0.0", "[]", "{}"), text)
+
+    def of(x: Column) -> Column:
+        return F.when((x["kind"] == "STRING") & (x["text"] != "") | ~x["text"].isin("", "null", "False", "0", "0.0", "[]", "{}"), x["text"])
+
+    return _once(value, lambda v: _once(F.struct(_as_text(v).alias("text"), F.schema_of_variant(v).alias("kind")), of))
 
 
 def string_list(value: Column) -> Column:
@@ -76,7 +87,7 @@ def string_list(value: Column) -> Column:
         own = F.map_values(F.try_variant_get(item, "$", "map<string,variant>"))
         joined = F.array_join(F.filter(F.transform(own, _words), lambda x: x.isNotNull()), ": ")
         plain = _as_text(item)
-        return F.when(F.schema_of_variant(item).startswith("OBJECT"), F.when(joined != "", joined)).when(F.schema_of_variant(item) != "VOID", plain)
+        return _once(F.schema_of_variant(item), lambda kind: F.when(kind.startswith("OBJECT"), _once(joined, lambda x: F.when(x != "", x))).when(kind != "VOID", plain))
 
     return F.when(kind.startswith("ARRAY"), F.filter(F.transform(items, flat), lambda x: x.isNotNull())).when((kind == "STRING") & (value.cast("string") != ""), F.array(value.cast("string"))).otherwise(none)
 
@@ -94,14 +105,16 @@ def records_from_json(rows: DataFrame, raw: str, lists: list[str]) -> DataFrame:
     at = lambda v, k: F.try_variant_get(v, f"$.{k}", "variant")
 
     def one(item: Column) -> Column:
-        given = F.coalesce(*[_words(at(item, k)) for k in ("name", "specification", "key", "attribute", "property")], F.lit("unknown_attribute"))
-        own = _words(at(item, "name"))
-        name = F.coalesce(own, F.replace(F.lower(given), F.lit(" "), F.lit("_")))
+        named = lambda own: F.struct(own.alias("own"), F.coalesce(own, *[_words(at(item, k)) for k in ("specification", "key", "attribute", "property")], F.lit("unknown_attribute")).alias("given"))
+        chosen = lambda x: F.struct(F.coalesce(x["own"], F.replace(F.lower(x["given"]), F.lit(" "), F.lit("_"))).alias("name"), x["given"].alias("given"))
+        return F.when(F.schema_of_variant(item).startswith("OBJECT"), _once(_words(at(item, "name")), lambda own: _once(named(own), lambda x: _once(chosen(x), lambda y: read(item, y["name"], y["given"])))))
+
+    def read(item: Column, name: Column, given: Column) -> Column:
         raw_value = at(item, "raw_value")
         value = F.coalesce(F.when(~F.is_variant_null(raw_value), _as_text(raw_value)), _words(at(item, "value")), _words(at(item, "val")), F.lit(""))
         kind, method = (F.try_variant_get(item, f"$.{k}", "string") for k in ("data_type", "extraction_method"))
         return F.when(
-            F.schema_of_variant(item).startswith("OBJECT") & (F.trim(name) != ""),
+            F.trim(name) != "",
             F.struct(
                 name.alias("name"), F.coalesce(_words(at(item, "display_name")), given).alias("display_name"), value.alias("raw_value"), F.when(kind.isin(_TYPES), kind).otherwise("text").alias("data_type"),
                 F.when(method.isin("deterministic", "llm", "llm_inference"), method).otherwise("llm").alias("extraction_method"),

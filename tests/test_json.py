@@ -51,3 +51,16 @@ def test_records_of_any_shape(spark):
     assert got[1]["features"] == ["one", "2: Two", "3", "True", '["x"]'] and got[1]["keywords"] == ["alone"]
     assert got[1]["applications"] == got[1]["certifications"] == got[1]["images"] == []
     assert all(got[i]["attributes"] == [] and got[i]["features"] == [] for i in (2, 3, 4))
+
+
+def test_a_field_is_looked_at_once(spark):
+    """Names and values stand in many places of the expression; each is read once for all of them."""
+    from tallyforge.operators.scoring import records_from_json
+
+    raw = '{"attributes":[{"key":"Net Value","value":true},{"name":" "},{"label":1,"val":0}],"features":[{"b":2,"a":"x"},null,"y"]}'
+    got = records_from_json(spark.createDataFrame([(1, raw)], "id long, raw string"), "raw", ["features"])
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("schemaofvariant") <= 60
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    r = got.first()
+    assert [(a["name"], a["display_name"], a["raw_value"]) for a in r["attributes"]] == [("net_value", "Net Value", "True"), ("unknown_attribute", "unknown_attribute", "")] and r["features"] == ["x: 2", "y"]
