@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dealt_by_size
+
 from .reports import percent
 
 
@@ -54,21 +56,22 @@ def product_details(products: DataFrame, attributes: DataFrame) -> DataFrame:
     return products.join(entries, "product_id", "left")
 
 
-def sources_of_products(evidence: DataFrame, links: DataFrame, sources: DataFrame, documents: DataFrame) -> DataFrame:
+def sources_of_products(evidence: DataFrame, links: DataFrame, sources: DataFrame, documents: DataFrame, rows: int = 0) -> DataFrame:
     """(product_id, source_id, source_name, document_id, trust, association_type), one row a source of a product.
 
     They are the sources of the product's ``evidence`` (product_id, source_id), those of its documents in ``links`` (product_id,
     document_id), and for each linked document that no source stands for, the document itself with a trust of 1.  Sources that evidence
-    names are evidence_source, others document_source.
+    names are evidence_source, others document_source.  ``rows``: about how many rows of evidence and links there are, so that large tables are
+    dealt to more tasks.
     """
     s = sources.select("source_id", "source_name", "document_id", "trust")
-    links = links.select("product_id", "document_id").distinct()
+    links = dealt_by_size(links.select("product_id", "document_id"), rows, "product_id", "document_id").distinct()
     shape = lambda df, used: df.select("product_id", "source_id", "source_name", "document_id", F.col("trust").cast("double").alias("trust"), F.lit(used).alias("used"))
     named = shape(evidence.select("product_id", "source_id").distinct().join(s, "source_id"), 1)
     linked = shape(links.join(s, "document_id"), 0)
     bare = links.join(s.where("document_id is not null").select("document_id").distinct(), "document_id", "left_anti")
     bare = shape(bare.join(documents.select("document_id", "name"), "document_id").select("product_id", F.col("document_id").alias("source_id"), F.col("name").alias("source_name"), "document_id", F.lit(1.0).alias("trust")), 0)
-    out = named.unionByName(linked).unionByName(bare).groupBy("product_id", "source_id", "source_name", "document_id", "trust").agg(F.max("used").alias("used"))
+    out = dealt_by_size(named.unionByName(linked).unionByName(bare), rows, "product_id", "source_id").groupBy("product_id", "source_id", "source_name", "document_id", "trust").agg(F.max("used").alias("used"))
     return out.withColumn("association_type", F.when(F.col("used") == 1, "evidence_source").otherwise("document_source")).drop("used")
 
 

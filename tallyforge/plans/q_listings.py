@@ -94,8 +94,9 @@ x AS (SELECT product_id, source_id, source_name, document_id, trust, 1 AS used F
 SELECT product_id, source_id, source_name, document_id, trust, CASE max(used) WHEN 1 THEN 'evidence_source' ELSE 'document_source' END AS association_type FROM x GROUP BY 1, 2, 3, 4, 5""")
 def sources_for_product(spark, d):
     s = C.sources(spark, d).withColumn("document_id", F.when(F.col("source_type") == "document", F.col("source_id")))
-    links = C.table(spark, d, "lineitem").where("l_linenumber = 1").selectExpr("l_partkey AS product_id", "l_orderkey % 150 AS document_id")
-    return G.sources_of_products(C.claims(spark, d).select("product_id", "source_id"), links, s, _documents(spark, d))
+    lines = C.table(spark, d, "lineitem")
+    links = lines.where("l_linenumber = 1").selectExpr("l_partkey AS product_id", "l_orderkey % 150 AS document_id")
+    return G.sources_of_products(C.claims(spark, d).select("product_id", "source_id"), links, s, _documents(spark, d), 2 * lines.count())
 
 
 _ITEMS = "items AS (SELECT l_orderkey AS job_id, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'F' THEN 'completed' ELSE 'queued' END AS s FROM lineitem WHERE l_quantity > 20)"

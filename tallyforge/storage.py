@@ -32,6 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task aggregates or sorts, about.
+ROWS_A_TASK = 1 << 19
+
+
+def dealt_by_size(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of some ``rows`` rows dealt by ``keys`` to as many tasks as that asks for, the session's number of partitions at least, so that
+    a task's memory doesn't grow with the table.  What is grouped by these keys, and maybe more, isn't shuffled again."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), *keys)
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
