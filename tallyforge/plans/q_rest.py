@@ -10,6 +10,7 @@ from ..operators import maintain as M
 from ..operators import match as K
 from ..operators import reconcile as R
 from ..operators import scoring as S
+from ..storage import dealt_by_size
 from . import catalog as C
 from .q_catalog import RECONCILED
 
@@ -61,9 +62,10 @@ def versions_by_product(spark, d):
 
 @query("duplicates_of", "", "SELECT DISTINCT l_partkey AS product_id, l_suppkey AS other_id FROM lineitem WHERE l_partkey <> l_suppkey UNION SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey <> l_suppkey")
 def duplicates_of(spark, d):
-    p = C.table(spark, d, "lineitem").where("l_partkey <> l_suppkey").select("l_partkey", "l_suppkey").distinct()
+    lines = C.table(spark, d, "lineitem")
+    p = lines.where("l_partkey <> l_suppkey")
     both = F.explode(F.array(F.struct(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("other_id")), F.struct(F.col("l_suppkey").alias("product_id"), F.col("l_partkey").alias("other_id"))))
-    return p.select(both.alias("x")).select("x.*").distinct()
+    return dealt_by_size(p.select(both.alias("x")).select("x.*"), 2 * lines.count(), "product_id", "other_id").distinct()
 
 
 @query("evidence_for_product", "claims attributes", "SELECT a.product_id, a.attribute_id, c.source_id, c.raw_value FROM claims c JOIN attributes a ON a.product_id = c.product_id AND a.attribute_name = c.attribute_name")

@@ -60,3 +60,15 @@ def test_a_text_is_hashed_once_for_all_salts(spark):
     v = np.frombuffer(b"".join(hashlib.sha256(f"héllo:{i}".encode()).digest() for i in range(3)), ">u2")[:40] / 65535 - 0.5
     rows = {r["id"]: r["vector"] for r in got.collect()}
     assert np.allclose(rows[1], v / np.linalg.norm(v)) and rows[2] == rows[3] == [0.0] * 40
+
+
+@pytest.mark.parametrize("name", ["duplicates_of", "sources_for_product", "validate_catalog", "validation_issues"])
+def test_more_rows_are_dealt_to_more_tasks(spark, same, monkeypatch, name):
+    """What a task groups is bounded whatever the session's number of partitions."""
+    from tallyforge import storage
+
+    monkeypatch.setattr(storage, "ROWS_A_TASK", 500)
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() * (2 if name == "duplicates_of" else 1)
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-n // 500)}), REPARTITION_BY_NUM" in plan
+    same(QUERIES[name], ORACLE_SQL[name])
