@@ -147,3 +147,13 @@ def test_a_job_has_one_timer():
     out = pd.concat(runs.handleExpiredTimer(("a",), Now(60), Now(6)))
     assert out[["active_from", "stale_at", "steps"]].values.tolist() == [[1000, 6000, 3], [50_000, 52_000, 1]]
     assert held.timers == {102} and held.rows == [(100_000, 100_000, 1)]
+
+
+def test_buckets_of_a_batch_are_looked_up_once(spark, monkeypatch):
+    from tallyforge.streaming.bucketed import BucketedTable
+
+    seen, own = [], BucketedTable.touched
+    monkeypatch.setattr(BucketedTable, "touched", lambda self, rows: seen.append(self.path) or own(self, rows))
+    kept = S.ReconciledStream(spark, fresh_path(spark, "table"), spark.createDataFrame([], CLAIMS).schema, buckets=2)
+    kept.take(spark.createDataFrame([(1, "power", 1, "7 W", 0.9), (2, "power", 1, "8 W", 0.9)], CLAIMS), 0)
+    assert len(seen) == 1 and kept.results.read().count() == 2
